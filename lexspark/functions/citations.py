@@ -93,13 +93,13 @@ def extract_citations(
     )
 
 
-def match_spans(text: Column, pattern: str, width: int) -> Column:
+def match_spans(text: Column, pattern: Column, width: Column) -> Column:
     """ARRAY<STRUCT<match, start, stop, context>> of a pattern's matches.
 
     ``split`` gives the text between the matches, so the running sum of both
     lengths is the offset of each match, in code points.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    matches = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     pieces = F.zip_with(
         matches, F.slice(gaps, F.lit(1), F.size(matches)),
@@ -143,7 +143,7 @@ def extract_citations_with_context(
     width: int = 50,
 ) -> DataFrame:
     """As ``extract_citations``, plus position and surrounding text of the first match."""
-    found = _candidates(docs, doc_id, text, jurisdiction, lambda t, p: match_spans(t, p, width))
+    found = _candidates(docs, doc_id, text, jurisdiction, lambda t, p: match_spans(t, F.lit(p), F.lit(width)))
     order = F.struct("_foreign", "_pattern_no", "_match_no")
     return (
         found.groupBy(doc_id, F.col("m.match").alias("citation_string"))
