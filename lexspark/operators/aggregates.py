@@ -10,7 +10,7 @@ from lexspark.functions.text import contains_any
 from lexspark.operators.filters import in_years
 from lexspark.operators.ranking import top_per_group
 from lexspark.operators.validity import degrees
-from lexspark.session import first_text
+from lexspark.session import first_text, struct_rows
 
 
 def _or_unknown(column: str) -> Column:
@@ -37,10 +37,7 @@ def corpus_totals(cases: DataFrame, citations: DataFrame) -> DataFrame:
 
 def classification_stats(cases: DataFrame, top: int = 50) -> DataFrame:
     """(dimension, value, n): the ``top`` values of type, subject and outcome, in one pass."""
-    dims = F.array(*[
-        F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value"))
-        for c in ("case_type", "subject_area", "outcome")
-    ])
+    dims = struct_rows("dimension value", *[(c, F.col(c)) for c in ("case_type", "subject_area", "outcome")])
     counts = (
         cases.select(F.inline(dims)).where(F.col("value").isNotNull())
         .groupBy("dimension", "value").agg(F.count("*").alias("n"))
@@ -76,7 +73,7 @@ def judge_summary(rows: DataFrame) -> DataFrame:
 def distributions(rows: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
     """(keys, dimension, value, n) of several columns in one pass; empty values are 'unknown'."""
     keys = keys or []
-    dims = F.array(*[F.struct(F.lit(c).alias("dimension"), _or_unknown(c).alias("value")) for c in columns])
+    dims = struct_rows("dimension value", *[(c, _or_unknown(c)) for c in columns])
     return rows.select(*keys, F.inline(dims)).groupBy(*keys, "dimension", "value").agg(F.count("*").alias("n"))
 
 
@@ -303,10 +300,10 @@ def dispute_profile(matched: DataFrame, group_by: list[str] | None = None) -> Da
 
 def dispute_leaders(matched: DataFrame, k: int = 5) -> DataFrame:
     """(dimension, value, n): the ``k`` leading forums and sectors."""
-    dims = F.array(
-        F.struct(F.lit("forum").alias("dimension"),
-                 F.coalesce(first_text("court", "jurisdiction"), F.lit("unknown")).alias("value")),
-        F.struct(F.lit("sector"), F.coalesce(first_text("topic", "domain"), F.lit("unknown"))),
+    dims = struct_rows(
+        "dimension value",
+        ("forum", F.coalesce(first_text("court", "jurisdiction"), F.lit("unknown"))),
+        ("sector", F.coalesce(first_text("topic", "domain"), F.lit("unknown"))),
     )
     counts = matched.select(F.inline(dims)).groupBy("dimension", "value").agg(F.count("*").alias("n"))
     return top_per_group(counts, ["dimension"], [F.desc("n"), F.col("value")], k, rank="position")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexspark.fixed import analytics as A
 from lexspark.operators.matching import contains_join, similar_join
 from lexspark.operators.ranking import top_per_group
+from lexspark.session import struct_rows
 
 
 def normalized_name(col: Column) -> Column:
@@ -34,15 +35,10 @@ def resolve_names(names: DataFrame, entities: DataFrame, column: str = "raw_name
     """
     asked = names.select(F.col(column).alias("raw_name")).where(F.length(F.trim(column)) > 0).distinct()
     known = entity_names(entities).withColumn("norm", normalized_name(F.col("name")))
-    tries = F.array(
-        F.struct(F.lit(0).alias("level"), F.col("raw_name").alias("key")),
-        F.struct(F.lit(1), normalized_name(F.col("raw_name"))),
-    )
+    tries = struct_rows("level key", (0, F.col("raw_name")), (1, normalized_name(F.col("raw_name"))))
     keys = asked.select("raw_name", F.inline(tries)).where(F.col("key") != "")
     targets = (
-        known.select("canonical_id", F.inline(F.array(
-            F.struct(F.lit(0).alias("level"), F.col("name").alias("key")), F.struct(F.lit(1), F.col("norm"))
-        )))
+        known.select("canonical_id", F.inline(struct_rows("level key", (0, F.col("name")), (1, F.col("norm")))))
         .groupBy("level", "key").agg(F.min("canonical_id").alias("canonical_id"))
     )
     direct = keys.join(targets, ["level", "key"]).groupBy("raw_name").agg(

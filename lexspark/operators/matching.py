@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _grams(text: Column, sizes: Column) -> Column:
-    def of_size(s: Column) -> Column:
-        return F.when(
-            F.length(text) >= s,
-            F.transform(F.sequence(F.lit(1), F.length(text) - s + 1), lambda i: F.substr(text, i, s)),
-        ).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.flatten(F.transform(sizes, of_size)))
+def _grams(text: Column, size: Column) -> Column:
+    """Distinct substrings of ``text`` of the given length."""
+    return F.when(
+        F.length(text) >= size,
+        F.array_distinct(
+            F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(text, i, size))
+        ),
+    )
 
 
 def contains_join(
@@ -30,10 +30,12 @@ def contains_join(
     sizes = wanted.agg(F.collect_set("_size")).scalar()
     key_cols = [c for c in keys.columns]
 
-    key_grams = wanted.select(*key_cols, F.explode(_grams(F.col(key), F.array("_size"))).alias("_gram"))
-    text_grams = texts.where(F.col(text).isNotNull()).select(
-        *texts.columns, F.explode(_grams(F.col(text), sizes)).alias("_gram")
+    key_grams = wanted.select(*key_cols, F.explode(_grams(F.col(key), F.col("_size"))).alias("_gram"))
+    # the few gram sizes in use, nearly always just one
+    sized = texts.where(F.col(text).isNotNull()).withColumn("_sizes", sizes).select(
+        *texts.columns, F.explode("_sizes").alias("_size")
     )
+    text_grams = sized.select(*texts.columns, F.explode(_grams(F.col(text), F.col("_size"))).alias("_gram"))
     # only grams some key has leave the scan
     text_grams = text_grams.join(key_grams.select("_gram").distinct(), "_gram", "left_semi")
     frequency = text_grams.groupBy("_gram").agg(F.count("*").alias("_df"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions.text import citation_name_part, has_versus, normalize_citation
 from lexspark.operators.matching import contains_join
+from lexspark.session import struct_rows
 
 ANY = "*"
 
@@ -46,13 +47,12 @@ def resolve_citations(references: DataFrame, citation_index: DataFrame, cases: D
     refs = refs.withColumn("scope", F.coalesce("jurisdiction", F.lit(ANY)))
     name = F.when(has_versus(F.col("citation_string")), citation_name_part(F.col("citation_string")))
 
-    tries = F.array(
-        F.struct(F.lit(1).alias("match_rank"), F.lit("i").alias("kind"),
-                 F.col("citation_string").alias("lookup"), F.col("scope")),
-        F.struct(F.lit(2), F.lit("i"), normalize_citation(F.col("citation_string")), F.lit(ANY)),
-        F.struct(F.lit(3), F.lit("n"), name, F.col("scope")),
+    cited, scope = F.col("citation_string"), F.col("scope")
+    tries = struct_rows(
+        "match_rank kind lookup scope",
+        (1, "i", cited, scope), (2, "i", normalize_citation(cited), ANY), (3, "n", name, scope),
     )
-    wanted = refs.select("citation_string", F.col("scope").alias("_scope"), F.inline(tries)).where(
+    wanted = refs.select("citation_string", scope.alias("_scope"), F.inline(tries)).where(
         F.col("lookup").isNotNull()
     )
     lookup = (
@@ -104,9 +104,9 @@ def attach_resolution(edges: DataFrame, resolved: DataFrame) -> DataFrame:
     ``resolved`` has one row per pair, so a reference that a third of all edges
     make is split by the skew join without copying rows.
     """
-    on = edges["citation_string"].eqNullSafe(resolved["citation_string"]) & edges["jurisdiction"].eqNullSafe(
-        resolved["jurisdiction"]
-    )
-    return edges.join(resolved, on, "left").select(
-        *[edges[c] for c in edges.columns], resolved["case_id"].alias("cited_case_id"), resolved["match_rank"]
+    hits = resolved.select(
+        F.col("citation_string").alias("_cited"), F.col("jurisdiction").alias("_scope"),
+        F.col("case_id").alias("cited_case_id"), "match_rank",
     )
+    same = F.col("citation_string").eqNullSafe(F.col("_cited")) & F.col("jurisdiction").eqNullSafe(F.col("_scope"))
+    return edges.join(hits, same, "left").drop("_cited", "_scope")

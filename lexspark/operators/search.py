@@ -9,6 +9,7 @@ from lexspark.fixed.jurisdictions import SIMILAR_SEARCH_JURISDICTIONS
 from lexspark.functions.text import leading_year, search_terms, selected_keywords
 from lexspark.operators.filters import equals_either, in_years
 from lexspark.operators.ranking import PREFILTER_LIMIT, RESULT_CAP, top_per_group
+from lexspark.session import first_text, struct_rows
 
 NAME_WEIGHT, TEXT_WEIGHT = 10.0, 1.0
 K1, B = 1.2, 0.75
@@ -395,10 +396,10 @@ def compare_jurisdictions(
         F.min_by("jurisdiction", F.struct(-F.col("case_count"), F.col("place"))).alias("j")
     ).scalar()
     summary = summary.withColumn("most_active", F.col("jurisdiction") == most)
-    dims = F.array(
-        F.struct(F.lit("outcome").alias("dimension"),
-                 F.coalesce(F.when(F.col("outcome") != "", F.col("outcome")), F.lit("unknown")).alias("value")),
-        F.struct(F.lit("year"), leading_year(F.col("decision_date")).cast("string")),
+    dims = struct_rows(
+        "dimension value",
+        ("outcome", F.coalesce(first_text("outcome"), F.lit("unknown"))),
+        ("year", leading_year(F.col("decision_date")).cast("string")),
     )
     distributions = (
         best.select("jurisdiction", F.inline(dims)).where(F.col("value").isNotNull())

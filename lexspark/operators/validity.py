@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexspark.fixed.treatment import UNKNOWN_RANK
 from lexspark.functions.treatment import court_rank, treatment_keyword, treatment_type
 from lexspark.operators.ranking import top_per_group
+from lexspark.session import struct_rows
 
 CASE_COLUMNS = ["case_name", "court", "jurisdiction", "decision_date"]
 
@@ -163,10 +164,7 @@ def degrees(citations: DataFrame, cases: DataFrame | None = None) -> DataFrame:
         incoming = F.when(F.col("_known").isNotNull(), F.col("cited_case_id"))
     else:
         incoming = F.col("cited_case_id")
-    ends = F.array(
-        F.struct(F.col("citing_case_id").alias("case_id"), F.lit(1).alias("o"), F.lit(0).alias("i")),
-        F.struct(incoming.alias("case_id"), F.lit(0).alias("o"), F.lit(1).alias("i")),
-    )
+    ends = struct_rows("case_id o i", (F.col("citing_case_id"), 1, 0), (incoming, 0, 1))
     return (
         citations.select(F.inline(ends))
         .where(F.col("case_id").isNotNull())

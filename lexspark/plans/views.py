@@ -219,20 +219,41 @@ SELECT {_case('user_id % 3', ['ptab', 'upc', 'wipo_adr'])} AS source_id, event_t
   CAST(CAST(ts AS DATE) AS {{S}}) AS snapshot_day
 FROM {{events}} GROUP BY 1, 2, 3, 5""",
     "query_log": f"""
-SELECT item_id AS qid, lower(concat({{WORD1}}, ' ', {{WORD2}})) AS query, {jurisdiction_sql('item_id % 6')} AS jurisdiction
+SELECT item_id AS qid, lower(concat(split_part(text, ' ', 1), ' ', split_part(text, ' ', 4))) AS query, {jurisdiction_sql('item_id % 6')} AS jurisdiction
 FROM {{benchmark}}""",
 }
 
-# the two spellings that differ between the engines
+_SITES = [
+    ("https://www.saflii.org/", "/za/cases/ZASCA/2019/{B1}.html"),
+    ("https://ghalii.org/", "/akn/gh/judgment/ghasc/2018/{B1}"),
+    ("https://tanzlii.org/", "/en/akn/tz/act/2010/{B1}"),
+    ("https://www.riigiteataja.ee/en/", "/en/eli/{B1}"),
+    ("https://lovdata.no/", "/lov/{B1}"),
+    ("https://africanlii.org/en/", "/en/akn/za-gp/judgment/zagp/2021/{B1}"),
+    ("https://laws-lois.justice.gc.ca/eng/", "/eng/acts/{B1}"),
+]
+# landed pages: the page table as seen on legal sites
+VIEWS["landed_pages"] = (
+    "SELECT page_id, CASE page_id % 8 "
+    + " ".join(f"WHEN {i} THEN '{url}'" for i, (url, _) in enumerate(_SITES))
+    + " ELSE url END AS url, CASE page_id % 8 "
+    + " ".join(
+        f"WHEN {i} THEN regexp_replace(html, 'href=\"/([^\"]*)\"', 'href=\"{path}\"'{{G}})"
+        for i, (_, path) in enumerate(_SITES)
+    )
+    + " ELSE html END AS html FROM {pages}"
+)
+
+# the spellings that differ between the engines
 _SPARK = {
     "{S}": "STRING",
     "{AGG}": "listagg(line, ' ') WITHIN GROUP (ORDER BY line)",
-    "{WORD1}": "split_part(text, ' ', 1)", "{WORD2}": "split_part(text, ' ', 4)",
+        "{G}": "", "{B1}": "$1",
 }
 _ANSI = {
     "{S}": "VARCHAR",
     "{AGG}": "string_agg(line, ' ' ORDER BY line)",
-    "{WORD1}": "split_part(text, ' ', 1)", "{WORD2}": "split_part(text, ' ', 4)",
+        "{G}": ", 'g'", "{B1}": "\\1",
 }
 
 

@@ -53,3 +53,12 @@ def blank_to_null(col: Column | str) -> Column:
 def first_text(*cols: Column | str) -> Column:
     """First non-empty text among ``cols``."""
     return F.coalesce(*[blank_to_null(c) for c in cols])
+
+
+def struct_rows(names: str, *rows: tuple) -> Column:
+    """ARRAY of structs with the given field names, for ``inline``."""
+    fields = names.split()
+    return F.array(*[
+        F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(n) for n, v in zip(fields, row, strict=True)])
+        for row in rows
+    ])

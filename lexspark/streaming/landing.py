@@ -35,8 +35,8 @@ def upsert_stream(raw: DataFrame, store: str, checkpoint: str) -> DataStreamWrit
 
 
 def read_store(spark: SparkSession, store: str) -> DataFrame:
-    """Current cases of a store: the upsert rule over all batches."""
-    log = spark.read.parquet(store).drop("batch")
+    """Current cases of a store: the upsert rule over all batches, in batch order."""
+    log = spark.read.parquet(store).withColumn("seq", F.col("batch").cast("bigint")).drop("batch")
     return upsert_cases(log.where(F.lit(False)), log)
 
 
