@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions.text import citation_name_part, has_versus, normalize_citation
 from lexspark.operators.matching import contains_join
-from lexspark.session import struct_rows
+from lexspark.session import cut_lineage, struct_rows
 
 ANY = "*"
 
@@ -66,11 +66,11 @@ def resolve_citations(references: DataFrame, citation_index: DataFrame, cases: D
         .groupBy("citation_string", F.col("_scope").alias("scope"))
         .agg(F.min(F.struct("match_rank", "case_id")).alias("hit"))
     )
-    rest = refs.join(exact, ["citation_string", "scope"], "left_anti")
+    # every later step reads the outcome of this one, so it is written out once
+    tried = cut_lineage(refs.join(exact, ["citation_string", "scope"], "left"))
+    rest = tried.where(F.col("hit").isNull()).drop("hit")
     by_name = _contained_name(rest.withColumn("name", name), cases)
-    rest_number = rest.select(
-        "citation_string", "scope", F.lower("citation_string").alias("_key")
-    )
+    rest_number = rest.select("citation_string", "scope", F.lower("citation_string").alias("_key"))
     by_number = contains_join(
         rest_number, "_key",
         cases.select(F.col("case_id"), F.lower("case_number").alias("_text")), "_text",
@@ -78,12 +78,11 @@ def resolve_citations(references: DataFrame, citation_index: DataFrame, cases: D
     contained = (
         by_name.unionByName(by_number)
         .groupBy("citation_string", "scope")
-        .agg(F.min(F.struct("match_rank", "case_id")).alias("hit"))
-    )
-    hits = exact.unionByName(contained)
-    return refs.join(hits, ["citation_string", "scope"], "left").select(
-        "citation_string", "jurisdiction", "hit.case_id", "hit.match_rank"
+        .agg(F.min(F.struct("match_rank", "case_id")).alias("late"))
     )
+    return tried.join(contained, ["citation_string", "scope"], "left").select(
+        "citation_string", "jurisdiction", F.coalesce("hit", "late").alias("hit")
+    ).select("citation_string", "jurisdiction", "hit.case_id", "hit.match_rank")
 
 
 def _contained_name(refs: DataFrame, cases: DataFrame) -> DataFrame:
