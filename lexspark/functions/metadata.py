@@ -110,7 +110,7 @@ def legal_provisions(text: Column, limit: int = M.PROVISION_LIMIT) -> Column:
     raw = F.flatten(
         F.array(*[F.regexp_extract_all(text, F.lit(U + p), F.lit(0)) for p in M.PROVISION_PATTERNS])
     )
-    found = F.transform(raw, F.trim)
+    found = F.transform(raw, lambda x: F.trim(x))
     lowered = F.transform(found, F.lower)
     first = F.filter(
         F.transform(found, lambda s, i: F.struct(s.alias("s"), i.alias("i"))),
@@ -292,7 +292,7 @@ def _first_match(text: Column, table: list[tuple[str, str]]) -> Column:
 
 def _names(text: Column, patterns: list[str], unique: bool = True) -> Column:
     found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(U + p), F.lit(1)) for p in patterns]))
-    found = F.transform(found, F.trim) if unique else found
+    found = F.transform(found, lambda x: F.trim(x)) if unique else found
     found = F.array_sort(F.array_distinct(found)) if unique else found
     return F.when(F.size(found) > 0, found)
 

@@ -9,7 +9,7 @@ from lexspark.fixed.jurisdictions import SIMILAR_SEARCH_JURISDICTIONS
 from lexspark.functions.text import leading_year, search_terms, selected_keywords
 from lexspark.operators.filters import equals_either, in_years
 from lexspark.operators.ranking import PREFILTER_LIMIT, RESULT_CAP, top_per_group
-from lexspark.session import first_text, struct_rows
+from lexspark.session import cut_lineage, first_text, struct_rows
 
 NAME_WEIGHT, TEXT_WEIGHT = 10.0, 1.0
 K1, B = 1.2, 0.75
@@ -157,6 +157,8 @@ def bm25_matches(
         for c in restrict:
             scored = scored.where(F.col(f"_q_{c}").isNull() | (F.col(f"_q_{c}") == F.col(c)))
         scored = scored.select(qid, doc_id, "score")
+    # searches read their matches more than once: the texts must not be tokenised again for it
+    scored = cut_lineage(scored)
     return _verify_phrases(scored, wanted, docs, doc_id, name, text, qid) if match_all else scored
 
 
@@ -209,12 +211,13 @@ def search_cases(queries: DataFrame, cases: DataFrame, k: int = 20, index=None)
     queries = _known_scope(
         _with_defaults(queries, jurisdiction="string", year_from="int", year_to="int")
     )
-    scoped = queries.where(F.col("jurisdiction").isNotNull())
-    wide = queries.where(F.col("jurisdiction").isNull())
-    local = bm25_matches(scoped, cases, "case_id", "case_name", "full_text", index=index, restrict=["jurisdiction"])
+    matches = bm25_matches(
+        queries, cases, "case_id", "case_name", "full_text", index=index, restrict=["jurisdiction"]
+    )
+    wide = queries.where(F.col("jurisdiction").isNull()).select("qid")
+    local = matches.join(wide, "qid", "left_anti")
     best = top_per_group(
-        bm25_matches(wide, cases, "case_id", "case_name", "full_text", index=index),
-        ["qid"], [F.col("score").desc(), F.col("case_id")], PREFILTER_LIMIT,
+        matches.join(wide, "qid", "left_semi"), ["qid"], [F.col("score").desc(), F.col("case_id")], PREFILTER_LIMIT
     )
     limits = queries.select("qid", F.col("jurisdiction").alias("_j"), "year_from", "year_to")
     rows = (
@@ -303,7 +306,7 @@ def search_cases_advanced(queries: DataFrame, cases: DataFrame, k: int = 20) ->
             "fallback_used", F.lit(fallback)
         )
 
-    first = run(queries, False)
+    first = cut_lineage(run(queries, False))
     again = (
         queries.where(F.col("case_type").isNotNull())
         .join(first.select("qid").distinct(), "qid", "left_anti")
@@ -321,9 +324,9 @@ def search_case_law(
     those that contain every query word qualify. ``local`` (qid, case_name,
     seq) are the local matches of the queries.
     """
-    found = search_cases(queries, cases).select(
-        "qid", "case_name", "jurisdiction", F.lit("index").alias("_source"), F.col("position").alias("seq")
-    )
+    found = cut_lineage(search_cases(queries, cases).select(
+        "qid", "case_name", "jurisdiction", F.lit("index").alias("_source"), F.col("position").cast("bigint").alias("seq")
+    ))
     counts = found.groupBy("qid").agg(F.count("*").alias("_n"))
     short = queries.join(counts, "qid", "left").where(F.coalesce("_n", F.lit(0)) < few).select(
         "qid", "query", "jurisdiction"
@@ -338,7 +341,7 @@ def search_case_law(
     extra = extra.join(seen, ["qid", "_name"], "left_anti").select(
         "qid", "r.case_name", "r.jurisdiction", F.lit("supplement").alias("_source"), "r.seq"
     )
-    ranked = found.unionByName(extra)
+    ranked = cut_lineage(found.unionByName(extra))
     rest = local.join(ranked.select("qid").distinct(), "qid", "left_anti").select(
         "qid", "case_name", "jurisdiction", F.lit("local").alias("_source"), "seq"
     )

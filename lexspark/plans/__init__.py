@@ -1,6 +1,6 @@
 """Whole jobs: corpus views over star-schema tables, and named queries."""
 
-from lexspark.plans import queries_cases
+from lexspark.plans import queries_cases, queries_text
 from lexspark.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "queries_cases"]
+__all__ = ["QUERIES", "SQL", "queries_cases", "queries_text"]

@@ -57,7 +57,7 @@ treated AS (SELECT cc.cited_case_id, cc.citing_case_id, cc.cited_reference, cc.c
 
 
 def terms(expr: str) -> str:
-    return f"list_filter(regexp_split_to_array(lower({expr}), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '')"
+    return f"list_filter(regexp_split_to_array(lower({expr}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
 def bm25_ctes(docs: str, doc_id: str, name: str, text: str, queries: str, match_all: bool = True) -> str:
