@@ -8,9 +8,10 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_entities(text: pd.Series) -> pd.Series:
     """All named and numeric HTML entities, in one pass."""
     return text.map(html.unescape, na_action="ignore")
@@ -46,7 +47,7 @@ def _beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(swap, 1.0 - value, value)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def beta_quantile(prob: pd.Series, alpha: pd.Series, beta: pd.Series) -> pd.Series:
     """Quantile of Beta(alpha, beta) by bisection, vectorised over the batch."""
     p, a, b = (s.to_numpy(dtype=float) for s in (prob, alpha, beta))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.fixed.citations import CITATION_PATTERNS
-from lexspark.functions.text import U, contains_any
+from lexspark.functions.text import U
 
 # A literal each pattern cannot match without, same order as the patterns. The
 # regex then runs only over texts that contain it. An empty tuple: no literal.
@@ -45,33 +43,27 @@ def _numbered() -> list[tuple[int, str, str, tuple[str, ...]]]:
     return [(i, *entry) for i, entry in enumerate(flat)]
 
 
-def _guarded(text: Column, needs: tuple[str, ...], value: Column) -> Column:
-    test = contains_any(text, list(needs)) if needs else text.rlike(r"\d")
-    return F.when(test, value)
+def _text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _candidates(docs: DataFrame, doc_id: str, text: str, jurisdiction: str, value) -> DataFrame:
-    """One row per document and pattern that matched, ``value`` evaluated per pattern."""
-    body = F.col(text)
-    per_pattern = F.array(*[
-        F.struct(
-            F.lit(i).alias("pattern_no"),
-            F.lit(code).alias("jurisdiction"),
-            _guarded(body, needs, value(body, U + pattern)).alias("found"),
-        )
-        for i, code, pattern, needs in _numbered()
-    ])
-    return (
-        docs.select(F.col(doc_id), F.upper(F.col(jurisdiction)).alias("_own"), F.explode(per_pattern).alias("p"))
-        .where(F.size("p.found") > 0)
-        .select(
-            doc_id,
-            (F.col("p.jurisdiction") != F.coalesce(F.col("_own"), F.lit(""))).cast("int").alias("_foreign"),
-            F.col("p.pattern_no").alias("_pattern_no"),
-            F.col("p.jurisdiction").alias("jurisdiction"),
-            F.posexplode("p.found").alias("_match_no", "m"),
+def _per_pattern(text: str, body: str) -> Column:
+    """ARRAY with one entry per pattern, ``body`` where the text has the literal the pattern
+    needs, else NULL. ``body`` may name {text}, {pattern}, {number} and {jurisdiction}.
+
+    Written as one SQL text: several hundred column objects would take longer
+    to build than a small job takes to run.
+    """
+    entries = []
+    for number, jurisdiction, pattern, needs in _numbered():
+        test = " OR ".join(f"contains({text}, {_text(n)})" for n in needs) or f"{text} RLIKE {_text(chr(92) + 'p{Nd}')}"
+        filled = (
+            body.replace("{text}", text).replace("{number}", str(number))
+            .replace("{jurisdiction}", _text(jurisdiction)).replace("{pattern}", _text(U + pattern))
         )
-    )
+        entries.append(f"CASE WHEN {test} THEN {filled} END")
+    return F.expr(f"array({', '.join(entries)})")
 
 
 def extract_citations(
@@ -83,8 +75,20 @@ def extract_citations(
     table order; a string belongs to the first pattern that matched it. The
     texts are read once and never shuffled: only the matched strings are.
     """
-    found = _candidates(
-        docs, doc_id, text, jurisdiction, lambda t, p: F.regexp_extract_all(t, F.lit(p), F.lit(0))
+    per_pattern = _per_pattern(
+        f"`{text}`",
+        "named_struct('pattern_no', {number}, 'jurisdiction', {jurisdiction}, 'found', regexp_extract_all({text}, {pattern}, 0))",
+    )
+    found = (
+        docs.select(F.col(doc_id), F.upper(F.col(jurisdiction)).alias("_own"), F.explode(per_pattern).alias("p"))
+        .where(F.size("p.found") > 0)
+        .select(
+            doc_id,
+            (F.col("p.jurisdiction") != F.coalesce(F.col("_own"), F.lit(""))).cast("int").alias("_foreign"),
+            F.col("p.pattern_no").alias("_pattern_no"),
+            F.col("p.jurisdiction").alias("jurisdiction"),
+            F.explode("p.found").alias("m"),
+        )
     )
     return (
         found.groupBy(doc_id, F.col("m").alias("citation_string"))
@@ -143,7 +147,22 @@ def extract_citations_with_context(
     width: int = 50,
 ) -> DataFrame:
     """As ``extract_citations``, plus position and surrounding text of the first match."""
-    found = _candidates(docs, doc_id, text, jurisdiction, lambda t, p: match_spans(t, F.lit(p), F.lit(width)))
+    # the patterns a text matches, then one expression that walks each of them
+    matching = _per_pattern(
+        f"`{text}`",
+        "CASE WHEN {text} RLIKE {pattern} THEN named_struct('pattern_no', {number}, 'jurisdiction', {jurisdiction}, "
+        "'pattern', {pattern}) END",
+    )
+    hits = docs.select(
+        doc_id, F.col(text).alias("_body"), F.upper(F.col(jurisdiction)).alias("_own"),
+        F.explode(F.array_compact(matching)).alias("p"),
+    )
+    found = hits.select(
+        doc_id,
+        (F.col("p.jurisdiction") != F.coalesce(F.col("_own"), F.lit(""))).cast("int").alias("_foreign"),
+        F.col("p.pattern_no").alias("_pattern_no"), F.col("p.jurisdiction").alias("jurisdiction"),
+        F.posexplode(match_spans(F.col("_body"), F.col("p.pattern"), F.lit(width))).alias("_match_no", "m"),
+    )
     order = F.struct("_foreign", "_pattern_no", "_match_no")
     return (
         found.groupBy(doc_id, F.col("m.match").alias("citation_string"))

@@ -16,6 +16,7 @@ from lexspark.operators import validity as V
 from lexspark.plans import sql_parts as P
 from lexspark.plans.registry import query
 from lexspark.plans.views import load, with_views
+from lexspark.session import cut_lineage
 from lexspark.sources.landing import new_citations
 
 
@@ -343,10 +344,11 @@ def validity_from_text(spark, d):
     cases = load(spark, d, "cases")
     found = C.extract_citations_with_context(load(spark, d, "opinions"))
     index = load(spark, d, "reporter_index").unionByName(R.build_citation_index(cases))
-    edges = found.select(
+    # the texts are scanned once; every later step reads the extracted edges
+    edges = cut_lineage(found.select(
         F.col("doc_id").cast("string").alias("citing_case_id"), "citation_string",
         F.lit(None).cast("string").alias("jurisdiction"), F.col("context").alias("citation_context"),
-    )
+    ))
     resolved = R.resolve_citations(edges, index, cases)
     linked = R.attach_resolution(edges, resolved).select(
         "citing_case_id", "cited_case_id", F.col("citation_string").alias("cited_reference"), "citation_context"
