@@ -38,6 +38,11 @@ def link_profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, PROFILE_DDL)
 
 
+def _group(text: Column, pattern: str, group: Column) -> Column:
+    """``regexp_extract`` by the pattern in a column."""
+    return F.call_function("regexp_extract", text, F.col(pattern), group)
+
+
 def _clean_title(inner: Column) -> Column:
     return collapse_spaces(F.trim(unescape_entities(strip_tags(inner))))
 
@@ -68,8 +73,8 @@ def extract_links(pages: DataFrame, profiles: DataFrame | None = None, row_limit
         F.posexplode(around).alias("position", "found"),
     )
     text = F.col("found.match")
-    links = found.withColumn("href", F.regexp_extract(text, F.col("anchor"), F.col("href_group"))).withColumn(
-        "inner", F.regexp_extract(text, F.col("anchor"), F.col("title_group"))
+    links = found.withColumn("href", _group(text, "anchor", F.col("href_group"))).withColumn(
+        "inner", _group(text, "anchor", F.col("title_group"))
     )
     links = links.withColumn("title", _clean_title(F.col("inner"))).where(
         (F.length("title") >= F.col("min_title")) & (F.length("title") > 0)
@@ -94,15 +99,15 @@ def extract_links(pages: DataFrame, profiles: DataFrame | None = None, row_limit
         .when(F.col("year_from_part") == "after", after)
     )
     year = F.when(
-        F.col("year_pattern").isNotNull(), F.regexp_extract(part, F.col("year_pattern"), F.lit(1))
+        F.col("year_pattern").isNotNull(), _group(part, "year_pattern", F.lit(1))
     ).try_cast("int")
     # a two-digit year in the reference number of one profile
     short = F.regexp_extract("title", r"/(\d{2})\.", 1).try_cast("int")
     short_year = F.when(F.col("profile") == "ptleg", F.when(short < 50, short + 2000).otherwise(short + 1900))
-    court = F.when(F.col("court_pattern").isNotNull(), F.regexp_extract("href", F.col("court_pattern"), F.lit(1)))
+    court = F.when(F.col("court_pattern").isNotNull(), _group(F.col("href"), "court_pattern", F.lit(1)))
     code = F.when(
         F.col("jurisdiction_pattern").isNotNull(),
-        F.regexp_extract("href", F.col("jurisdiction_pattern"), F.lit(1)),
+        _group(F.col("href"), "jurisdiction_pattern", F.lit(1)),
     )
     links = links.select(
         "page_id", "profile", "tier", "kind", "position", "href", "title",
