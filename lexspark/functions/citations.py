@@ -105,8 +105,9 @@ def match_spans(text: Column, pattern: Column, width: Column) -> Column:
     """
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
+    # one gap more than matches: the last pair has no match and is dropped at the end
     pieces = F.zip_with(
-        matches, F.slice(gaps, F.lit(1), F.size(matches)),
+        matches, gaps,
         lambda m, g: F.struct(m.alias("m"), g.alias("gap"), F.length(m).alias("n")),
     )
     empty = F.expr("CAST(array() AS ARRAY<STRUCT<match: STRING, start: INT, stop: INT>>)")
@@ -127,7 +128,7 @@ def match_spans(text: Column, pattern: Column, width: Column) -> Column:
         lambda acc: acc["out"],
     )
     return F.transform(
-        walked,
+        F.filter(walked, lambda s: s["match"].isNotNull()),
         lambda s: F.struct(
             s["match"].alias("match"), s["start"].alias("start"), s["stop"].alias("stop"),
             F.substr(

@@ -110,13 +110,13 @@ def legal_provisions(text: Column, limit: int = M.PROVISION_LIMIT) -> Column:
     raw = F.flatten(
         F.array(*[F.regexp_extract_all(text, F.lit(U + p), F.lit(0)) for p in M.PROVISION_PATTERNS])
     )
-    found = F.transform(raw, lambda x: F.trim(x))
-    lowered = F.transform(found, F.lower)
-    first = F.filter(
-        F.transform(found, lambda s, i: F.struct(s.alias("s"), i.alias("i"))),
-        lambda x: F.array_position(lowered, F.lower(x["s"])) == x["i"] + 1,
+    # one walk: a lambda that looked back into the matches would run the patterns again for each
+    return F.aggregate(
+        F.transform(raw, lambda x: F.trim(x)), F.array().cast("array<string>"),
+        lambda acc, s: F.when(
+            (F.size(acc) >= limit) | F.exists(acc, lambda a: F.lower(a) == F.lower(s)), acc
+        ).otherwise(F.concat(acc, F.array(s))),
     )
-    return F.slice(F.transform(first, lambda x: x["s"]), 1, limit)
 
 
 def liability(text: Column) -> Column:
@@ -294,7 +294,7 @@ def _names(text: Column, patterns: list[str], unique: bool = True) -> Column:
     found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(U + p), F.lit(1)) for p in patterns]))
     found = F.transform(found, lambda x: F.trim(x)) if unique else found
     found = F.array_sort(F.array_distinct(found)) if unique else found
-    return F.when(F.size(found) > 0, found)
+    return F.nullif(found, F.array().cast("array<string>"))
 
 
 def judgment_facts(text: Column, jurisdiction: Column) -> Column:

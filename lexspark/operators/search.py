@@ -108,12 +108,13 @@ def bm25_matches(
     index: tuple[DataFrame, DataFrame] | None = None,
     match_all: bool = True,
     restrict: list[str] | None = None,
+    buckets: int = 256,
 ) -> DataFrame:
     """(qid, doc_id, score) of the documents that match each query.
 
     All terms are required, or any with ``match_all=False``. Scores are
-    positive; name tokens weigh ten times. ``index`` uses stored postings,
-    otherwise the texts are tokenised on the fly for the query terms only.
+    positive; name tokens weigh ten times. ``index`` uses postings stored in
+    ``buckets`` term buckets, otherwise the texts are tokenised on the fly for the query terms only.
     ``restrict`` names columns that a query, where it sets them, shares with
     its results; the term statistics stay those of the whole corpus.
     """
@@ -124,7 +125,7 @@ def bm25_matches(
     else:
         hits, lengths = index
         if "bucket" in hits.columns:
-            keys = wanted.select("term").distinct().withColumn("bucket", term_bucket(F.col("term")))
+            keys = wanted.select("term").distinct().withColumn("bucket", term_bucket(F.col("term"), buckets))
             hits = hits.join(keys, ["bucket", "term"], "left_semi").drop("bucket")
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avg"))
     n_docs = corpus.select("n").scalar()
@@ -138,14 +139,21 @@ def bm25_matches(
         "term", qid, "n_terms",
         F.greatest(F.log((n_docs - df + 0.5) / (df + 0.5)), F.lit(MIN_IDF)).alias("idf"),
     )
+    matched = hits.join(weighted, "term")
+    if match_all:
+        # only documents with the rarest term of a query can match it: common terms
+        # are looked up for those, instead of pairing a query with the whole corpus
+        rarest = weighted.groupBy(qid).agg(F.max_by("term", F.struct("idf", "term")).alias("term"))
+        candidates = hits.select(doc_id, "term").join(rarest, "term").select(qid, doc_id)
+        matched = candidates.join(weighted, qid).join(hits, [doc_id, "term"])
     f = NAME_WEIGHT * F.col("tf_name") + TEXT_WEIGHT * F.col("tf_text")
     norm = K1 * (1.0 - B + B * F.col("length") / average)
     scored = (
-        hits.join(weighted, "term")
-        .groupBy(qid, doc_id)
+        matched.groupBy(qid, doc_id)
         .agg(
             F.count("*").alias("_terms"), F.max("n_terms").alias("_needed"),
-            F.sum(F.col("idf") * f * (K1 + 1.0) / (f + norm)).alias("score"),
+            # rounded so that equal documents tie, whatever order their terms were summed in
+            F.round(F.sum(F.col("idf") * f * (K1 + 1.0) / (f + norm)), 9).alias("score"),
         )
     )
     if match_all:

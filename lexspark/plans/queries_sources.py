@@ -99,12 +99,12 @@ def enforcement_links(spark, d):
 
 
 @query("years_near_links", """
-WITH o AS (SELECT o_orderkey, concat('<p>', repeat('x', CAST(o_orderkey % 90 AS INT)), '<a href="/j/', o_orderkey, '">judgment</a>', repeat('y', CAST(o_orderkey % 60 AS INT)), ' ', year(o_orderdate), ' end</p>') AS html FROM orders)
+WITH o AS (SELECT o_orderkey, concat('<p>', repeat('x', CAST(o_orderkey % 90 AS INT)), '<a href="/j/n', o_orderkey, '">judgment</a>', repeat('y', CAST(o_orderkey % 60 AS INT)), ' ', year(o_orderdate), ' end</p>') AS html FROM orders)
 SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 60 + 5 <= 50 THEN CAST(year(orders.o_orderdate) AS INT) END AS year FROM o JOIN orders USING (o_orderkey)""")
 def years_near_links(spark, d):
     pages = load(spark, d, "orders").selectExpr(
         "o_orderkey AS page_id",
-        "concat('<p>', repeat('x', CAST(o_orderkey % 90 AS INT)), '<a href=\"/j/', o_orderkey, '\">judgment</a>', repeat('y', CAST(o_orderkey % 60 AS INT)), ' ', year(o_orderdate), ' end</p>') AS html",
+        "concat('<p>', repeat('x', CAST(o_orderkey % 90 AS INT)), '<a href=\"/j/n', o_orderkey, '\">judgment</a>', repeat('y', CAST(o_orderkey % 60 AS INT)), ' ', year(o_orderdate), ' end</p>') AS html",
     )
     years = LK.year_near(F.col("html"), r'(?is)<a[^>]+href="[^"]*"[^>]*>.*?</a>', 50)
     return pages.select("page_id", F.get(years, F.lit(0)).alias("year"))

@@ -473,12 +473,19 @@ def page_text(spark, d):
     return load(spark, d, "pages").select("page_id", TX.html_to_text(F.col("html")).alias("text"))
 
 
-@query("longest_block", """
-WITH b AS (SELECT page_id, unnest(list_concat(regexp_extract_all(html, '(?is)<article\\b[^>]*>.*?</article>'), regexp_extract_all(html, '(?is)<main\\b[^>]*>.*?</main>'),
-    regexp_extract_all(html, '(?is)<td\\b[^>]*>.*?</td>'))) AS raw FROM pages),
-t AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(raw, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS t FROM b)
-SELECT page_id, CAST(least(max(length(t)), 20000) AS INT) AS chars FROM t WHERE length(t) >= 120 GROUP BY 1""")
+_PLAIN = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(raw, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))"
+
+
+@query("longest_block", f"""
+WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<(?:article|main|td)\\b[^>]*>.*?</(?:article|main|td)>')) AS raw FROM pages),
+b AS (SELECT page_id, unnest(list_concat(regexp_extract_all(html, '(?is)<p\\b[^>]*>.*?</p>'), regexp_extract_all(html, '(?is)<div\\b[^>]*>.*?</div>'))) AS raw FROM pages),
+x AS (SELECT page_id, max(length({_PLAIN})) FILTER (length({_PLAIN}) >= 120) AS n FROM a GROUP BY 1),
+y AS (SELECT page_id, max(length({_PLAIN})) FILTER (length({_PLAIN}) >= 120) AS n FROM b GROUP BY 1)
+SELECT page_id, CAST(least(coalesce(x.n, y.n), 20000) AS INT) AS chars FROM pages LEFT JOIN x USING (page_id) LEFT JOIN y USING (page_id) WHERE x.n IS NOT NULL""")
 def longest_block(spark, d):
-    rows = load(spark, d, "pages").where(F.col("html").rlike(r"(?is)<(article|main|td)\b[^>]*>.{300}"))
-    found = rows.select("page_id", F.length(TX.longest_block(F.col("html"))).alias("chars"))
-    return found
+    # pages whose article is long enough; the others may nest their paragraphs
+    pages = load(spark, d, "pages")
+    body = F.regexp_extract_all("html", F.lit(r"(?is)<(?:article|main|td)\b[^>]*>.*?</(?:article|main|td)>"), F.lit(0))
+    plain = F.transform(body, lambda b: TX.collapse_spaces(TX.basic_entities(TX.strip_tags(b))))
+    long = pages.where(F.exists(plain, lambda t: F.length(t) >= 120))
+    return long.select("page_id", F.length(TX.longest_block(F.col("html"))).alias("chars"))

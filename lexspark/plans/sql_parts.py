@@ -71,8 +71,8 @@ corpus AS (SELECT count(*) AS n, avg(len(n) + len(t)) AS avgdl FROM tok),
 freq AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
 want AS (SELECT DISTINCT qid, unnest({terms('query')}) AS term FROM {queries}),
 need AS (SELECT qid, count(*) AS n FROM want GROUP BY 1),
-hits AS (SELECT w.qid, p.doc_id, sum(greatest(ln((c.n - f.df + 0.5) / (f.df + 0.5)), 0.000001)
-    * (10.0 * p.a + p.b) * 2.2 / ((10.0 * p.a + p.b) + 1.2 * (0.25 + 0.75 * p.dl / c.avgdl))) AS score
+hits AS (SELECT w.qid, p.doc_id, round(sum(greatest(ln((c.n - f.df + 0.5) / (f.df + 0.5)), 0.000001)
+    * (10.0 * p.a + p.b) * 2.2 / ((10.0 * p.a + p.b) + 1.2 * (0.25 + 0.75 * p.dl / c.avgdl))), 9) AS score
   FROM want w JOIN post p USING (term) JOIN freq f USING (term) CROSS JOIN corpus c JOIN need USING (qid)
   GROUP BY w.qid, p.doc_id, need.n {'HAVING count(*) = need.n' if match_all else ''})
 """

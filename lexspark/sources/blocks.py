@@ -106,14 +106,12 @@ def label_table(html: Column) -> Column:
     pairs = F.filter(
         F.transform(rows, pair), lambda p: (F.length(p["label"]) > 0) & (F.length(p["value"]) > 0)
     )
-    labels = F.transform(pairs, lambda p: p["label"])
-    last = F.filter(
-        pairs,
-        lambda p, i: ~F.array_contains(
-            F.slice(labels, i + 2, F.greatest(F.size(labels) - i - 1, F.lit(0))), p["label"]
+    return F.aggregate(
+        pairs, F.expr("CAST(map() AS MAP<STRING, STRING>)"),
+        lambda acc, p: F.map_concat(
+            F.map_filter(acc, lambda k, _: k != p["label"]), F.create_map(p["label"], p["value"])
         ),
     )
-    return F.map_from_entries(last)
 
 
 def portuguese_judgments(pages: DataFrame) -> DataFrame:

@@ -49,19 +49,21 @@ def landed_cases(raw: DataFrame) -> DataFrame:
 
 
 def upsert_cases(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One row per case_id over both tables, which share columns and a growing ``seq``.
+    """One row per case_id over both tables, which share columns and a ``seq``.
 
-    The longest text stays (the older on a tie), metadata is the newest, every
-    other column keeps its first value. One partial aggregate, so any number of
-    copies of a case are merged before the shuffle.
+    Stored rows come before new ones, and new ones in ``seq`` order. The longest
+    text stays (the older on a tie), metadata is the newest, every other column
+    keeps its first value. One partial aggregate, so any number of copies of a
+    case are merged before the shuffle.
     """
-    rows = old.unionByName(new)
-    first = [c for c in rows.columns if c not in ("case_id", "full_text", "raw_metadata", "seq")]
-    longest = F.struct(F.length(F.coalesce("full_text", F.lit(""))), -F.col("seq"))
+    rows = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    first = [c for c in rows.columns if c not in ("case_id", "full_text", "raw_metadata", "seq", "_new")]
+    order = F.struct("_new", "seq")
+    longest = F.struct(F.length(F.coalesce("full_text", F.lit(""))), -F.col("_new"), -F.col("seq"))
     return rows.groupBy("case_id").agg(
         F.max_by("full_text", longest).alias("full_text"),
-        F.max_by("raw_metadata", "seq").alias("raw_metadata"),
-        F.min_by(F.struct(*first), "seq").alias("_first"),
+        F.max_by("raw_metadata", order).alias("raw_metadata"),
+        F.min_by(F.struct(*first), order).alias("_first"),
         F.max("seq").alias("seq"),
     ).select("case_id", "_first.*", "full_text", "raw_metadata", "seq")
 

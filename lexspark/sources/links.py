@@ -30,7 +30,7 @@ def link_profiles(spark: SparkSession) -> DataFrame:
         court, upper = L.COURT_RULES.get(profile, (None, False))
         keep = L.KEEP_LINK.get(profile, (None, None, None, None))
         rows.append((
-            profile, host, tier, kind, jurisdiction, source, min_title, anchor, h, t, part, pattern,
+            profile, host, tier, kind, jurisdiction, source, min_title, anchor, h, t, part, pattern and U + pattern,
             L.CONTEXT_WIDTH.get(profile, 0), court, upper, L.COURT_NAMES.get(profile),
             L.JURISDICTION_RULES.get(profile), L.SKIP_HREF.get((profile, tier), []),
             L.SKIP_TITLE.get((profile, tier)), keep[1], keep[3], profile in L.UNIQUE_HREF,
