@@ -156,13 +156,13 @@ def extract_citations_with_context(
     )
     hits = docs.select(
         doc_id, F.col(text).alias("_body"), F.upper(F.col(jurisdiction)).alias("_own"),
-        F.explode(F.array_compact(matching)).alias("p"),
-    )
+        F.explode_outer(F.array_compact(matching)).alias("p"),
+    ).where(F.col("p").isNotNull())
     found = hits.select(
         doc_id,
         (F.col("p.jurisdiction") != F.coalesce(F.col("_own"), F.lit(""))).cast("int").alias("_foreign"),
         F.col("p.pattern_no").alias("_pattern_no"), F.col("p.jurisdiction").alias("jurisdiction"),
-        F.posexplode(match_spans(F.col("_body"), F.col("p.pattern"), F.lit(width))).alias("_match_no", "m"),
+        F.posexplode_outer(match_spans(F.col("_body"), F.col("p.pattern"), F.lit(width))).alias("_match_no", "m"),
     )
     order = F.struct("_foreign", "_pattern_no", "_match_no")
     return (

@@ -70,31 +70,42 @@ def dates_in_text(text: Column, limit: int = 5) -> Column:
     return F.slice(F.array_distinct(dates), 1, limit)
 
 
+def _bound(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` worked out once, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def amount(text: Column, loose: bool = False) -> Column:
     """STRUCT<amount, currency> of the first sum of money, fields NULL if none.
 
     ``loose`` takes any following M or B for million or billion, also where it
     begins a word ("$5 more").
     """
-    def number(pattern: str, group: int) -> Column:
-        digits = _ascii_digits(F.regexp_extract(text, U + pattern, group))
-        return F.replace(digits, F.lit(",")).try_cast("double")
-
-    pattern = M.AMOUNT_SYMBOL_LOOSE if loose else M.AMOUNT_SYMBOL
-    symbol = F.upper(F.regexp_extract(text, U + pattern, 1))
-    scale = F.lower(F.regexp_extract(text, U + pattern, 3))
-    value = number(pattern, 2) * (
-        F.when(scale.isin("million", "m"), 1e6).when(scale.isin("billion", "b"), 1e9).otherwise(1.0)
-    )
+    symbol_pattern = U + (M.AMOUNT_SYMBOL_LOOSE if loose else M.AMOUNT_SYMBOL)
     currency = F.create_map(*[F.lit(x) for kv in M.CURRENCY.items() for x in kv])
 
-    def pair(v: Column, c: Column) -> Column:
-        return F.struct(v.alias("amount"), F.when(v.isNotNull(), c).alias("currency"))
+    def number(found: Column, pattern: str, group: int) -> Column:
+        return F.replace(_ascii_digits(F.regexp_extract(found, pattern, group)), F.lit(",")).try_cast("double")
 
-    return (
-        F.when(text.rlike(U + M.AMOUNT_OKU), pair(number(M.AMOUNT_OKU, 1) * 1e8, F.lit("JPY")))
-        .when(text.rlike(U + M.AMOUNT_MAN), pair(number(M.AMOUNT_MAN, 1) * 1e4, F.lit("JPY")))
-        .otherwise(pair(value, F.try_element_at(currency, symbol)))
+    def pair(value: Column, code: Column) -> Column:
+        return F.struct(value.alias("amount"), F.when(value.isNotNull(), code).alias("currency"))
+
+    def yen(pattern: str, unit: float) -> Column:
+        return _bound(
+            F.regexp_extract(text, U + pattern, 0), lambda m: F.when(m != "", pair(number(m, U + pattern, 1) * unit, F.lit("JPY")))
+        )
+
+    def by_symbol(m: Column) -> Column:
+        scale = F.lower(F.regexp_extract(m, symbol_pattern, 3))
+        factor = F.when(scale.isin("million", "m"), 1e6).when(scale.isin("billion", "b"), 1e9).otherwise(1.0)
+        code = F.try_element_at(currency, F.upper(F.regexp_extract(m, symbol_pattern, 1)))
+        return pair(number(m, symbol_pattern, 2) * factor, code)
+
+    # each pattern runs only over texts that hold its sign
+    return F.coalesce(
+        F.when(F.contains(text, F.lit("億")), yen(M.AMOUNT_OKU, 1e8)),
+        F.when(F.contains(text, F.lit("万")), yen(M.AMOUNT_MAN, 1e4)),
+        _bound(F.when(text.rlike(r"(?i)[€$¥]|USD|EUR|JPY"), F.regexp_extract(text, symbol_pattern, 0)), by_symbol),
     )
 
 

@@ -30,12 +30,13 @@ def contains_join(
     sizes = wanted.agg(F.collect_set("_size")).scalar()
     key_cols = [c for c in keys.columns]
 
-    key_grams = wanted.select(*key_cols, F.explode(_grams(F.col(key), F.col("_size"))).alias("_gram"))
+    key_grams = wanted.select(*key_cols, F.explode_outer(_grams(F.col(key), F.col("_size"))).alias("_gram"))
     # the few gram sizes in use, nearly always just one
     sized = texts.where(F.col(text).isNotNull()).withColumn("_sizes", sizes).select(
         *texts.columns, F.explode("_sizes").alias("_size")
     )
-    text_grams = sized.select(*texts.columns, F.explode(_grams(F.col(text), F.col("_size"))).alias("_gram"))
+    text_grams = sized.select(*texts.columns, F.explode_outer(_grams(F.col(text), F.col("_size"))).alias("_gram"))
+    text_grams = text_grams.where(F.col("_gram").isNotNull())
     # only grams some key has leave the scan
     text_grams = text_grams.join(key_grams.select("_gram").distinct(), "_gram", "left_semi")
     frequency = text_grams.groupBy("_gram").agg(F.count("*").alias("_df"))

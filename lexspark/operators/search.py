@@ -35,22 +35,22 @@ def postings(
     stands between the tokeniser and the shuffle. The document length rides
     along, so that scoring needs no join for it.
     """
-    def tagged(tokens: str, is_name: int) -> Column:
-        return F.transform(
-            tokens,
-            lambda t: F.struct(
-                t.alias("term"), F.lit(is_name).alias("in_name"), F.lit(1 - is_name).alias("in_text")
-            ),
-        )
-
     split = docs.select(doc_id, _tokens(name, bigrams).alias("_n"), _tokens(text, bigrams).alias("_t"))
-    rows = split.select(
-        doc_id, (F.size("_n") + F.size("_t")).alias("length"), F.inline(F.concat(tagged("_n", 1), tagged("_t", 0)))
+    # the sizes are taken in a step of their own: beside the generator they would make
+    # every token row carry both token lists
+    sized = split.select(
+        doc_id, F.size("_n").alias("_names"), (F.size("_n") + F.size("_t")).alias("length"),
+        F.concat("_n", "_t").alias("_all"),
+    )
+    # the outer form: for the inner one the optimizer adds a non-empty test that splits the text again
+    rows = sized.select(doc_id, "_names", "length", F.posexplode_outer("_all").alias("_pos", "term")).where(
+        F.col("term").isNotNull()
     )
     if terms is not None:
         rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
     return rows.groupBy(doc_id, "term").agg(
-        F.sum("in_name").alias("tf_name"), F.sum("in_text").alias("tf_text"), F.max("length").alias("length")
+        F.count_if(F.col("_pos") < F.col("_names")).alias("tf_name"),
+        F.count_if(F.col("_pos") >= F.col("_names")).alias("tf_text"), F.max("length").alias("length"),
     )
 
 
@@ -120,7 +120,8 @@ def bm25_matches(
     """
     wanted = query_terms(queries, qid)
     if index is None:
-        hits = postings(docs, doc_id, name, text, terms=wanted)
+        # read by four steps below; without the cut each of them would tokenise the texts
+        hits = cut_lineage(postings(docs, doc_id, name, text, terms=wanted))
         lengths = document_lengths(docs, doc_id, name, text)
     else:
         hits, lengths = index
@@ -131,9 +132,7 @@ def bm25_matches(
     n_docs = corpus.select("n").scalar()
     average = corpus.select("avg").scalar()
 
-    # counted over the same columns scoring reads, so both share one shuffle of the postings
-    present = (F.col("tf_name") + F.col("tf_text") > 0) & (F.col("length") > 0)
-    frequency = hits.groupBy("term").agg(F.count_if(present).alias("df"))
+    frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
     df = F.col("df")
     weighted = wanted.join(frequency, "term").select(
         "term", qid, "n_terms",

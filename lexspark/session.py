@@ -14,6 +14,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # let AQE split a hot join key even where that costs one more shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # a broadcast of texts would tie the text stages to the few splits of the other side
+    "spark.sql.autoBroadcastJoinThreshold": "4m",
     # regex stages are heavy per byte: keep small shuffles spread over the cores
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }

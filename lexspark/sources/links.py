@@ -70,8 +70,9 @@ def extract_links(pages: DataFrame, profiles: DataFrame | None = None, row_limit
     )
     found = matched.select(
         "page_id", "url", "host", *[c for c in profiles.columns if c != "host"],
-        F.posexplode(around).alias("position", "found"),
-    )
+        # the outer form: the inner one would run the patterns again for a non-empty test
+        F.posexplode_outer(around).alias("position", "found"),
+    ).where(F.col("found").isNotNull())
     text = F.col("found.match")
     links = found.withColumn("href", _group(text, "anchor", F.col("href_group"))).withColumn(
         "inner", _group(text, "anchor", F.col("title_group"))
