@@ -37,9 +37,11 @@ def contains_join(
     )
     text_grams = sized.select(*texts.columns, F.explode_outer(_grams(F.col(text), F.col("_size"))).alias("_gram"))
     text_grams = text_grams.where(F.col("_gram").isNotNull())
-    # only grams some key has leave the scan
-    text_grams = text_grams.join(key_grams.select("_gram").distinct(), "_gram", "left_semi")
-    frequency = text_grams.groupBy("_gram").agg(F.count("*").alias("_df"))
+    # only grams some key has are counted; the join itself then reads the chosen ones alone
+    frequency = (
+        text_grams.select("_gram").join(key_grams.select("_gram").distinct(), "_gram", "left_semi")
+        .groupBy("_gram").agg(F.count("*").alias("_df"))
+    )
     rarest = (
         key_grams.join(frequency, "_gram", "left")
         .groupBy(*key_cols)
