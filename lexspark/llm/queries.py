@@ -10,6 +10,7 @@ from lexspark.llm.chunks import edited_fingerprints
 from lexspark.llm.common import table
 from lexspark.llm.jaccard import jaccard_components
 from lexspark.llm.langid import language_ids
+from lexspark.llm.logbilinear import language_model_scores
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -38,3 +39,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"))
