@@ -5,12 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lexspark.llm import cotraining
 from lexspark.llm.bpe import token_counts
 from lexspark.llm.chunks import edited_fingerprints
 from lexspark.llm.common import table
+from lexspark.llm.cotraining import classify
 from lexspark.llm.jaccard import jaccard_components
 from lexspark.llm.langid import language_ids
 from lexspark.llm.logbilinear import language_model_scores
+from lexspark.llm.pfair import mix
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -44,3 +47,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return classify(documents, cotraining.train(documents, table(spark, sf_dir, "labels"))).select("doc_id", *cotraining.RESULT)
+
+
+@_query
+def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
