@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexspark.llm import cotraining
 from lexspark.llm.bpe import token_counts
@@ -12,8 +13,11 @@ from lexspark.llm.common import table
 from lexspark.llm.cotraining import classify
 from lexspark.llm.jaccard import jaccard_components
 from lexspark.llm.langid import language_ids
+from lexspark.llm.licenses import scan
 from lexspark.llm.logbilinear import language_model_scores
 from lexspark.llm.pfair import mix
+from lexspark.llm.styletree import extract_articles
+from lexspark.llm.wand import leaks
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -58,3 +62,20 @@ def op5_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+
+
+@_query
+def op1_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_articles(table(spark, sf_dir, "pages"))
+
+
+@_query
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", F.expr("CAST(doc_id DIV 100 AS STRING)"), F.col("doc_id").cast("string"))
+    return scan(documents.select("doc_id", path.alias("path"), "text"))
