@@ -13,7 +13,9 @@ emits all its pairs. Under each n-gram of a head, members first meet the member
 the fewest rarer n-grams. Members that this leaves apart then meet those members of
 other components whose size and place still allow a link; sizes and places are
 compared as distinct values before any members are. Links inside a component change
-nothing and are not counted.
+nothing and are not counted. The heads of a pair, which are at hand, are counted before
+its fragments: most pairs that share an n-gram by chance end there, and no set is sent
+for them.
 
 Defined cases: null or blank texts have size 0 and are linked with nothing; a text of
 fewer words than the n-gram has its whole sequence as its only one; rows with a null
@@ -166,24 +168,56 @@ def _can_link(num: int, den: int) -> str:
     )
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, shared_order, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, of sizes na, nb) whose overlap, summed over the fragments, makes a link."""
-    spark = texts.sparkSession
+def _bitmap(pairs: DataFrame) -> bytes:
+    """FILTER_BITS bits that are set for the keys of the pairs (and for some others, which later joins drop)."""
     slot = F.pmod(F.col("key"), F.lit(FILTER_BITS)) + 1
-    bits = (
+    rows = (
         pairs.select(F.explode(F.array("a", "b")).alias("key")).select(slot.alias("slot"))
         .groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
-    )  # FILTER_BITS / 8 bytes at most
+    )
     wanted = bytearray(FILTER_BITS // 8)
-    for r in bits:
+    for r in rows:
         wanted[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = r["bits"]
-    shared = spark.sparkContext.broadcast((*shared_order, bytes(wanted)))
-    sets = texts.mapInArrow(_segments(shared, size), "key bigint, fragment int, segment array<bigint>")
+    return bytes(wanted)
+
+
+def _wanted(shared):
+    def wanted(batches: Batches) -> Batches:
+        bits = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            slot = batch.column("key").to_numpy() % FILTER_BITS
+            yield batch.filter(pa.array((bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)))
+
+    return wanted
+
+
+def _promising(pairs: DataFrame, sets: DataFrame, bits: bytes, num: int, den: int) -> DataFrame:
+    """The pairs that their heads do not rule out.
+
+    Up to the lesser of the two last n-grams the heads tell the overlap exactly; beyond it
+    the shorter remainder bounds it.
+    """
+    shared = pairs.sparkSession.sparkContext.broadcast(bits)
+    heads = sets.select("key", "head").mapInArrow(_wanted(shared), "key bigint, head array<bigint>").dropDuplicates(["key"])
+    both = (
+        pairs.join(heads.select(F.col("key").alias("a"), F.col("head").alias("head_a")), "a")
+        .join(heads.select(F.col("key").alias("b"), F.col("head").alias("head_b")), "b")
+        .withColumn("last", F.least(F.element_at("head_a", -1), F.element_at("head_b", -1)))
+        .withColumns({c: F.filter(c, lambda g: g <= F.col("last")) for c in ("head_a", "head_b")})
+    )
+    most = F.size(F.array_intersect("head_a", "head_b")) + F.least(F.col("na") - F.size("head_a"), F.col("nb") - F.size("head_b"))
+    return both.where((num + den) * most >= num * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, texts: DataFrame, order, size: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, of sizes na, nb) whose overlap, summed over the fragments, makes a link."""
+    pairs = cut_lineage(_promising(pairs, sets, _bitmap(pairs), num, den))
+    shared = texts.sparkSession.sparkContext.broadcast((*order, _bitmap(pairs)))
+    segments = texts.mapInArrow(_segments(shared, size), "key bigint, fragment int, segment array<bigint>")
     # one copy of each set: equal sets come from several tasks
-    sets = sets.groupBy("key", "fragment").agg(F.any_value("segment").alias("segment"))
-    sets = cut_lineage(sets)
-    left = sets.select(F.col("key").alias("a"), "fragment", F.col("segment").alias("left_segment"))
-    right = sets.select(F.col("key").alias("b"), "fragment", F.col("segment").alias("right_segment"))
+    segments = cut_lineage(segments.groupBy("key", "fragment").agg(F.any_value("segment").alias("segment")))
+    left = segments.select(F.col("key").alias("a"), "fragment", F.col("segment").alias("left_segment"))
+    right = segments.select(F.col("key").alias("b"), "fragment", F.col("segment").alias("right_segment"))
     counted = (
         pairs.join(left, "a").join(right, ["b", "fragment"])
         .select("a", "b", "na", "nb", F.size(F.array_intersect("left_segment", "right_segment")).alias("partial"))
@@ -221,13 +255,14 @@ def jaccard_components(documents: DataFrame, size: int = 3, num: int = 90, den:
     met = cut_lineage(postings.join(shared_grams, "gram"))
     test = _can_link(num, den)
     first = cut_lineage(_pairs(met.where(f"key <> other AND {test}")))
-    links = cut_lineage(_linked(first, texts, order, size, num, den))
+    links = cut_lineage(_linked(first, sets, texts, order, size, num, den))
     labels = connected_components(links)
     named = labels.select(F.col("node").alias("key"), "label")
     # members outside their leader's component, and the sizes and places under the same n-gram that could link with theirs
     of = met.join(named, "key", "left").withColumn("label", F.coalesce("label", "key"))
     lead = named.select(F.col("key").alias("other"), F.col("label").alias("lead_label"))
-    of = cut_lineage(of.join(lead, "other", "left").withColumn("lead_label", F.coalesce("lead_label", "other")))
+    of = of.join(lead, "other", "left").withColumn("lead_label", F.coalesce("lead_label", "other"))
+    of = cut_lineage(of.select("gram", "key", "n", "place", "label", "lead_label"))
     apart = of.where("label <> lead_label").select("gram", "key", "n", "place", "label")
     kinds = of.select("gram", F.col("n").alias("other_n"), F.col("place").alias("other_place")).distinct()
     others = of.select("gram", F.col("key").alias("other"), F.col("n").alias("other_n"), F.col("place").alias("other_place"), F.col("label").alias("other_label"))
@@ -237,7 +272,7 @@ def jaccard_components(documents: DataFrame, size: int = 3, num: int = 90, den:
     )
     second = cut_lineage(_pairs(second).join(first.select("a", "b"), ["a", "b"], "left_anti"))
     if not second.isEmpty():
-        more = _linked(second, texts, order, size, num, den)
+        more = _linked(second, sets, texts, order, size, num, den)
         labels = connected_components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
     least = members.groupBy("key").agg(F.min("doc_id").alias("least"))
     named = labels.select(F.col("node").alias("key"), "label")
