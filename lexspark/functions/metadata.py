@@ -62,12 +62,13 @@ def normalize_date(col: Column) -> Column:
     )
 
 
-def dates_in_text(text: Column, limit: int = 5) -> Column:
-    """First ``limit`` distinct dates, in the order of the date formats."""
+def dates_in_text(text: Column, limit: int | None = None) -> Column:
+    """Distinct dates, in the order of the date formats; the first ``limit`` of them if one is given."""
     forms = [M.DATE_ISO, M.DATE_MONTH_FIRST, M.DATE_DAY_FIRST, M.DATE_REIWA, M.DATE_HEISEI, M.DATE_KANJI]
     raw = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(U + f), F.lit(0)) for f in forms]))
     dates = F.filter(F.transform(raw, normalize_date), lambda d: d.isNotNull())
-    return F.slice(F.array_distinct(dates), 1, limit)
+    dates = F.array_distinct(dates)
+    return dates if limit is None else F.slice(dates, 1, limit)
 
 
 def _bound(value: Column, fn) -> Column:

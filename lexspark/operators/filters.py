@@ -57,7 +57,7 @@ def cases_containing(
     )
     return rows.orderBy(
         F.col("has_content").desc(), F.col("importance_score").desc_nulls_last(), "case_id"
-    ).limit(min(k, 50))
+    ).limit(k)
 
 
 def search_disputes(

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PREFILTER_LIMIT = 1000
-RESULT_CAP = 50
-
 
 def top_per_group(
     df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str | None = None

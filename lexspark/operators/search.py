@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexspark.fixed.jurisdictions import SIMILAR_SEARCH_JURISDICTIONS
 from lexspark.functions.text import leading_year, search_terms, selected_keywords
 from lexspark.operators.filters import equals_either, in_years
-from lexspark.operators.ranking import PREFILTER_LIMIT, RESULT_CAP, top_per_group
+from lexspark.operators.ranking import top_per_group
 from lexspark.session import cut_lineage, first_text, struct_rows
 
 NAME_WEIGHT, TEXT_WEIGHT = 10.0, 1.0
@@ -208,12 +208,15 @@ def _with_defaults(queries: DataFrame, **columns: str) -> DataFrame:
     return queries
 
 
-def search_cases(queries: DataFrame, cases: DataFrame, k: int = 20, index=None) -> DataFrame:
-    """Top ``k`` (at most 50) cases of each query (qid, query, jurisdiction, year_from, year_to).
+def search_cases(
+    queries: DataFrame, cases: DataFrame, k: int = 20, index=None, prefilter: int | None = None
+) -> DataFrame:
+    """Top ``k`` cases of each query (qid, query, jurisdiction, year_from, year_to).
 
     A query with a jurisdiction sees its cases with content; one without sees
-    the best thousand by BM25. Both are then ordered by content, importance,
-    BM25 and id.
+    all cases. What the years allow is ordered by content, importance, BM25 and
+    id. ``prefilter`` keeps that many of the best by BM25, among those that the
+    years allow, for a query without a jurisdiction.
     """
     queries = _known_scope(
         _with_defaults(queries, jurisdiction="string", year_from="int", year_to="int")
@@ -221,21 +224,24 @@ def search_cases(queries: DataFrame, cases: DataFrame, k: int = 20, index=None)
     matches = bm25_matches(
         queries, cases, "case_id", "case_name", "full_text", index=index, restrict=["jurisdiction"]
     )
-    wide = queries.where(F.col("jurisdiction").isNull()).select("qid")
-    local = matches.join(wide, "qid", "left_anti")
-    best = top_per_group(
-        matches.join(wide, "qid", "left_semi"), ["qid"], [F.col("score").desc(), F.col("case_id")], PREFILTER_LIMIT
-    )
     limits = queries.select("qid", F.col("jurisdiction").alias("_j"), "year_from", "year_to")
+    # ranks first, on narrow rows; names, courts and summaries only join the rows that are returned
+    narrow = ["case_id", "decision_date", "has_content", "importance_score"]
     rows = (
-        local.unionByName(best).join(limits, "qid").join(cases.select(*CASE_RESULT), "case_id")
+        matches.join(limits, "qid").join(cases.select(*narrow), "case_id")
         .where(F.col("_j").isNull() | (F.col("has_content") == 1))
         .where(in_years(F.col("decision_date"), F.col("year_from"), F.col("year_to")))
     )
+    if prefilter is not None:
+        best = top_per_group(
+            rows.where(F.col("_j").isNull()), ["qid"], [F.col("score").desc(), F.col("case_id")], prefilter
+        )
+        rows = rows.where(F.col("_j").isNotNull()).unionByName(best)
     order = [
         F.col("has_content").desc(), F.col("importance_score").desc_nulls_last(), F.col("score").desc(), F.col("case_id"),
     ]
-    return top_per_group(rows, ["qid"], order, min(k, RESULT_CAP), rank="position").select(
+    ranked = top_per_group(rows, ["qid"], order, k, rank="position").select("qid", "position", "case_id", "score")
+    return ranked.join(cases.select(*CASE_RESULT), "case_id").select(
         "qid", "position", *CASE_RESULT, leading_year(F.col("decision_date")).alias("year"), "score"
     )
 
@@ -309,7 +315,7 @@ def search_cases_advanced(queries: DataFrame, cases: DataFrame, k: int = 20) ->
                 F.col("_subject").isNull() | equals_either("subject_area", "subject_area_suggested", F.col("_subject"))
             )
         rows = rows.drop("case_type_suggested", "subject_area_suggested", "_type", "_subject", "year_from", "year_to")
-        return top_per_group(rows, ["qid"], order, min(k, RESULT_CAP), rank="position").withColumn(
+        return top_per_group(rows, ["qid"], order, k, rank="position").withColumn(
             "fallback_used", F.lit(fallback)
         )
 

@@ -81,10 +81,9 @@ def search_cases(spark, d):
 
 
 @query("search_everywhere", _CASE_HITS + f"""
-, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS n FROM hits) WHERE n <= 1000),
-r AS (SELECT h.qid, c.case_id, row_number() OVER (PARTITION BY h.qid ORDER BY {_ORDER}) AS position FROM b h JOIN cases c ON c.case_id = h.doc_id
+, r AS (SELECT h.qid, c.case_id, row_number() OVER (PARTITION BY h.qid ORDER BY {_ORDER}) AS position FROM hits h JOIN cases c ON c.case_id = h.doc_id
   WHERE c.decision_date >= '1996-01-01' AND c.decision_date <= '2000-12-31')
-SELECT qid, CAST(position AS INT) AS position, case_id FROM r WHERE position <= 50""")
+SELECT qid, CAST(position AS INT) AS position, case_id FROM r WHERE position <= 100""")
 def search_everywhere(spark, d):
     asked = _queries(spark, d).select("qid", "query", F.lit("ALL").alias("jurisdiction")).withColumn(
         "year_from", F.lit(1996)

@@ -15,6 +15,10 @@ RAW_DDL = (
 )
 
 
+# batch number of a compacted base; streams count from 0
+BASE = -1
+
+
 def read_landing(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """JSON records landed under ``path`` as a stream."""
     return spark.readStream.schema(RAW_DDL).option("maxFilesPerTrigger", files_per_batch).json(path)
@@ -41,5 +45,9 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
 
 
 def compact_store(spark: SparkSession, store: str, target: str) -> None:
-    """Write the current cases of ``store`` as a new one-batch store under ``target``."""
-    read_store(spark, store).write.mode("overwrite").parquet(f"{target}/batch=0")
+    """Write the current cases of ``store`` as the base of a new store under ``target``.
+
+    The base is batch -1, which no stream writes: a stream that starts on the
+    compacted store, with whatever checkpoint, adds to it and overwrites none of it.
+    """
+    read_store(spark, store).write.mode("overwrite").parquet(f"{target}/batch={BASE}")

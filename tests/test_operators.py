@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lexspark.functions.metadata import dates_in_text
 from lexspark.operators import entities as E
 from lexspark.operators import events as EV
 from lexspark.operators import graph as G
@@ -246,3 +247,30 @@ def test_changes(spark, tmp_path):
     stats = spark.createDataFrame([("s", "i", "US", 1.0, 1), ("s", "i", "US", 2.0, 2)], "source STRING, indicator STRING, jurisdiction STRING, value DOUBLE, seq INT")
     EV.take_snapshot(stats, str(tmp_path / "snap"))
     assert [r.value for r in spark.read.parquet(str(tmp_path / "snap")).collect()] == [2.0]
+
+
+def test_search_filters_years_before_it_cuts(spark):
+    rows = [(f"c{i:04}", "Smith", "US", "smith " * (1 + i % 7), "2001-01-01" if i % 11 else "1990-01-01", 1, i) for i in range(300)]
+    cases = spark.createDataFrame(rows, "case_id string, case_name string, jurisdiction string, full_text string, decision_date string, has_content int, importance_score int")
+    missing = {c: F.lit(None).cast("string") for c in S.CASE_RESULT if c not in cases.columns}
+    asked = spark.createDataFrame([(1, "smith", "ALL", 1990, 1990)], "qid int, query string, jurisdiction string, year_from int, year_to int")
+    old = sum(i % 11 == 0 for i in range(300))
+    assert S.search_cases(asked, cases.withColumns(missing), 1000).count() == old
+    assert S.search_cases(asked, cases.withColumns(missing), 1000, prefilter=5).count() == 5
+    everything = asked.withColumn("year_from", F.lit(None).cast("int")).withColumn("year_to", F.lit(None).cast("int"))
+    assert S.search_cases(everything, cases.withColumns(missing), 100).count() == 100
+
+
+def test_network_follows_any_depth_and_keeps_long_references(spark):
+    chain = [(f"n{i}", f"n{i + 1}", f"ref {i}", "") for i in range(6)] + [("n0", None, "x" * 600 + e, "") for e in "ab"]
+    edges = spark.createDataFrame(chain, "citing_case_id string, cited_case_id string, cited_reference string, citation_context string")
+    cases = spark.createDataFrame([(f"n{i}", "", "", "", "") for i in range(7)], "case_id string, case_name string, jurisdiction string, court string, decision_date string")
+    net = G.citation_network(cases.where("case_id = 'n0'").select("case_id"), edges, cases, depth=6)
+    assert sorted((r.case_id, r.depth) for r in net.nodes.collect()) == [(f"n{i}", i) for i in range(7)]
+    assert net.unresolved.count() == 2 and G.unresolved_references(edges).count() == 2
+
+
+def test_all_dates_of_a_text_count(spark):
+    text = " ".join(f"20{i:02}-01-0{1 + i % 9}" for i in range(1, 13))
+    (n,) = spark.createDataFrame([(text,)], "t string").select(F.size(dates_in_text(F.col("t")))).first()
+    assert n == 12
