@@ -110,7 +110,7 @@ def test_landing_stream(spark, tmp_path):
     compact_store(spark, store, target)
     assert read_store(spark, target).count() == 1
     # a stream with a new checkpoint starts at batch 0 and must leave the base alone
-    (landing / "3.json").write_text(json.dumps(_raw(2, "another text", "Second") | {"case_id": "other"}), encoding="utf-8")
+    (landing / "3.json").write_text(json.dumps(_raw(2, "another text", "Second") | {"id": "8"}), encoding="utf-8")
     again = upsert_stream(read_landing(spark, str(landing)), target, str(tmp_path / "ck2")).trigger(availableNow=True).start()
     again.awaitTermination(120)
     assert sorted(r.case_name for r in read_store(spark, target).collect()) == ["First", "Second"]
