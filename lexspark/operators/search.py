@@ -27,31 +27,60 @@ def _tokens(col: str, bigrams: bool) -> Column:
 
 
 def postings(
-    docs: DataFrame, doc_id: str, name: str, text: str, terms: DataFrame | None = None, bigrams: bool = False
+    docs: DataFrame, doc_id: str, name: str, text: str, terms: DataFrame | None = None, bigrams: bool = False,
+    keep: tuple[str, ...] = (), positions: bool = False, ends: bool = False,
 ) -> DataFrame:
-    """(doc_id, term, tf_name, tf_text, length).
-
-    With ``terms`` (a column ``term``) only those leave the scan: the semi join
-    stands between the tokeniser and the shuffle. The document length rides
-    along, so that scoring needs no join for it.
+    """(doc_id, keep..., term, tf_name, tf_text, length), and ``positions`` where asked for.
+
+    With ``terms`` (a column ``term``) only those leave the scan: the join stands
+    between the tokeniser and the shuffle. The document length and the columns
+    ``keep`` ride along, so that scoring needs no join for them. Positions run
+    through both fields with a gap of one between them; with ``terms`` that have
+    a column ``phrases``, only terms of a phrase carry theirs. ``ends`` adds one
+    row of the empty term per document, for the statistics of the corpus.
     """
-    split = docs.select(doc_id, _tokens(name, bigrams).alias("_n"), _tokens(text, bigrams).alias("_t"))
+    split = docs.select(doc_id, *keep, _tokens(name, bigrams).alias("_n"), _tokens(text, bigrams).alias("_t"))
     # the sizes are taken in a step of their own: beside the generator they would make
     # every token row carry both token lists
+    first = [F.array(F.lit(""))] if ends else []
     sized = split.select(
-        doc_id, F.size("_n").alias("_names"), (F.size("_n") + F.size("_t")).alias("length"),
-        F.concat("_n", "_t").alias("_all"),
+        doc_id, *keep, F.size("_n").alias("_names"), (F.size("_n") + F.size("_t")).alias("length"),
+        F.concat(*first, "_n", "_t").alias("_all"),
     )
     # the outer form: for the inner one the optimizer adds a non-empty test that splits the text again
-    rows = sized.select(doc_id, "_names", "length", F.posexplode_outer("_all").alias("_pos", "term")).where(
+    rows = sized.select(doc_id, *keep, "_names", "length", F.posexplode_outer("_all").alias("_pos", "term")).where(
         F.col("term").isNotNull()
     )
+    if ends:
+        rows = rows.withColumn("_pos", F.col("_pos") - 1)
+    placed = F.lit(True)
     if terms is not None:
-        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy(doc_id, "term").agg(
-        F.count_if(F.col("_pos") < F.col("_names")).alias("tf_name"),
-        F.count_if(F.col("_pos") >= F.col("_names")).alias("tf_text"), F.max("length").alias("length"),
-    )
+        in_phrase = F.lit(positions)
+        if positions and "phrases" in terms.columns:
+            in_phrase = F.exists("phrases", lambda p: F.array_contains(F.split(p, " "), F.col("term")))
+        wanted = terms.select("term", in_phrase.alias("_placed"))
+        if ends:
+            wanted = wanted.unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(False).alias("_placed")))
+        rows = rows.join(wanted.groupBy("term").agg(F.bool_or("_placed").alias("_placed")), "term")
+        placed = F.col("_placed")
+    token = F.col("term") != ""
+    found = [
+        F.count_if(token & (F.col("_pos") < F.col("_names"))).alias("tf_name"),
+        F.count_if(token & (F.col("_pos") >= F.col("_names"))).alias("tf_text"), F.max("length").alias("length"),
+    ]
+    if positions:
+        place = F.col("_pos") + (F.col("_pos") >= F.col("_names")).cast("int")
+        found.append(F.collect_list(F.when(token & placed, place)).alias("positions"))
+    return rows.groupBy(doc_id, *keep, "term").agg(*found)
+
+
+def text_index(
+    docs: DataFrame, doc_id: str, name: str, text: str, terms: DataFrame | None = None,
+    keep: tuple[str, ...] = (), positions: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) from one pass over the texts, for several searches; ``terms`` as of ``query_terms``."""
+    rows = cut_lineage(postings(docs, doc_id, name, text, terms, keep=keep, positions=positions, ends=True))
+    return rows.where(F.col("term") != ""), rows.where(F.col("term") == "").select(doc_id, *keep, "length")
 
 
 def document_lengths(docs: DataFrame, doc_id: str, name: str, text: str, bigrams: bool = False) -> DataFrame:
@@ -59,9 +88,11 @@ def document_lengths(docs: DataFrame, doc_id: str, name: str, text: str, bigrams
     return docs.select(doc_id, (F.size(_tokens(name, bigrams)) + F.size(_tokens(text, bigrams))).alias("length"))
 
 
-def write_index(docs: DataFrame, doc_id: str, name: str, text: str, path: str, buckets: int = 256) -> None:
-    """Persist postings by term bucket, and document lengths, under ``path``."""
-    rows = postings(docs, doc_id, name, text).withColumn("bucket", term_bucket(F.col("term"), buckets))
+def write_index(
+    docs: DataFrame, doc_id: str, name: str, text: str, path: str, buckets: int = 256, keep: tuple[str, ...] = ()
+) -> None:
+    """Persist postings with positions and the columns ``keep`` by term bucket, and document lengths, under ``path``."""
+    rows = postings(docs, doc_id, name, text, keep=keep, positions=True).withColumn("bucket", term_bucket(F.col("term"), buckets))
     # a common term has a posting per document: the salt keeps its bucket in many tasks
     salt = F.pmod(F.xxhash64(doc_id), F.lit(8))
     rows.repartition("bucket", salt).sortWithinPartitions("term").write.mode("overwrite").partitionBy(
@@ -113,21 +144,20 @@ def bm25_matches(
     """(qid, doc_id, score) of the documents that match each query.
 
     All terms are required, or any with ``match_all=False``. Scores are
-    positive; name tokens weigh ten times. ``index`` uses postings stored in
-    ``buckets`` term buckets, otherwise the texts are tokenised on the fly for the query terms only.
+    positive; name tokens weigh ten times. ``index`` uses given postings, stored in
+    ``buckets`` term buckets or not, otherwise the texts are tokenised once for the query terms only.
     ``restrict`` names columns that a query, where it sets them, shares with
-    its results; the term statistics stay those of the whole corpus.
+    its results; the term statistics stay those of the whole corpus. Where the
+    postings carry those columns, documents out of scope go before terms are paired.
     """
+    restrict = restrict or []
     wanted = query_terms(queries, qid)
     if index is None:
-        # read by four steps below; without the cut each of them would tokenise the texts
-        hits = cut_lineage(postings(docs, doc_id, name, text, terms=wanted))
-        lengths = document_lengths(docs, doc_id, name, text)
-    else:
-        hits, lengths = index
-        if "bucket" in hits.columns:
-            keys = wanted.select("term").distinct().withColumn("bucket", term_bucket(F.col("term"), buckets))
-            hits = hits.join(keys, ["bucket", "term"], "left_semi").drop("bucket")
+        index = text_index(docs, doc_id, name, text, wanted, tuple(restrict), positions=match_all)
+    hits, lengths = index
+    if "bucket" in hits.columns:
+        keys = wanted.select("term").distinct().withColumn("bucket", term_bucket(F.col("term"), buckets))
+        hits = hits.join(keys, ["bucket", "term"], "left_semi").drop("bucket")
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avg"))
     n_docs = corpus.select("n").scalar()
     average = corpus.select("avg").scalar()
@@ -138,13 +168,27 @@ def bm25_matches(
         "term", qid, "n_terms",
         F.greatest(F.log((n_docs - df + 0.5) / (df + 0.5)), F.lit(MIN_IDF)).alias("idf"),
     )
-    matched = hits.join(weighted, "term")
+    carried = [c for c in restrict if c in hits.columns]
+    limits = queries.select(qid, *[F.col(c).alias(f"_q_{c}") for c in restrict])
+
+    def in_scope(rows: DataFrame) -> DataFrame:
+        if len(carried) < len(restrict):
+            rows = rows.drop(*carried).join(docs.select(doc_id, *restrict), doc_id)
+        for c in restrict:
+            rows = rows.where(F.col(f"_q_{c}").isNull() | (F.col(f"_q_{c}") == F.col(c)))
+        return rows
+
+    found = hits.select(doc_id, "term", "tf_name", "tf_text", "length")
     if match_all:
         # only documents with the rarest term of a query can match it: common terms
         # are looked up for those, instead of pairing a query with the whole corpus
-        rarest = weighted.groupBy(qid).agg(F.max_by("term", F.struct("idf", "term")).alias("term"))
-        candidates = hits.select(doc_id, "term").join(rarest, "term").select(qid, doc_id)
-        matched = candidates.join(weighted, qid).join(hits, [doc_id, "term"])
+        rarest = weighted.groupBy(qid).agg(F.max_by("term", F.struct("idf", "term")).alias("term")).join(limits, qid)
+        candidates = in_scope(hits.select(doc_id, *carried, "term").join(rarest, "term")).select(qid, doc_id)
+        matched = candidates.join(weighted, qid).join(found, [doc_id, "term"])
+    else:
+        matched = in_scope(
+            hits.select(doc_id, *carried, "term", "tf_name", "tf_text", "length").join(weighted.join(limits, qid), "term")
+        )
     f = NAME_WEIGHT * F.col("tf_name") + TEXT_WEIGHT * F.col("tf_text")
     norm = K1 * (1.0 - B + B * F.col("length") / average)
     scored = (
@@ -157,40 +201,29 @@ def bm25_matches(
     )
     if match_all:
         scored = scored.where(F.col("_terms") == F.col("_needed"))
-    scored = scored.select(qid, doc_id, "score")
-    if restrict:
-        limits = queries.select(qid, *[F.col(c).alias(f"_q_{c}") for c in restrict])
-        scored = scored.join(limits, qid).join(docs.select(doc_id, *restrict), doc_id)
-        for c in restrict:
-            scored = scored.where(F.col(f"_q_{c}").isNull() | (F.col(f"_q_{c}") == F.col(c)))
-        scored = scored.select(qid, doc_id, "score")
-    # searches read their matches more than once: the texts must not be tokenised again for it
-    scored = cut_lineage(scored)
-    return _verify_phrases(scored, wanted, docs, doc_id, name, text, qid) if match_all else scored
+    # searches read their matches more than once
+    scored = cut_lineage(scored.select(qid, doc_id, "score"))
+    return _verify_phrases(scored, wanted, hits, doc_id, qid) if match_all else scored
 
 
-def _verify_phrases(
-    hits: DataFrame, wanted: DataFrame, docs: DataFrame, doc_id: str, name: str, text: str, qid: str
-) -> DataFrame:
-    """Drop hits of phrase queries whose terms are not adjacent in one field."""
+def _verify_phrases(scored: DataFrame, wanted: DataFrame, hits: DataFrame, doc_id: str, qid: str) -> DataFrame:
+    """Drop hits of phrase queries whose terms are not adjacent in one field, by the positions in the postings."""
     phrased = wanted.where(F.size("phrases") > 0).select(qid, "phrases").distinct()
-
-    def padded(col: str) -> Column:
-        return F.concat(F.lit(" "), F.coalesce(F.array_join(search_terms(F.col(col)), " "), F.lit("")), F.lit(" "))
-
-    candidates = hits.join(phrased, qid).join(docs.select(doc_id, name, text), doc_id)
-    kept = (
-        candidates.withColumn("_n", padded(name)).withColumn("_t", padded(text))
-        .where(
-            F.forall(
-                "phrases",
-                lambda p: F.contains(F.col("_n"), F.concat(F.lit(" "), p, F.lit(" ")))
-                | F.contains(F.col("_t"), F.concat(F.lit(" "), p, F.lit(" "))),
-            )
-        )
-        .select(*hits.columns)
+    words = phrased.select(qid, F.size("phrases").alias("_phrases"), F.explode("phrases").alias("_phrase")).select(
+        "*", F.size(F.split("_phrase", " ")).alias("_words"), F.posexplode(F.split("_phrase", " ")).alias("_offset", "term")
+    )
+    starts = (
+        scored.select(qid, doc_id).join(words, qid).join(hits.select(doc_id, "term", "positions"), [doc_id, "term"])
+        .select(qid, doc_id, "_phrases", "_phrase", "_words", "_offset", F.explode("positions").alias("_place"))
+        .groupBy(qid, doc_id, "_phrases", "_phrase", "_words", (F.col("_place") - F.col("_offset")).alias("_start"))
+        .agg(F.count("*").alias("_found")).where(F.col("_found") == F.col("_words"))
+    )
+    whole = (
+        starts.groupBy(qid, doc_id, "_phrases").agg(F.countDistinct("_phrase").alias("_met"))
+        .where(F.col("_met") == F.col("_phrases")).select(qid, doc_id)
     )
-    return hits.join(phrased, qid, "left_anti").unionByName(kept)
+    kept = scored.join(whole, [qid, doc_id], "left_semi")
+    return scored.join(phrased, qid, "left_anti").unionByName(kept)
 
 
 # ---- search calls ------------------------------------------------------------
@@ -246,16 +279,24 @@ def search_cases(
     )
 
 
-def search_jurisdictions(queries: DataFrame, jurisdictions: list[str], cases: DataFrame, k: int = 5) -> DataFrame:
+def _case_index(asked: DataFrame, cases: DataFrame, keep: tuple[str, ...] = ("jurisdiction",), positions: bool = True):
+    return text_index(cases, "case_id", "case_name", "full_text", query_terms(asked), keep, positions)
+
+
+def search_jurisdictions(
+    queries: DataFrame, jurisdictions: list[str], cases: DataFrame, k: int = 5, index=None
+) -> DataFrame:
     """Top ``k`` cases of each query in each listed jurisdiction."""
     asked = queries.select(
         F.col("qid").alias("_qid"), "query", F.explode(F.array(*map(F.lit, jurisdictions))).alias("jurisdiction")
     ).withColumn("qid", F.struct("_qid", "jurisdiction"))
-    found = search_cases(asked.select("qid", "query", "jurisdiction"), cases, k)
+    found = search_cases(asked.select("qid", "query", "jurisdiction"), cases, k, index)
     return found.withColumn("qid", F.col("qid._qid"))
 
 
-def similar_cases(descriptions: DataFrame, cases: DataFrame, k: int = 10, match_all: bool = True) -> DataFrame:
+def similar_cases(
+    descriptions: DataFrame, cases: DataFrame, k: int = 10, match_all: bool = True, index=None
+) -> DataFrame:
     """Cases similar to each free-text description (qid, description, jurisdiction).
 
     The first eight longer words are searched. 'ALL' reads six jurisdictions,
@@ -269,23 +310,25 @@ def similar_cases(descriptions: DataFrame, cases: DataFrame, k: int = 10, match_
         scope = F.when(F.upper("_j") != "ALL", F.upper("_j")).alias("jurisdiction")
         hits = bm25_matches(
             asked.select("qid", "query", scope), cases, "case_id", "case_name", "full_text",
-            match_all=False, restrict=["jurisdiction"],
+            index=index, match_all=False, restrict=["jurisdiction"],
         )
         best = top_per_group(hits, ["qid"], [F.col("score").desc(), F.col("case_id")], k, rank="position")
         return best.join(cases.select(*CASE_RESULT), "case_id").select("qid", "position", *CASE_RESULT, "score")
+    # both kinds of search read one index
+    index = index or _case_index(asked, cases)
     everywhere = asked.where(F.upper("_j") == "ALL")
     each = max(k // len(SIMILAR_SEARCH_JURISDICTIONS), 2)
-    wide = search_jurisdictions(everywhere, SIMILAR_SEARCH_JURISDICTIONS, cases, each)
+    wide = search_jurisdictions(everywhere, SIMILAR_SEARCH_JURISDICTIONS, cases, each, index)
     place = F.array_position(F.array(*map(F.lit, SIMILAR_SEARCH_JURISDICTIONS)), F.col("jurisdiction"))
     wide = wide.withColumn("_place", place).withColumnRenamed("position", "_p")
     wide = top_per_group(wide, ["qid"], [F.col("_place"), F.col("_p")], k, rank="position").drop("_place", "_p")
     local = search_cases(
-        asked.where(F.upper("_j") != "ALL").select("qid", "query", F.col("_j").alias("jurisdiction")), cases, k
+        asked.where(F.upper("_j") != "ALL").select("qid", "query", F.col("_j").alias("jurisdiction")), cases, k, index
     )
     return local.unionByName(wide)
 
 
-def search_cases_advanced(queries: DataFrame, cases: DataFrame, k: int = 20) -> DataFrame:
+def search_cases_advanced(queries: DataFrame, cases: DataFrame, k: int = 20, index=None) -> DataFrame:
     """Search by (qid, query, jurisdiction, case_type, subject_area, year_from, year_to).
 
     A query with a case type and no result runs again with the type among its
@@ -296,15 +339,21 @@ def search_cases_advanced(queries: DataFrame, cases: DataFrame, k: int = 20) ->
     )
     columns = [
         "case_id", "case_name", "jurisdiction", "court", "decision_date", "case_type", "subject_area",
-        "outcome", "importance_score", "has_content", F.length("full_text").alias("text_len"),
+        "outcome", "importance_score", "has_content",
     ]
+    longer = F.concat_ws(" ", "query", "case_type")
+    if index is None:
+        # one pass over the texts serves both runs, and tells the lengths of the texts as well
+        asked = queries.select("qid", "query").unionByName(queries.where(F.col("case_type").isNotNull()).select("qid", longer.alias("query")))
+        index = _case_index(asked, cases.withColumn("text_len", F.length("full_text")), ("jurisdiction", "text_len"))
+    sizes = index[1] if "text_len" in index[1].columns else cases.withColumn("text_len", F.length("full_text"))
     order = [F.col("has_content").desc(), F.col("score").desc(), F.col("case_id")]
 
     def run(asked: DataFrame, fallback: bool) -> DataFrame:
         limits = asked.select(
             "qid", F.col("case_type").alias("_type"), F.col("subject_area").alias("_subject"), "year_from", "year_to"
         )
-        hits = bm25_matches(asked, cases, "case_id", "case_name", "full_text", restrict=["jurisdiction"])
+        hits = bm25_matches(asked, cases, "case_id", "case_name", "full_text", index=index, restrict=["jurisdiction"])
         rows = hits.join(limits, "qid").join(
             cases.select(*columns, "case_type_suggested", "subject_area_suggested"), "case_id"
         ).where(in_years(F.col("decision_date"), F.col("year_from"), F.col("year_to")))
@@ -323,13 +372,13 @@ def search_cases_advanced(queries: DataFrame, cases: DataFrame, k: int = 20) ->
     again = (
         queries.where(F.col("case_type").isNotNull())
         .join(first.select("qid").distinct(), "qid", "left_anti")
-        .withColumn("query", F.concat_ws(" ", "query", "case_type"))
+        .withColumn("query", longer)
     )
-    return first.unionByName(run(again, True))
+    return first.unionByName(run(again, True)).join(sizes.select("case_id", "text_len"), "case_id")
 
 
 def search_case_law(
-    queries: DataFrame, cases: DataFrame, supplements: DataFrame, local: DataFrame, few: int = 5
+    queries: DataFrame, cases: DataFrame, supplements: DataFrame, local: DataFrame, few: int = 5, index=None
 ) -> DataFrame:
     """Ranked search, then supplements by new name where it found few, then local rows where nothing is left.
 
@@ -337,7 +386,7 @@ def search_case_law(
     those that contain every query word qualify. ``local`` (qid, case_name,
     seq) are the local matches of the queries.
     """
-    found = cut_lineage(search_cases(queries, cases).select(
+    found = cut_lineage(search_cases(queries, cases, index=index).select(
         "qid", "case_name", "jurisdiction", F.lit("index").alias("_source"), F.col("position").cast("bigint").alias("seq")
     ))
     counts = found.groupBy("qid").agg(F.count("*").alias("_n"))
@@ -361,10 +410,10 @@ def search_case_law(
     return ranked.unionByName(rest)
 
 
-def search_statutes(queries: DataFrame, statutes: DataFrame, k: int = 10) -> DataFrame:
+def search_statutes(queries: DataFrame, statutes: DataFrame, k: int = 10, index=None) -> DataFrame:
     """Statutes by BM25 over title and text, per query (qid, query, jurisdiction)."""
     queries = _with_defaults(queries, jurisdiction="string")
-    hits = bm25_matches(queries, statutes, "statute_id", "title", "full_text", restrict=["jurisdiction"])
+    hits = bm25_matches(queries, statutes, "statute_id", "title", "full_text", index=index, restrict=["jurisdiction"])
     best = top_per_group(hits, ["qid"], [F.col("score").desc(), F.col("statute_id")], k, rank="position")
     return best.join(statutes, "statute_id")
 
@@ -383,7 +432,7 @@ def statutes_containing(query: str, statutes: DataFrame, k: int = 10, jurisdicti
 
 
 def compare_jurisdictions(
-    topic: str, jurisdictions: list[str], cases: DataFrame, k: int = 10
+    topic: str, jurisdictions: list[str], cases: DataFrame, k: int = 10, index=None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(summary, distributions, samples) of the ``k`` best cases per jurisdiction for a topic.
 
@@ -394,9 +443,12 @@ def compare_jurisdictions(
         raise ValueError("At least 2 jurisdictions are required for comparison.")
     spark = cases.sparkSession
     scope = cases.where(F.col("jurisdiction").isin(jurisdictions))
-    asked = spark.range(1).select(F.lit(0).alias("qid"), F.lit(topic).alias("query"))
-    hits = bm25_matches(asked, cases, "case_id", "case_name", "full_text")
-    rows = hits.join(
+    # one search per jurisdiction: cases of others are not scored
+    asked = spark.range(1).select(F.explode(F.array_distinct(F.array(*map(F.lit, jurisdictions)))).alias("jurisdiction")).select(
+        F.col("jurisdiction").alias("qid"), F.lit(topic).alias("query"), "jurisdiction"
+    )
+    hits = bm25_matches(asked, cases, "case_id", "case_name", "full_text", index=index, restrict=["jurisdiction"])
+    rows = hits.drop("qid").join(
         scope.select("case_id", "case_name", "jurisdiction", "court", "decision_date", "outcome"), "case_id"
     )
     best = top_per_group(rows, ["jurisdiction"], [F.col("score").desc(), F.col("case_id")], k, rank="position")

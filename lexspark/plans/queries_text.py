@@ -44,6 +44,16 @@ def bm25_search(spark, d):
     return hits.select("qid", "case_id", F.round("score", 6).alias("score"))
 
 
+@query("bm25_search_index", with_views("cases", "query_log") + P.bm25_ctes("cases", "case_id", "case_name", "full_text", "query_log") + """
+SELECT qid, doc_id AS case_id, round(score, 6) AS score FROM hits""")
+def bm25_search_index(spark, d):
+    """The same search over postings of the whole corpus, as a stored index holds them."""
+    cases = load(spark, d, "cases")
+    index = S.text_index(cases, "case_id", "case_name", "full_text", keep=("jurisdiction",))
+    hits = S.bm25_matches(_queries(spark, d), cases, "case_id", "case_name", "full_text", index=index)
+    return hits.select("qid", "case_id", F.round("score", 6).alias("score"))
+
+
 @query("bm25_any_word", with_views("cases", "query_log") + P.bm25_ctes("cases", "case_id", "case_name", "full_text", "query_log", False) + """
 , n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS position FROM hits)
 SELECT qid, count(*) AS matches, round(max(score), 6) AS best FROM hits GROUP BY 1""")

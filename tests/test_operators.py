@@ -189,6 +189,29 @@ def test_phrases_and_stored_index(spark, docs, tmp_path):
     assert stored == live
 
 
+def test_phrases_by_positions_match_plain_text(spark):
+    rows = [
+        (1, "red red", "blue"), (2, "red", "red blue"), (3, "blue red", "red"), (4, None, "red blue red red blue"),
+        (5, "red", None), (6, "", "blue blue red"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id INT, name STRING, body STRING").withColumn("jurisdiction", F.lit("US"))
+    asked = ["red-red", "red-blue", "blue-red-red", "red-blue blue-red", "blue-blue"]
+    q = spark.createDataFrame(list(enumerate(asked)), "qid INT, query STRING")
+    index = S.text_index(docs, "doc_id", "name", "body", keep=("jurisdiction",))
+    for given in (None, index):
+        got = {(r.qid, r.doc_id) for r in S.bm25_matches(q, docs, "doc_id", "name", "body", index=given).collect()}
+        assert got == {
+            (i, d) for i, query in enumerate(asked) for d, name, body in rows
+            if all(any(f" {p.replace('-', ' ')} " in f" {t or ''} " for t in (name, body)) for p in query.split())
+        }
+
+
+def test_no_text_in_the_shuffles_of_a_search(spark, docs, capsys):
+    q = spark.createDataFrame([(1, "alpha beta"), (2, "beta-alpha")], "qid INT, query STRING")
+    plan = S.bm25_matches(q, docs, "doc_id", "name", "body")._jdf.queryExecution().executedPlan().toString()
+    assert "body" not in plan
+
+
 # ---- parties ---------------------------------------------------------------------------
 
 def test_interval_matches_binomial_sums(spark):
