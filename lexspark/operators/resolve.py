@@ -69,12 +69,14 @@ def resolve_citations(references: DataFrame, citation_index: DataFrame, cases: D
     # every later step reads the outcome of this one, so it is written out once
     tried = cut_lineage(refs.join(exact, ["citation_string", "scope"], "left"))
     rest = tried.where(F.col("hit").isNull()).drop("hit")
-    by_name = _contained_name(rest.withColumn("name", name), cases)
-    rest_number = rest.select("citation_string", "scope", F.lower("citation_string").alias("_key"))
-    by_number = contains_join(
-        rest_number, "_key",
-        cases.select(F.col("case_id"), F.lower("case_number").alias("_text")), "_text",
-    ).select("citation_string", "scope", F.lit(5).alias("match_rank"), "case_id")
+    by_name = _least_containing(
+        rest.select("citation_string", "scope", F.lower(name).alias("_key")), cases, "case_name"
+    ).withColumn("match_rank", F.lit(4))
+    # numbers are looked up whatever the jurisdiction
+    numbers = rest.select("citation_string", F.lit(ANY).alias("scope"), F.lower("citation_string").alias("_key")).distinct()
+    by_number = rest.select("citation_string", "scope").join(
+        _least_containing(numbers, cases, "case_number").drop("scope"), "citation_string"
+    ).withColumn("match_rank", F.lit(5))
     contained = (
         by_name.unionByName(by_number)
         .groupBy("citation_string", "scope")
@@ -85,16 +87,22 @@ def resolve_citations(references: DataFrame, citation_index: DataFrame, cases: D
     ).select("citation_string", "jurisdiction", "hit.case_id", "hit.match_rank")
 
 
-def _contained_name(refs: DataFrame, cases: DataFrame) -> DataFrame:
-    named = refs.where(F.col("name") != "").select(
-        "citation_string", "scope", F.lower("name").alias("_key")
+def _least_containing(wanted: DataFrame, cases: DataFrame, column: str) -> DataFrame:
+    """(citation_string, scope, case_id): the least case of the scope whose ``column`` contains ``_key``.
+
+    Distinct keys meet distinct texts: a name that many cases bear is cut into
+    grams once per jurisdiction, and a key that many strings share is looked up once.
+    """
+    keys = wanted.where(F.col("_key") != "").select("_key", "scope").distinct()
+    texts = cases.groupBy(F.lower(column).alias("_text"), F.col("jurisdiction").alias("_jur")).agg(
+        F.min("case_id").alias("case_id")
     )
-    texts = cases.select("case_id", F.col("jurisdiction").alias("_jur"), F.lower("case_name").alias("_text"))
-    return (
-        contains_join(named, "_key", texts, "_text")
+    found = (
+        contains_join(keys, "_key", texts, "_text")
         .where((F.col("scope") == ANY) | (F.col("scope") == F.col("_jur")))
-        .select("citation_string", "scope", F.lit(4).alias("match_rank"), "case_id")
+        .groupBy("_key", "scope").agg(F.min("case_id").alias("case_id"))
     )
+    return wanted.join(found, ["_key", "scope"]).select("citation_string", "scope", "case_id")
 
 
 def attach_resolution(edges: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -206,7 +206,7 @@ def test_phrases_by_positions_match_plain_text(spark):
         }
 
 
-def test_no_text_in_the_shuffles_of_a_search(spark, docs, capsys):
+def test_no_text_in_the_shuffles_of_a_search(spark, docs):
     q = spark.createDataFrame([(1, "alpha beta"), (2, "beta-alpha")], "qid INT, query STRING")
     plan = S.bm25_matches(q, docs, "doc_id", "name", "body")._jdf.queryExecution().executedPlan().toString()
     assert "body" not in plan
