@@ -151,10 +151,13 @@ def statutes_by_source(
     return rows.join(least, ["jurisdiction", "_priority"], "left_semi").drop("_priority")
 
 
-def find_cases(keys: DataFrame, cases: DataFrame) -> DataFrame:
+def find_cases(keys: DataFrame, cases: DataFrame, max_length: int | None = None) -> DataFrame:
     """Cases by (case_id, jurisdiction) key: the exact id, else the least id in the
-    jurisdiction that contains the key. Returns (key, key_jurisdiction, case_id)."""
-    asked = keys.where((F.length(F.trim("case_id")) > 0) & (F.length("case_id") <= 500)).select(
+    jurisdiction that contains the key. Returns (key, key_jurisdiction, case_id).
+    ``max_length`` leaves out longer keys."""
+    if max_length is not None:
+        keys = keys.where(F.length("case_id") <= max_length)
+    asked = keys.where(F.length(F.trim("case_id")) > 0).select(
         F.col("case_id").alias("key"), F.col("jurisdiction").alias("key_jurisdiction")
     ).distinct()
     ids = cases.select("case_id", "jurisdiction")
