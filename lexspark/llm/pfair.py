@@ -4,12 +4,11 @@ The rows of a source, in an order spread by a hash of their ids, are cut into bl
 BLOCK rows. Block i (from 1) of a source of weight w may not start before slot
 floor((i-1)/w) and is due by slot ceil(i/w); in every slot the released block of the
 earliest deadline goes out. Every source so stays less than one block from w times the
-slots gone by. Weights are rounded to multiples of 1/PERIOD, the schedule then repeats
-with that period, and a block's slot follows from its number by arithmetic: the
-scheduler itself runs over PERIOD slots, whatever the input. When a source has run
-out, the others go on with their weights scaled up (the next phase); every row is
-placed exactly once, and ``on_target`` marks the first phase, in which all sources
-have their target weights.
+slots gone by, however many slots there are: weights are exact fractions, and the
+scheduler runs over all blocks (on the driver, one step and eight bytes for each, so
+for every BLOCK rows). When a source has run out, the others go on with their weights
+scaled up; every row is placed exactly once, and ``on_target`` marks the part before the
+first source runs out, in which all sources have their target weights.
 
 Without given weights, targets are shares flattened by the power FLATTEN. At most LANES
 sources have lanes of their own; the smallest ones beyond share one lane.
@@ -22,12 +21,16 @@ they bear the name of a result column, which replaces them.
 
 from __future__ import annotations
 
+import heapq
+import math
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
 BLOCK = 64
-PERIOD = 4096
 LANES = 512
 FLATTEN = 0.7
 GROUP_ROWS = 4000
@@ -35,7 +38,7 @@ RESULT = ["block", "slot", "place", "target_weight", "on_target"]
 
 
 def quanta(weights: dict, period: int) -> dict:
-    """Whole shares of ``period`` per lane, at least one each, by largest remainder."""
+    """Whole shares of ``period`` per lane, at least one each, by largest remainder; ``mix`` uses the exact weights instead."""
     total = sum(weights.values())
     exact = {k: w / total * period for k, w in weights.items()}
     whole = {k: max(1, int(x)) for k, x in exact.items()}
@@ -49,45 +52,53 @@ def quanta(weights: dict, period: int) -> dict:
     return whole
 
 
+def timetable(blocks: dict, weights: dict) -> tuple[dict, int]:
+    """Slots (from 0) of all blocks of each lane, and the number of slots until the first lane with a weight has run out.
+
+    Releases and deadlines are those of the exact weights, in whole numbers. Time counts slots
+    until the first lane runs out and after that runs faster, by the weight of all lanes over
+    that of the lanes left, so what a lane is owed is carried over. Lanes without a weight come
+    after the others, by their sizes.
+    """
+    slots = {k: np.zeros(n, np.int64) for k, n in blocks.items()}
+    ranks = {k: i for i, k in enumerate(sorted(blocks, key=str))}
+    ratio = {k: Fraction(weights.get(k, 0)) for k, n in blocks.items() if n > 0}
+    weighted = {k: w for k, w in ratio.items() if w > 0}
+    slot, on_target = 0, None
+    for live in (weighted, {k: Fraction(blocks[k]) for k in ratio if k not in weighted}):
+        if not live:
+            continue
+        common = math.lcm(*(w.denominator for w in live.values()))
+        share = {k: int(w * common) for k, w in live.items()}
+        total = left = sum(share.values())
+        # time has 64 binary places; it is a whole number until a lane runs out
+        time, ready = 0, []
+        waiting = [(0, ranks[k], k, 0) for k in live]
+        heapq.heapify(waiting)
+        while left:
+            if not ready and waiting[0][0] > time >> 64:
+                time = waiting[0][0] << 64
+            while waiting and waiting[0][0] <= time >> 64:
+                _, rank, k, i = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(i + 1) * total // share[k]), rank, k, i))
+            _, rank, k, i = heapq.heappop(ready)
+            slots[k][i] = slot
+            slot += 1
+            if i + 1 < blocks[k]:
+                heapq.heappush(waiting, ((i + 1) * total // share[k], rank, k, i + 1))
+            else:
+                left -= share[k]
+                if on_target is None and live is weighted:
+                    on_target = slot
+            if left:
+                time += (total << 64) // left
+    return slots, on_target or 0
+
+
 def schedule(shares: dict, period: int) -> dict:
     """Slots (0-based) of the blocks of each lane in one period; ``shares`` add up to ``period``."""
-    ranks = {k: i for i, k in enumerate(sorted(shares, key=str))}
-    done, slots = dict.fromkeys(shares, 0), {k: [] for k in shares}
-    for now in range(period):
-        best = None
-        for k, q in shares.items():
-            i = done[k] + 1
-            release, deadline = (i - 1) * period // q, -(-i * period // q)
-            if i <= q and release <= now and (best is None or (deadline, ranks[k]) < best[:2]):
-                best = (deadline, ranks[k], k)
-        slots[best[2]].append(now)
-        done[best[2]] += 1
-    return slots
-
-
-def phases(blocks: dict, weights: dict, period: int) -> list[dict]:
-    """The phases of the mix: for each lane its shares, slots in a period and first block, up to where a lane runs out."""
-    left, gone, base, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    while live := {k: weights.get(k, 0.0) for k, n in left.items() if n > 0}:
-        if any(w > 0 for w in live.values()):
-            live = {k: w for k, w in live.items() if w > 0}
-        else:
-            live = {k: float(left[k]) for k in live}
-        size = max(len(live), period) if len(live) > 1 else 1
-        shares = quanta(live, size)
-        slots = schedule(shares, size)
-        # slot (from 0) of the last block of the lane that runs out first
-        end = min((left[k] - 1) // q * size + slots[k][(left[k] - 1) % q] for k, q in shares.items())
-        used = {}
-        for k, q in shares.items():
-            whole, rest = divmod(end + 1, size)
-            used[k] = min(left[k], whole * q + sum(s < rest for s in slots[k]))
-        out.append({"base": base, "period": size, "lanes": {k: (q, slots[k], gone[k], used[k]) for k, q in shares.items()}})
-        base += end + 1
-        for k, n in used.items():
-            left[k] -= n
-            gone[k] += n
-    return out
+    slots, _ = timetable({k: 2 * q for k, q in shares.items()}, shares)  # no lane runs out within the first period
+    return {k: slots[k][:q].tolist() for k, q in shares.items()}
 
 
 def mix(documents: DataFrame, weights: dict | None = None, source: str = "source", block: int = BLOCK) -> DataFrame:
@@ -118,22 +129,23 @@ def mix(documents: DataFrame, weights: dict | None = None, source: str = "source
     groups = laned.groupBy("lane", "bucket").agg(F.count("*").alias("n"))
     before = groups.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("lane").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("lane", "bucket").orderBy("spread", "doc_id", text)
-    ranked = laned.withColumn("rank", F.row_number().over(inside)).join(before.select("lane", "bucket", "before"), ["lane", "bucket"])
-    position = F.col("before") + F.col("rank") - 1
     target = {i: float((weights.get(names[i], 0.0) if weights is not None else n**FLATTEN) if i < len(names) else (0.0 if weights is not None else n**FLATTEN)) for i, n in sizes.items()}
     whole = sum(target.values()) or 1.0
-    plan = phases({i: -(-n // block) for i, n in sizes.items()}, target, PERIOD)
-    rows = [
-        (lane, first, first + used, phase["base"], phase["period"], share, slots, target[lane] / whole, k == 0 and target[lane] > 0)
-        for k, phase in enumerate(plan) for lane, (share, slots, first, used) in phase["lanes"].items() if used
-    ]
-    rules = spark.createDataFrame(rows, "lane int, first bigint, last bigint, base bigint, period bigint, share bigint, slots array<bigint>, target_weight double, on_target boolean")
-    # the slots of all lanes in one phase are PERIOD values, and a lane ends each phase
-    rules = rules.groupBy("lane").agg(F.collect_list(F.struct("first", "last", "base", "period", "share", "slots", "target_weight", "on_target")).alias("rules"))
-    placed = ranked.withColumns({"block": F.floor(position / block), "place": position % block}).join(F.broadcast(rules), "lane")
-    rule = F.element_at(F.filter("rules", lambda r: (F.col("block") >= r["first"]) & (F.col("block") < r["last"])), 1)
-    nth = F.col("block") - F.col("rule.first")
-    slot = F.col("rule.base") + F.floor(nth / F.col("rule.share")) * F.col("rule.period") + F.element_at("rule.slots", (nth % F.col("rule.share") + 1).cast("int"))
-    return placed.withColumn("rule", rule).select(
+    slots, on_target = timetable({i: -(-n // block) for i, n in sizes.items()}, target)
+    # one row per block; a group of rows takes the slots of the few blocks it lies in
+    table = pa.table({
+        "lane": pa.array(np.repeat(np.array(list(slots), np.int32), [len(s) for s in slots.values()])),
+        "block": pa.array(np.concatenate([np.arange(len(s)) for s in slots.values()])), "slot": pa.array(np.concatenate(list(slots.values())))})
+    rules = spark.createDataFrame(table)
+    first, last = F.floor(F.col("before") / block), F.floor((F.col("before") + F.col("n") - 1) / block)
+    spans = before.select("lane", "bucket", "before", F.explode(F.sequence(first, last)).alias("block")).join(rules, ["lane", "block"])
+    spans = spans.groupBy("lane", "bucket", "before").agg(F.map_from_entries(F.collect_list(F.struct("block", "slot"))).alias("slots"))
+    shares = spark.createDataFrame([(i, w / whole, w > 0) for i, w in target.items()], "lane int, target_weight double, weighted boolean")
+    spans = spans.join(shares, "lane")
+    ranked = laned.withColumn("rank", F.row_number().over(inside)).join(spans, ["lane", "bucket"])
+    position = F.col("before") + F.col("rank") - 1
+    placed = ranked.withColumns({"block": F.floor(position / block), "place": position % block})
+    slot = F.element_at("slots", F.col("block"))
+    return placed.select(
         *documents.columns, F.col("block").cast("bigint"), slot.cast("bigint").alias("slot"), F.col("place").cast("bigint"),
-        F.col("rule.target_weight").alias("target_weight"), F.col("rule.on_target").alias("on_target"))
+        "target_weight", (F.col("weighted") & (slot < on_target)).alias("on_target"))

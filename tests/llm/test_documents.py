@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -242,6 +243,17 @@ def test_schedule_deviates_by_less_than_a_block(sizes):
         assert np.abs(done - q * np.arange(1, 65) / 64).max() < 1
 
 
+def test_exact_weights_keep_the_bound_over_many_slots():
+    weights = dict.fromkeys(range(20), 1.0) | {"small": 20 / 9_999}
+    total = sum(map(Fraction, weights.values()))
+    slots, on_target = pfair.timetable({k: 800 if k != "small" else 5 for k in weights}, weights)
+    assert on_target > 10_000 and sorted(np.concatenate(list(slots.values())).tolist()) == list(range(20 * 800 + 5))
+    for k, w in weights.items():
+        share = float(Fraction(w) / total)
+        done = np.cumsum(np.isin(np.arange(on_target), slots[k]))
+        assert np.abs(done - share * np.arange(1, on_target + 1)).max() < 1
+
+
 def test_leaks(spark, sf, documents, texts, odd, none):
     benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in wand.leaks(documents, benchmark).collect()}
