@@ -10,8 +10,8 @@ for every BLOCK rows). When a source has run out, the others go on with their we
 scaled up; every row is placed exactly once, and ``on_target`` marks the part before the
 first source runs out, in which all sources have their target weights.
 
-Without given weights, targets are shares flattened by the power FLATTEN. At most LANES
-sources have lanes of their own; the smallest ones beyond share one lane.
+Without given weights, targets are shares flattened by the power FLATTEN. Every source
+has a lane and a weight of its own; their names and counts are held on the driver.
 
 Defined cases: a null source is a source; rows of equal ids follow each other by text
 hash; a source with weight 0 comes after all others; sources that ``weights`` does not
@@ -29,11 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 BLOCK = 64
-LANES = 512
 FLATTEN = 0.7
 GROUP_ROWS = 4000
+BROADCAST_BYTES = 8 << 20
 RESULT = ["block", "slot", "place", "target_weight", "on_target"]
 
 
@@ -106,20 +107,16 @@ def mix(documents: DataFrame, weights: dict | None = None, source: str = "source
     spark = documents.sparkSession
     documents = documents.drop(*RESULT, "lane", "spread", "bucket")
     counts = documents.groupBy(source).agg(F.count("*").alias("n"))
-    lanes = {r[source]: r["n"] for r in counts.orderBy(F.desc("n"), F.col(source).asc_nulls_first()).limit(LANES).collect()}
-    total = documents.count()
-    if not total:
+    lanes = {r[source]: r["n"] for r in counts.orderBy(F.desc("n"), F.col(source).asc_nulls_first()).collect()}  # one row per source
+    if not lanes:
         return documents.withColumns({"block": F.lit(0).cast("bigint"), "slot": F.lit(0).cast("bigint"), "place": F.lit(0).cast("bigint"), "target_weight": F.lit(0.0), "on_target": F.lit(True)})
     names = list(lanes)
-    number = {name: i for i, name in enumerate(names)}
-    sizes = {i: lanes[name] for name, i in number.items()}
-    pooled = total - sum(lanes.values())
-    if pooled:
-        sizes[len(names)] = pooled
-    table = spark.createDataFrame([(k, v) for k, v in number.items()], f"name {documents.schema[source].dataType.simpleString()}, lane int")
-    # LANES rows at most
-    laned = documents.join(F.broadcast(table), documents[source].eqNullSafe(table["name"]), "left").drop("name")
-    laned = laned.withColumn("lane", F.coalesce("lane", F.lit(len(names))))
+    sizes = dict(enumerate(lanes.values()))
+    name_type = documents.schema[source].dataType
+    table = spark.createDataFrame(pa.table({"name": pa.array(names, to_arrow_type(name_type)), "lane": pa.array(range(len(names)), pa.int32())}))
+    # rows of all sources beyond BROADCAST_BYTES of names meet their lanes in a shuffle
+    size = sum(len(str(name)) + 16 for name in names)
+    laned = documents.join(F.broadcast(table) if size <= BROADCAST_BYTES else table, documents[source].eqNullSafe(table["name"])).drop("name")
     text = F.xxhash64("text") if "text" in documents.columns else F.lit(0).cast("bigint")
     buckets = max(1, -(-max(sizes.values()) // GROUP_ROWS))
     width = 2**32 // buckets + 1
@@ -129,7 +126,7 @@ def mix(documents: DataFrame, weights: dict | None = None, source: str = "source
     groups = laned.groupBy("lane", "bucket").agg(F.count("*").alias("n"))
     before = groups.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("lane").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("lane", "bucket").orderBy("spread", "doc_id", text)
-    target = {i: float((weights.get(names[i], 0.0) if weights is not None else n**FLATTEN) if i < len(names) else (0.0 if weights is not None else n**FLATTEN)) for i, n in sizes.items()}
+    target = {i: float(weights.get(names[i], 0.0) if weights is not None else n**FLATTEN) for i, n in sizes.items()}
     whole = sum(target.values()) or 1.0
     slots, on_target = timetable({i: -(-n // block) for i, n in sizes.items()}, target)
     # one row per block; a group of rows takes the slots of the few blocks it lies in
@@ -139,13 +136,14 @@ def mix(documents: DataFrame, weights: dict | None = None, source: str = "source
     rules = spark.createDataFrame(table)
     first, last = F.floor(F.col("before") / block), F.floor((F.col("before") + F.col("n") - 1) / block)
     spans = before.select("lane", "bucket", "before", F.explode(F.sequence(first, last)).alias("block")).join(rules, ["lane", "block"])
-    spans = spans.groupBy("lane", "bucket", "before").agg(F.map_from_entries(F.collect_list(F.struct("block", "slot"))).alias("slots"))
-    shares = spark.createDataFrame([(i, w / whole, w > 0) for i, w in target.items()], "lane int, target_weight double, weighted boolean")
+    spans = spans.groupBy("lane", "bucket", "before").agg(F.map_from_entries(F.collect_list(F.struct("block", "slot"))).alias("_slots"))
+    goals = np.array(list(target.values()))
+    shares = spark.createDataFrame(pa.table({"lane": pa.array(list(target), pa.int32()), "target_weight": goals / whole, "_weighted": goals > 0}))
     spans = spans.join(shares, "lane")
     ranked = laned.withColumn("rank", F.row_number().over(inside)).join(spans, ["lane", "bucket"])
     position = F.col("before") + F.col("rank") - 1
     placed = ranked.withColumns({"block": F.floor(position / block), "place": position % block})
-    slot = F.element_at("slots", F.col("block"))
+    slot = F.element_at("_slots", F.col("block"))
     return placed.select(
         *documents.columns, F.col("block").cast("bigint"), slot.cast("bigint").alias("slot"), F.col("place").cast("bigint"),
-        "target_weight", (F.col("weighted") & (slot < on_target)).alias("on_target"))
+        "target_weight", (F.col("_weighted") & (slot < on_target)).alias("on_target"))

@@ -254,6 +254,24 @@ def test_exact_weights_keep_the_bound_over_many_slots():
         assert np.abs(done - share * np.arange(1, on_target + 1)).max() < 1
 
 
+def test_every_source_has_its_own_weight(spark):
+    sizes = {f"host{i:04d}": 3 + i % 5 for i in range(700)}
+    rows = [(1000 * k + i, s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
+    table = spark.createDataFrame(rows, "doc_id bigint, source string")
+    got = pfair.mix(table, block=1).collect()
+    whole = sum(n**pfair.FLATTEN for n in sizes.values())
+    assert len(got) == len(rows) and sorted(r.slot for r in got) == list(range(len(rows)))
+    assert all(abs(r.target_weight - sizes[r.source] ** pfair.FLATTEN / whole) < 1e-12 for r in got)
+    for r in got:
+        if r.on_target:
+            # sent before and after its slot, against what is due
+            assert -1 < r.block - r.target_weight * r.slot and r.block - r.target_weight * (r.slot + 1) < 1
+    # a weight given for one of the smallest sources counts
+    small = min(sizes, key=lambda s: (sizes[s], s))
+    got = pfair.mix(table, {small: 1.0}, block=1).where("slot < 3").collect()
+    assert {r.source for r in got} == {small} and all(r.target_weight == 1.0 for r in got)
+
+
 def test_leaks(spark, sf, documents, texts, odd, none):
     benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in wand.leaks(documents, benchmark).collect()}
