@@ -196,6 +196,19 @@ def test_language_model(documents, texts, odd, none):
     assert language_model_scores(none).collect() == []
 
 
+def test_every_position_is_a_training_target():
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from lexspark.llm.logbilinear import UNITS, Model, Units, _trainer
+
+    noise = np.full(UNITS, 1 / UNITS)
+    shared = SimpleNamespace(value=(Units(np.zeros(0, np.uint64), np.zeros(1 << 16, np.int16)), noise, Model.start(noise).flat))
+    batch = pa.RecordBatch.from_pydict({"text": ["one two three four five", "six", None]})
+    assert [b.column("seen").to_pylist() for b in _trainer(shared, 0)(iter([batch]))] == [[6 + 2 + 1]]
+
+
 def test_unit_probabilities_add_up():
     from lexspark.llm.logbilinear import CONTEXT, UNITS, Model
 
