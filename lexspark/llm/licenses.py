@@ -1,6 +1,8 @@
 """License scans by sparse TF-IDF, and inheritance from the nearest ancestor folder.
 
-Sentences that name a licence are cut out of every text. Their term vectors (raw counts
+SPDX tags are read by name. Of every text that names or grants a licence, the whole text and
+its paragraphs (without comment marks) are compared with whole licence texts and standard
+headers from TEXT_THRESHOLD on, and its sentences with declarations. Their term vectors (raw counts
 times smoothed idf over the templates) are compared with those of the templates by
 cosine; the best template of THRESHOLD or more is the licence of the sentence, the best
 sentence gives the licence of the file. A file that is named like one or that
@@ -19,68 +21,107 @@ result; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD, FILE_SHARE = 0.6, 0.5
+THRESHOLD, TEXT_THRESHOLD, FILE_SHARE = 0.6, 0.85, 0.5
 
 # Licence names and the sentences by which files declare them.
 TEMPLATES = [
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License, CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Released into the public domain under CC0 1.0 Universal license."),
+    ("EPL-2.0", "Made available under the terms of the Eclipse Public License, version 2.0."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("ISC", "Released under the ISC License."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "This source code form is subject to the terms of the Mozilla Public License, version 2.0."),
+    ("Unlicense", "Released into the public domain under the Unlicense."),
+]
+_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS"
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_FOLDER = resources.files("lexspark.llm") / "license_texts"
+_TEXTS = {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in sorted(_FOLDER.iterdir(), key=lambda f: f.name)}
+# whole licences and standard headers; AGPL-3.0 is told from GPL-3.0 by its name
+TEXTS = [
+    *_TEXTS.items(),
+    ("AGPL-3.0", _TEXTS["GPL-3.0"].replace("GNU General", "GNU Affero General").replace("GNU GENERAL", "GNU AFFERO GENERAL")),
+    ("AGPL-3.0", _GNU.format("Affero General", 3)), ("GPL-2.0", _GNU.format("General", 2)), ("GPL-3.0", _GNU.format("General", 3)),
+    ("LGPL-2.1", _GNU.format("Lesser General", 2.1)), ("LGPL-3.0", _GNU.format("Lesser General", 3)),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("BSD-2-Clause", _BSD + _BSD_END), ("BSD-3-Clause", _BSD + _BSD_3 + _BSD_END),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _WARRANTY + " OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
-NAMES_A_LICENSE = r"(?i)licen[cs]e|\bcc by|\bspdx|public domain|copyright"
-TERM = r"[a-z0-9]+([.-][a-z0-9]+)*"
+NAMES_A_LICENSE = r"(?i)licen[cs]e|\bcc by|\bspdx|public domain|copyright|redistribution and use|permission (?:is hereby|to use)|free software"
+TAG = r"(?i)SPDX-License-Identifier:\s*\(?([a-z0-9.+-]+)"
+COMMENT = r"(?m)^[ \t]*(?://+|/?\*+/?|#+|--+|;+)[ \t]?"
+TERM = r"[a-z0-9]+([.][a-z0-9]+)*"
 
 
 def _terms(sentence: Column) -> Column:
     return F.regexp_extract_all(F.lower(sentence), F.lit(TERM), F.lit(0))
 
 
-def scan(files: DataFrame) -> DataFrame:
-    """For every row of ``files`` (path, text): own licence and score, the licence that holds, and the folder it comes from."""
-    spark = files.sparkSession
-    templates = spark.createDataFrame(TEMPLATES, "license string, template string")
-    counted = templates.select("license", F.explode(_terms(F.col("template"))).alias("term")).groupBy("license", "term").agg(F.count("*").alias("tf"))
+def _best(units: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """For each distinct ``unit`` the best licence by cosine, if it reaches ``threshold``."""
+    table = units.sparkSession.createDataFrame([(i, *t) for i, t in enumerate(templates)], "id int, license string, template string")
+    counted = table.select("id", "license", F.explode(_terms(F.col("template"))).alias("term")).groupBy("id", "license", "term").agg(F.count("*").alias("tf"))
     df = counted.groupBy("term").agg(F.count("*").alias("df"))
-    n = len(TEMPLATES)
-    idf = F.log((1 + F.lit(n)) / (1 + F.coalesce(F.col("df"), F.lit(0)))) + 1
-    weighted = counted.join(F.broadcast(df), "term").select("license", "term", (F.col("tf") * idf).alias("w"))
-    norms = weighted.groupBy("license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weighted = weighted.join(F.broadcast(norms), "license").groupBy("term").agg(F.collect_list(F.struct("license", (F.col("w") / F.col("norm")).alias("w"))).alias("in_templates"))
+    idf = F.log((1 + F.lit(len(templates))) / (1 + F.coalesce(F.col("df"), F.lit(0)))) + 1
+    weighted = counted.join(F.broadcast(df), "term").select("id", "license", "term", (F.col("tf") * idf).alias("w"))
+    norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    weighted = weighted.join(F.broadcast(norms), "id").groupBy("term").agg(F.collect_list(F.struct("id", "license", (F.col("w") / F.col("norm")).alias("w"))).alias("in_templates"))
     weighted = weighted.join(F.broadcast(df), "term")  # one row per template term
-
-    named = files.select("path", "text").where(F.col("text").rlike(NAMES_A_LICENSE))
-    sentences = named.select(
-        "path", F.xxhash64("text").alias("text_key"), F.size(_terms(F.col("text"))).alias("file_terms"),
-        F.explode(F.split(F.regexp_replace("text", r"([.!?]) ", "$1\n"), "\n")).alias("sentence"),
-    ).where(F.col("sentence").rlike(NAMES_A_LICENSE))
-    distinct = sentences.select("sentence").distinct()
-    vectors = distinct.select("sentence", F.explode(_terms(F.col("sentence"))).alias("term")).groupBy("sentence", "term").agg(F.count("*").alias("tf"))
+    key = F.xxhash64("unit").alias("key")
+    vectors = units.select("unit").distinct().select(key, F.explode(_terms(F.col("unit"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
     vectors = vectors.join(F.broadcast(weighted), "term", "left").withColumn("w", F.col("tf") * idf)
-    norm = vectors.groupBy("sentence").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = vectors.select("sentence", "w", F.explode("in_templates").alias("t")).groupBy("sentence", "t.license").agg(F.sum(F.col("w") * F.col("t.w")).alias("dot"))
-    cosine = F.round(F.col("dot") / F.col("norm"), 6)
-    best = (
-        dots.join(norm, "sentence").withColumn("cosine", cosine).where(F.col("cosine") >= THRESHOLD)
-        .groupBy("sentence").agg(F.max_by("license", F.struct("cosine", _descending("license"))).alias("license"), F.max("cosine").alias("cosine"))
+    norm = vectors.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = vectors.select("key", "w", F.explode("in_templates").alias("t")).groupBy("key", "t.id", "t.license").agg(F.sum(F.col("w") * F.col("t.w")).alias("dot"))
+    return (
+        dots.join(norm, "key").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= threshold)
+        .groupBy("key").agg(F.max_by("license", F.struct("cosine", _descending("license"))).alias("license"), F.max("cosine").alias("cosine"))
     )
+
+
+def scan(files: DataFrame) -> DataFrame:
+    """For every row of ``files`` (path, text): own licence and score, the licence that holds, and the folder it comes from."""
+    spark = files.sparkSession
+    named = files.select("path", "text").where(F.col("text").rlike(NAMES_A_LICENSE))
+    base = [F.col("path"), F.xxhash64("text").alias("text_key"), F.size(_terms(F.col("text"))).alias("file_terms")]
+    lines = named.select(*base, F.explode(F.split(F.regexp_replace("text", r"([.!?]) ", "$1\n"), "\n")).alias("unit")).where(F.col("unit").rlike(NAMES_A_LICENSE))
+    plain = F.regexp_replace("text", COMMENT, "")
+    blocks = F.array_distinct(F.concat(F.array(plain), F.split(plain, r"\n[ \t]*\n")))
+    whole = named.select(*base, F.explode(blocks).alias("unit")).where(F.col("unit").rlike(NAMES_A_LICENSE))
+    tagged = F.col("unit").rlike(TAG)
+    names = spark.createDataFrame([(n.lower() + end, n) for n in sorted({n for n, _ in TEMPLATES + TEXTS}) for end in ("", "-only", "-or-later", "+")], "tag string, license string")
+    tags = lines.where(tagged).select("unit").distinct().select(F.xxhash64("unit").alias("key"), F.lower(F.regexp_extract("unit", TAG, 1)).alias("tag"))
+    tags = tags.join(F.broadcast(names), "tag").select("key", "license", F.lit(1.0).alias("cosine"))
+    sentences = lines.withColumn("kind", F.lit(0)).unionByName(whole.withColumn("kind", F.lit(1))).withColumn("key", F.xxhash64("unit"))
+    best = tags.unionByName(_best(lines.where(~tagged), TEMPLATES, THRESHOLD)).withColumn("kind", F.lit(0))
+    best = best.unionByName(_best(whole, TEXTS, TEXT_THRESHOLD).withColumn("kind", F.lit(1)))
     # one result per file, equal rows counting once
     per_file = (
-        sentences.groupBy("path", "text_key", "file_terms", "sentence").agg(F.count("*").alias("times"))
-        .join(best, "sentence")
+        sentences.select("path", "text_key", "file_terms", "kind", "key", F.size(_terms(F.col("unit"))).alias("terms")).distinct()
+        .join(best, ["kind", "key"])
         .groupBy("path", "text_key", "file_terms").agg(
             F.max_by("license", F.struct("cosine", _descending("license"))).alias("own_license"), F.max("cosine").alias("own_score"),
-            F.sum(F.size(_terms(F.col("sentence")))).alias("license_terms"))
+            F.greatest(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("terms"))), F.lit(0)) for k in (0, 1)]).alias("license_terms"))
     )
     base = F.element_at(F.split("path", "/"), -1)
     is_file = F.lower(base).rlike(r"^(licen[cs]e|copying|notice)") | (F.col("license_terms") >= FILE_SHARE * F.col("file_terms"))

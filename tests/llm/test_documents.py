@@ -322,3 +322,14 @@ def test_licenses(spark):
         ("a/b/c/d/e.txt", None, "CC-BY-NC-4.0", "a/b/c"),
     ])
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).collect() == []
+
+
+def test_license_tags_headers_and_whole_texts(spark):
+    gnu = licenses._GNU.format("Affero General", 3).replace("and/or modify ", "and/or modify\n# ")
+    rows = [
+        ("a/x.py", "# SPDX-License-Identifier: Apache-2.0\nimport x"), ("b/x.py", "// SPDX-License-Identifier: MIT"), ("c/x.py", "# SPDX-License-Identifier: GPL-3.0-or-later"),
+        ("d/LICENSE", "Copyright (c) 2020 A. Holder\n\n" + licenses._BSD + licenses._BSD_END), ("e/x.py", f"# Copyright 2020 A\n#\n# {gnu}\n\nimport x\n"),
+        ("f/LICENSE", licenses._TEXTS["MPL-2.0"]), ("f/y.py", "print(1)"), ("g/x.py", "# SPDX-License-Identifier: Nobody-1.0"),
+    ]
+    got = {r.path: r.license for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"a/x.py": "Apache-2.0", "b/x.py": "MIT", "c/x.py": "GPL-3.0", "d/LICENSE": "BSD-2-Clause", "e/x.py": "AGPL-3.0", "f/LICENSE": "MPL-2.0", "f/y.py": "MPL-2.0", "g/x.py": None}
