@@ -11,16 +11,19 @@ from lexspark.llm.bpe import token_counts
 from lexspark.llm.chunks import edited_fingerprints
 from lexspark.llm.common import table
 from lexspark.llm.cotraining import classify
+from lexspark.llm.hadamard import cluster
 from lexspark.llm.jaccard import jaccard_components
 from lexspark.llm.langid import language_ids
+from lexspark.llm.lexical import ranked_search
 from lexspark.llm.licenses import scan
 from lexspark.llm.logbilinear import language_model_scores
 from lexspark.llm.pfair import mix
+from lexspark.llm.sql import SQL
 from lexspark.llm.styletree import extract_articles
 from lexspark.llm.wand import leaks
 
 QUERIES = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
 
 
 def _query(fn):
@@ -79,3 +82,13 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", "source", F.expr("CAST(doc_id DIV 100 AS STRING)"), F.col("doc_id").cast("string"))
     return scan(documents.select("doc_id", path.alias("path"), "text"))
+
+
+@_query
+def op12_bag_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op13_progressive_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
