@@ -17,6 +17,7 @@ from lexspark.llm.langid import language_ids
 from lexspark.llm.lexical import ranked_search
 from lexspark.llm.licenses import scan
 from lexspark.llm.logbilinear import language_model_scores
+from lexspark.llm.packing import pack
 from lexspark.llm.pfair import mix
 from lexspark.llm.sql import SQL
 from lexspark.llm.styletree import extract_articles
@@ -84,6 +85,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents.select("doc_id", path.alias("path"), "text"))
 
 
+@_query
+def op11_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @_query
 def op12_bag_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
