@@ -40,6 +40,8 @@ LENGTH_SHARE = 90
 BLOCK_BYTES = 8 << 20
 PIECE_BYTES = 1 << 20
 SCORES = 1 << 21
+# two longs each: a table of at most this many winning classes goes to every task
+FEW_CLASSES = 100_000
 NO_ID = 2**63 - 1
 
 # ASCII other than digits and letters parts terms; only A-Z are lower-cased
@@ -189,6 +191,9 @@ def _rank_block(documents: DataFrame, block: list[tuple], item_type: str, top: i
     won = cut_lineage(tasks.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top).drop("place"))
     # members of classes that won a place: the first of each class by doc_id
     wanted = won.select("key", "m").distinct()
+    if len(block) * top <= FEW_CLASSES:
+        # no shuffle in front of the join: each task sends only its first members of a class
+        wanted = F.broadcast(wanted)
     order = Window.partitionBy("key", "m", "bag").orderBy(F.asc_nulls_last("doc_id"))
     members = (
         found.join(wanted, ["key", "m"], "left_semi").withColumn("member", F.row_number().over(order)).where(F.col("member") <= top)
