@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.fixed import analytics as A
-from lexspark.operators.matching import contains_join, similar_join
+from lexspark.operators.matching import similar_join
 from lexspark.operators.ranking import top_per_group
+from lexspark.operators.substring import containing, substring_index
 from lexspark.session import struct_rows
 
 
@@ -67,10 +68,10 @@ def candidate_entities(names: DataFrame, entities: DataFrame, limit: int = 5) ->
     """Registry entities that contain each asked name, after the resolved one; at most ``limit``."""
     resolved = resolve_names(names, entities).where(F.col("canonical_id").isNotNull())
     asked = names.select("raw_name").where(F.length(F.trim("raw_name")) > 0).distinct()
-    texts = entity_names(entities).select("canonical_id", F.lower("name").alias("_text"))
-    hits = contains_join(asked.withColumn("_key", F.lower("raw_name")), "_key", texts, "_text").select(
-        "raw_name", "canonical_id"
-    ).distinct()
+    texts = entity_names(entities).select("canonical_id", F.lower("name").alias("text"), F.lit(None).cast("string").alias("all"))
+    keyed = asked.withColumn("key", F.lower("raw_name")).withColumn("scope", F.lit(None).cast("string"))
+    found = containing(keyed, substring_index(texts, "text", "all", "canonical_id")).select("key", "text")
+    hits = keyed.join(found, "key").join(texts, "text").select("raw_name", "canonical_id").distinct()
     extra = hits.join(resolved.select("raw_name", "canonical_id"), ["raw_name", "canonical_id"], "left_anti").select(
         "raw_name", "canonical_id", F.lit(None).cast("double").alias("confidence"),
         F.lit(None).cast("string").alias("match_level"),
@@ -139,16 +140,15 @@ def search_terms_of(entities: DataFrame, group: bool = False) -> DataFrame:
 
 def entity_activity(terms: DataFrame, entities: DataFrame, stats: DataFrame) -> DataFrame:
     """(canonical_id, source, n): data points whose title mentions a search term, in the entity's country."""
-    keyed = terms.join(entities.select("canonical_id", "country_code"), "canonical_id").select(
-        F.lower("term").alias("_key"), "country_code"
+    owners = terms.join(entities.select("canonical_id", "country_code"), "canonical_id").where(F.col("country_code").isNotNull()).select(
+        F.lower("term").alias("key"), F.col("country_code").alias("scope"), "canonical_id"
     ).distinct()
-    rows = stats.select(
-        F.col("jurisdiction").alias("country_code"), "source", "seq", F.lower("title").alias("_text")
+    rows = stats.where(F.col("jurisdiction").isNotNull()).select(
+        F.col("jurisdiction").alias("scope"), "source", "seq", F.lower("title").alias("text")
     )
-    hits = contains_join(keyed, "_key", rows, "_text", equal=["country_code"])
-    owners = terms.join(entities.select("canonical_id", "country_code"), "canonical_id").withColumn("_key", F.lower("term"))
+    found = containing(owners, substring_index(rows, "text", "scope", "seq")).select("key", "scope", "text")
     return (
-        hits.join(owners.select("_key", "country_code", "canonical_id").distinct(), ["_key", "country_code"])
+        owners.join(found, ["key", "scope"]).join(rows, ["text", "scope"])
         .select("canonical_id", "source", "seq").distinct()
         .groupBy("canonical_id", "source").agg(F.count("*").alias("n"))
     )

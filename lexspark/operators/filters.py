@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lexspark.fixed.jurisdictions import KNOWN_JURISDICTIONS
 from lexspark.functions.text import compact_article
-from lexspark.operators.matching import contains_join
 from lexspark.operators.ranking import top_per_group
-from lexspark.session import first_text
+from lexspark.operators.substring import SubstringIndex, containing, substring_index
+from lexspark.session import cut_lineage, first_text
 
 TEXT_LIMIT, CITATION_LIMIT, CITATION_CHARS, SUMMARY_CHARS = 50000, 50, 200, 500
 
@@ -151,24 +151,30 @@ def statutes_by_source(
     return rows.join(least, ["jurisdiction", "_priority"], "left_semi").drop("_priority")
 
 
-def find_cases(keys: DataFrame, cases: DataFrame, max_length: int | None = None) -> DataFrame:
+def case_id_index(cases: DataFrame) -> SubstringIndex:
+    """Substring index of the case ids by jurisdiction, for ``find_cases``."""
+    return substring_index(cases.select("case_id", "jurisdiction", F.col("case_id").alias("id")), "id", "jurisdiction", "case_id")
+
+
+def find_cases(
+    keys: DataFrame, cases: DataFrame, max_length: int | None = None, index: SubstringIndex | None = None
+) -> DataFrame:
     """Cases by (case_id, jurisdiction) key: the exact id, else the least id in the
     jurisdiction that contains the key. Returns (key, key_jurisdiction, case_id).
-    ``max_length`` leaves out longer keys."""
+    ``max_length`` leaves out longer keys; ``index`` is a stored ``case_id_index``."""
     if max_length is not None:
         keys = keys.where(F.length("case_id") <= max_length)
     asked = keys.where(F.length(F.trim("case_id")) > 0).select(
         F.col("case_id").alias("key"), F.col("jurisdiction").alias("key_jurisdiction")
     ).distinct()
-    ids = cases.select("case_id", "jurisdiction")
-    exact = asked.join(ids.select(F.col("case_id").alias("key"), F.col("case_id")), "key").select(
-        "key", "key_jurisdiction", "case_id"
-    )
-    rest = asked.join(exact.select("key").distinct(), "key", "left_anti")
-    texts = ids.select("case_id", F.col("jurisdiction").alias("key_jurisdiction"), F.col("case_id").alias("_text"))
-    inside = contains_join(rest, "key", texts, "_text", equal=["key_jurisdiction"])
+    ids = cases.select(F.col("case_id").alias("key"), F.lit(True).alias("_exact")).distinct()
+    # both branches read this one
+    tried = cut_lineage(asked.join(ids, "key", "left"))
+    exact = tried.where("_exact").select("key", "key_jurisdiction", F.col("key").alias("case_id"))
+    rest = tried.where("_exact IS NULL AND key_jurisdiction IS NOT NULL")
+    inside = containing(rest, index or case_id_index(cases), "key", "key_jurisdiction")
     return exact.unionByName(
-        inside.groupBy("key", "key_jurisdiction").agg(F.min("case_id").alias("case_id"))
+        inside.groupBy("key", F.col("scope").alias("key_jurisdiction")).agg(F.min("least").alias("case_id"))
     )
 
 

@@ -1,4 +1,4 @@
-"""Exact substring and edit-distance joins without comparing all pairs."""
+"""Exact edit-distance joins without comparing all pairs."""
 
 from __future__ import annotations
 
@@ -6,56 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _grams(text: Column, size: Column) -> Column:
-    """Distinct substrings of ``text`` of the given length."""
-    return F.when(
-        F.length(text) >= size,
-        F.array_distinct(
-            F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(text, i, size))
-        ),
-    )
-
-
-def contains_join(
-    keys: DataFrame, key: str, texts: DataFrame, text: str, equal: list[str] | None = None, gram: int = 6
-) -> DataFrame:
-    """Rows of ``keys`` joined to the rows of ``texts`` whose ``text`` contains ``key``.
-
-    Every key is represented by the rarest of its character grams; a text that
-    contains the key contains that gram. Keys shorter than ``gram`` are their
-    own gram. Columns in ``equal`` must agree as well. Use distinct keys.
-    """
-    equal = equal or []
-    wanted = keys.where(F.length(key) > 0).withColumn("_size", F.least(F.length(key), F.lit(gram)))
-    sizes = wanted.agg(F.collect_set("_size")).scalar()
-    key_cols = [c for c in keys.columns]
-
-    key_grams = wanted.select(*key_cols, F.explode_outer(_grams(F.col(key), F.col("_size"))).alias("_gram"))
-    # the few gram sizes in use, nearly always just one
-    sized = texts.where(F.col(text).isNotNull()).withColumn("_sizes", sizes).select(
-        *texts.columns, F.explode("_sizes").alias("_size")
-    )
-    text_grams = sized.select(*texts.columns, F.explode_outer(_grams(F.col(text), F.col("_size"))).alias("_gram"))
-    text_grams = text_grams.where(F.col("_gram").isNotNull())
-    # only grams some key has are counted; the join itself then reads the chosen ones alone
-    frequency = (
-        text_grams.select("_gram").join(key_grams.select("_gram").distinct(), "_gram", "left_semi")
-        .groupBy("_gram").agg(F.count("*").alias("_df"))
-    )
-    rarest = (
-        key_grams.join(frequency, "_gram", "left")
-        .groupBy(*key_cols)
-        .agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("_gram").alias("g"))).alias("_m"))
-        .where(F.col("_m.df") > 0)
-        .select(*key_cols, F.col("_m.g").alias("_gram"))
-    )
-    return (
-        rarest.join(text_grams, ["_gram", *equal])
-        .where(F.contains(F.col(text), F.col(key)))
-        .drop("_gram")
-    )
-
-
 def _allowed_edits(longer: Column, threshold: float) -> Column:
     """Most edits a pair may have whose longer side has this length."""
     return F.floor(longer * (1.0 - threshold) + F.lit(1e-9)).cast("int")

@@ -2,14 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.functions.text import citation_name_part, has_versus, normalize_citation
-from lexspark.operators.matching import contains_join
+from lexspark.operators.substring import ANY, SubstringIndex, containing, read_substring_index, substring_index, write_substring_index
 from lexspark.session import cut_lineage, struct_rows
 
-ANY = "*"
+
+class NameIndex(NamedTuple):
+    """Substring indexes of the lower-cased case names, by jurisdiction, and of the case numbers."""
+
+    names: SubstringIndex
+    numbers: SubstringIndex
+
+
+def build_name_index(cases: DataFrame) -> NameIndex:
+    """Index for ranks 4 and 5 of ``resolve_citations``; numbers are looked up whatever the jurisdiction."""
+    lowered = cases.select(
+        "case_id", "jurisdiction", F.lower("case_name").alias("name"), F.lower("case_number").alias("number"), F.lit(None).cast("string").alias("all")
+    )
+    return NameIndex(
+        substring_index(lowered, "name", "jurisdiction", "case_id"), substring_index(lowered, "number", "all", "case_id")
+    )
+
+
+def write_name_index(cases: DataFrame, path: str) -> None:
+    """Store the name index of ``cases`` under ``path``."""
+    for part, index in build_name_index(cases)._asdict().items():
+        write_substring_index(index, f"{path}/{part}")
+
+
+def read_name_index(spark: SparkSession, path: str) -> NameIndex:
+    return NameIndex(*(read_substring_index(spark, f"{path}/{part}") for part in NameIndex._fields))
 
 
 def build_citation_index(cases: DataFrame) -> DataFrame:
@@ -31,15 +58,17 @@ def _lookup(kind: str, df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def resolve_citations(references: DataFrame, citation_index: DataFrame, cases: DataFrame) -> DataFrame:
+def resolve_citations(
+    references: DataFrame, citation_index: DataFrame, cases: DataFrame, name_index: NameIndex | None = None
+) -> DataFrame:
     """Resolve (citation_string, jurisdiction) pairs; jurisdiction may be NULL.
 
     Returns the distinct pairs with ``case_id`` and ``match_rank`` (NULL when
     unresolved): 1 exact string in the index, 2 normalised string, 3 exact case
     name, 4 case name contains the name part, 5 case number contains the
     string. The least case id wins inside a rank. Ranks 1 to 3 are one equi
-    join on pre-aggregated lookups; only what they leave goes to the substring
-    joins.
+    join on pre-aggregated lookups; only what they leave is looked up in
+    ``name_index``, a stored one or by default one built from ``cases``.
     """
     refs = references.select("citation_string", "jurisdiction").where(
         F.col("citation_string").isNotNull()
@@ -69,13 +98,13 @@ def resolve_citations(references: DataFrame, citation_index: DataFrame, cases: D
     # every later step reads the outcome of this one, so it is written out once
     tried = cut_lineage(refs.join(exact, ["citation_string", "scope"], "left"))
     rest = tried.where(F.col("hit").isNull()).drop("hit")
+    name_index = name_index or build_name_index(cases)
     by_name = _least_containing(
-        rest.select("citation_string", "scope", F.lower(name).alias("_key")), cases, "case_name"
+        rest.select("citation_string", "scope", F.lower(name).alias("_key")), name_index.names
     ).withColumn("match_rank", F.lit(4))
-    # numbers are looked up whatever the jurisdiction
     numbers = rest.select("citation_string", F.lit(ANY).alias("scope"), F.lower("citation_string").alias("_key")).distinct()
     by_number = rest.select("citation_string", "scope").join(
-        _least_containing(numbers, cases, "case_number").drop("scope"), "citation_string"
+        _least_containing(numbers, name_index.numbers).drop("scope"), "citation_string"
     ).withColumn("match_rank", F.lit(5))
     contained = (
         by_name.unionByName(by_number)
@@ -87,21 +116,9 @@ def resolve_citations(references: DataFrame, citation_index: DataFrame, cases: D
     ).select("citation_string", "jurisdiction", "hit.case_id", "hit.match_rank")
 
 
-def _least_containing(wanted: DataFrame, cases: DataFrame, column: str) -> DataFrame:
-    """(citation_string, scope, case_id): the least case of the scope whose ``column`` contains ``_key``.
-
-    Distinct keys meet distinct texts: a name that many cases bear is cut into
-    grams once per jurisdiction, and a key that many strings share is looked up once.
-    """
-    keys = wanted.where(F.col("_key") != "").select("_key", "scope").distinct()
-    texts = cases.groupBy(F.lower(column).alias("_text"), F.col("jurisdiction").alias("_jur")).agg(
-        F.min("case_id").alias("case_id")
-    )
-    found = (
-        contains_join(keys, "_key", texts, "_text")
-        .where((F.col("scope") == ANY) | (F.col("scope") == F.col("_jur")))
-        .groupBy("_key", "scope").agg(F.min("case_id").alias("case_id"))
-    )
+def _least_containing(wanted: DataFrame, index: SubstringIndex) -> DataFrame:
+    """(citation_string, scope, case_id): the least case of the scope one of whose texts contains ``_key``."""
+    found = containing(wanted, index, "_key").groupBy(F.col("key").alias("_key"), "scope").agg(F.min("least").alias("case_id"))
     return wanted.join(found, ["_key", "scope"]).select("citation_string", "scope", "case_id")
 
 

@@ -9,10 +9,12 @@ from lexspark.operators import aggregates as A
 from lexspark.operators import filters as FL
 from lexspark.operators import graph as G
 from lexspark.operators import resolve as R
+from lexspark.operators import substring as SB
 from lexspark.operators import validity as V
 from lexspark.operators.ranking import first_row_by
 from lexspark.plans import sql_parts as P
 from lexspark.plans.registry import query
+from lexspark.plans.stored import stored
 from lexspark.plans.views import load, with_views
 
 
@@ -145,12 +147,17 @@ best AS (SELECT citation_string, jurisdiction, min((k, case_id)) AS b FROM (SELE
 """
 
 
+def name_index(spark, d):
+    """The stored name index of the cases."""
+    return stored(spark, d, "case_names", lambda path: R.write_name_index(_cases(spark, d), path), R.read_name_index)
+
+
 @query("resolve_citations", _RESOLVE_SQL + """
 SELECT r.citation_string, r.jurisdiction, b[2] AS case_id, b[1] AS match_rank FROM refs r LEFT JOIN best x
   ON x.citation_string = r.citation_string AND x.jurisdiction IS NOT DISTINCT FROM r.jurisdiction""")
 def resolve_citations(spark, d):
     cases = _cases(spark, d)
-    return R.resolve_citations(load(spark, d, "citation_refs"), R.build_citation_index(cases), cases)
+    return R.resolve_citations(load(spark, d, "citation_refs"), R.build_citation_index(cases), cases, name_index(spark, d))
 
 
 @query("resolved_edges", _RESOLVE_SQL + """
@@ -158,7 +165,7 @@ SELECT b[1] AS match_rank, count(*) AS edges, count(DISTINCT e.citing_case_id) A
   ON x.citation_string = e.citation_string AND x.jurisdiction IS NOT DISTINCT FROM e.jurisdiction GROUP BY 1""")
 def resolved_edges(spark, d):
     cases, refs = _cases(spark, d), load(spark, d, "citation_refs")
-    resolved = R.resolve_citations(refs, R.build_citation_index(cases), cases)
+    resolved = R.resolve_citations(refs, R.build_citation_index(cases), cases, name_index(spark, d))
     return R.attach_resolution(refs, resolved).groupBy("match_rank").agg(
         F.count("*").alias("edges"), F.countDistinct("citing_case_id").alias("citing_cases")
     )
@@ -361,7 +368,10 @@ def find_cases(spark, d):
         "CASE l_linenumber % 3 WHEN 0 THEN CAST(l_orderkey AS STRING) WHEN 1 THEN concat('0', l_suppkey) ELSE concat(l_partkey, 'x') END"
     )
     jur = F.expr("CASE l_suppkey % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'GB' ELSE 'JP' END")
-    return FL.find_cases(li.select(key.alias("case_id"), jur.alias("jurisdiction")), _cases(spark, d))
+    index = stored(
+        spark, d, "case_ids", lambda path: SB.write_substring_index(FL.case_id_index(_cases(spark, d)), path), SB.read_substring_index
+    )
+    return FL.find_cases(li.select(key.alias("case_id"), jur.alias("jurisdiction")), _cases(spark, d), index=index)
 
 
 @query("case_details", with_views("cases", "case_citations") + """

@@ -14,6 +14,7 @@ from lexspark.operators import resolve as R
 from lexspark.operators import search as S
 from lexspark.operators import validity as V
 from lexspark.plans import sql_parts as P
+from lexspark.plans.queries_cases import name_index
 from lexspark.plans.registry import query
 from lexspark.plans.views import load, with_views
 from lexspark.session import cut_lineage
@@ -358,7 +359,7 @@ def validity_from_text(spark, d):
         F.col("doc_id").cast("string").alias("citing_case_id"), "citation_string",
         F.lit(None).cast("string").alias("jurisdiction"), F.col("context").alias("citation_context"),
     ))
-    resolved = R.resolve_citations(edges, index, cases)
+    resolved = R.resolve_citations(edges, index, cases, name_index(spark, d))
     linked = R.attach_resolution(edges, resolved).select(
         "citing_case_id", "cited_case_id", F.col("citation_string").alias("cited_reference"), "citation_context"
     )

@@ -11,7 +11,8 @@ from lexspark.operators import graph as G
 from lexspark.operators import party as P
 from lexspark.operators import search as S
 from lexspark.operators import validity as V
-from lexspark.operators.matching import contains_join, similar_join
+from lexspark.operators import substring as SB
+from lexspark.operators.matching import similar_join
 from lexspark.operators.ranking import best_priority, fill_by_priority, top_per_group
 from lexspark.operators.resolve import build_citation_index, resolve_citations
 
@@ -25,14 +26,30 @@ def _edits(a, b):
     return row[-1]
 
 
-def test_contains_join_is_exact(spark):
+def test_substring_index_is_exact(spark, tmp_path, monkeypatch):
+    # small limits, so that longer grams and pairs of grams are needed
+    monkeypatch.setattr(SB, "FREQUENT", 6)
+    monkeypatch.setattr(SB, "RARE", 2)
     rnd = random.Random(1)
-    texts = ["".join(rnd.choice("ab ") for _ in range(rnd.randint(1, 14))) for _ in range(80)]
-    keys = sorted({"".join(rnd.choice("ab ") for _ in range(rnd.randint(1, 9))) for _ in range(60)})
-    t = spark.createDataFrame(list(enumerate(texts)), "tid INT, txt STRING")
-    k = spark.createDataFrame([(x,) for x in keys], "key STRING")
-    got = {(r.key, r.tid) for r in contains_join(k, "key", t, "txt").collect()}
-    assert got == {(x, i) for x in keys for i, v in enumerate(texts) if x in v}
+    texts = [(i, "".join(rnd.choice("ab ") for _ in range(rnd.randint(0, 30))), rnd.choice(["US", "GB", None])) for i in range(120)]
+    keys = {("".join(rnd.choice("ab ") for _ in range(rnd.randint(0, 20))), rnd.choice(["US", "GB", None])) for _ in range(90)}
+    keys |= {(t[2:9], None) for _, t, _ in texts} | {(t[1:], "US") for _, t, _ in texts} | {(None, "US")}
+    rows = spark.createDataFrame([*texts, (900, None, "US")], "id INT, txt STRING, j STRING")
+    live = SB.substring_index(rows, "txt", "j", "id")
+    SB.write_substring_index(live, str(tmp_path))
+    want = {(k, s or SB.ANY, t, j or "") for k, s in keys if k for _, t, j in texts if k in t and s in (None, j)}
+    frame = spark.createDataFrame(sorted(keys, key=str), "key STRING, scope STRING")
+    for index in (live, SB.read_substring_index(spark, str(tmp_path))):
+        assert {(r.key, r.scope, r.text, r.text_scope) for r in SB.containing(frame, index).collect()} == want
+
+
+def test_substring_candidates_grow_with_the_keys(spark):
+    def count(n):
+        rows = spark.range(n).selectExpr("id", "concat('common holding of the company ', id) AS txt", "'US' AS j")
+        keys = rows.selectExpr("concat('holding of the company ', id) AS key", "'US' AS scope")
+        return SB.candidates(keys, SB.substring_index(rows, "txt", "j", "id")).count()
+
+    assert count(2000) <= 2.5 * count(1000)
 
 
 def test_similar_join_is_exact(spark):
