@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.fixed.jurisdictions import SIMILAR_SEARCH_JURISDICTIONS
@@ -22,6 +24,14 @@ CASE_RESULT = [
 
 # ---- index ----------------------------------------------------------------
 
+class TextIndex(NamedTuple):
+    """Postings, document lengths, and the number of term buckets of stored postings."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    buckets: int | None = None
+
+
 def _tokens(col: str, bigrams: bool) -> Column:
     return F.coalesce(search_terms(F.col(col), bigrams), F.array().cast("array<string>"))
 
@@ -77,10 +87,10 @@ def postings(
 def text_index(
     docs: DataFrame, doc_id: str, name: str, text: str, terms: DataFrame | None = None,
     keep: tuple[str, ...] = (), positions: bool = True,
-) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths) from one pass over the texts, for several searches; ``terms`` as of ``query_terms``."""
+) -> TextIndex:
+    """Postings and lengths from one pass over the texts, for several searches; ``terms`` as of ``query_terms``."""
     rows = cut_lineage(postings(docs, doc_id, name, text, terms, keep=keep, positions=positions, ends=True))
-    return rows.where(F.col("term") != ""), rows.where(F.col("term") == "").select(doc_id, *keep, "length")
+    return TextIndex(rows.where(F.col("term") != ""), rows.where(F.col("term") == "").select(doc_id, *keep, "length"))
 
 
 def document_lengths(docs: DataFrame, doc_id: str, name: str, text: str, bigrams: bool = False) -> DataFrame:
@@ -92,18 +102,18 @@ def write_index(
     docs: DataFrame, doc_id: str, name: str, text: str, path: str, buckets: int = 256, keep: tuple[str, ...] = ()
 ) -> None:
     """Persist postings with positions and the columns ``keep`` by term bucket, and document lengths, under ``path``."""
-    rows = postings(docs, doc_id, name, text, keep=keep, positions=True).withColumn("bucket", term_bucket(F.col("term"), buckets))
-    # a common term has a posting per document: the salt keeps its bucket in many tasks
-    salt = F.pmod(F.xxhash64(doc_id), F.lit(8))
-    rows.repartition("bucket", salt).sortWithinPartitions("term").write.mode("overwrite").partitionBy(
-        "bucket"
-    ).parquet(f"{path}/postings")
-    document_lengths(docs, doc_id, name, text).write.mode("overwrite").parquet(f"{path}/lengths")
+    index = text_index(docs, doc_id, name, text, keep=keep)
+    # a common term stays in all the tasks that met its documents
+    rows = index.postings.withColumn("bucket", term_bucket(F.col("term"), buckets)).sortWithinPartitions("bucket", "term")
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    index.lengths.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/lengths")
 
 
-def read_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths) written by ``write_index``."""
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+def read_index(spark: SparkSession, path: str) -> TextIndex:
+    """The index that ``write_index`` stored."""
+    lengths = spark.read.parquet(f"{path}/lengths")
+    held = lengths.select("buckets").first()
+    return TextIndex(spark.read.parquet(f"{path}/postings"), lengths.drop("buckets"), held["buckets"] if held else 1)
 
 
 def term_bucket(term: Column, buckets: int = 256) -> Column:
@@ -136,16 +146,17 @@ def bm25_matches(
     name: str,
     text: str,
     qid: str = "qid",
-    index: tuple[DataFrame, DataFrame] | None = None,
+    index: TextIndex | None = None,
     match_all: bool = True,
     restrict: list[str] | None = None,
-    buckets: int = 256,
+    buckets: int | None = None,
 ) -> DataFrame:
     """(qid, doc_id, score) of the documents that match each query.
 
     All terms are required, or any with ``match_all=False``. Scores are
-    positive; name tokens weigh ten times. ``index`` uses given postings, stored in
-    ``buckets`` term buckets or not, otherwise the texts are tokenised once for the query terms only.
+    positive; name tokens weigh ten times. ``index`` uses given postings, live or stored,
+    otherwise the texts are tokenised once for the query terms only. A stored index knows its
+    term ``buckets``.
     ``restrict`` names columns that a query, where it sets them, shares with
     its results; the term statistics stay those of the whole corpus. Where the
     postings carry those columns, documents out of scope go before terms are paired.
@@ -154,10 +165,12 @@ def bm25_matches(
     wanted = query_terms(queries, qid)
     if index is None:
         index = text_index(docs, doc_id, name, text, wanted, tuple(restrict), positions=match_all)
-    hits, lengths = index
-    if "bucket" in hits.columns:
+    hits, lengths = index.postings, index.lengths
+    buckets = buckets or index.buckets
+    if buckets is not None:
         keys = wanted.select("term").distinct().withColumn("bucket", term_bucket(F.col("term"), buckets))
-        hits = hits.join(keys, ["bucket", "term"], "left_semi").drop("bucket")
+        # the postings of the query's terms, read once
+        hits = cut_lineage(hits.join(keys, ["bucket", "term"], "left_semi").drop("bucket"))
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avg"))
     n_docs = corpus.select("n").scalar()
     average = corpus.select("avg").scalar()
@@ -295,19 +308,26 @@ def search_jurisdictions(
 
 
 def similar_cases(
-    descriptions: DataFrame, cases: DataFrame, k: int = 10, match_all: bool = True, index=None
+    descriptions: DataFrame, cases: DataFrame, k: int = 10, match_all: bool = True, index=None, blocks=None, buckets: int = 256
 ) -> DataFrame:
     """Cases similar to each free-text description (qid, description, jurisdiction).
 
     The first eight longer words are searched. 'ALL' reads six jurisdictions,
     ``max(k // 6, 2)`` each, in their order. ``match_all=False`` accepts any of
-    the words and orders by BM25 alone.
+    the words and orders by BM25 alone; with ``blocks`` (a stored ``BlockIndex`` of
+    so many ``buckets``) it reads only blocks that can matter.
     """
     asked = descriptions.select(
         "qid", selected_keywords(F.col("description")).alias("query"), F.col("jurisdiction").alias("_j")
     )
     if not match_all:
         scope = F.when(F.upper("_j") != "ALL", F.upper("_j")).alias("jurisdiction")
+        if blocks is not None:
+            from lexspark.operators.blocks import top_any_word
+
+            found, _ = top_any_word(asked.select("qid", "query", scope.alias("scope")), blocks, k, buckets)
+            best = found.withColumnRenamed("doc_id", "case_id")
+            return best.join(cases.select(*CASE_RESULT), "case_id").select("qid", "position", *CASE_RESULT, "score")
         hits = bm25_matches(
             asked.select("qid", "query", scope), cases, "case_id", "case_name", "full_text",
             index=index, match_all=False, restrict=["jurisdiction"],

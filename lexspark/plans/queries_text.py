@@ -9,6 +9,7 @@ from lexspark.fixed.jurisdictions import DEFAULT_SEARCH_JURISDICTIONS, SIMILAR_S
 from lexspark.functions import citations as C
 from lexspark.functions import metadata as MD
 from lexspark.functions import text as TX
+from lexspark.operators import blocks as BL
 from lexspark.operators import filters as FL
 from lexspark.operators import resolve as R
 from lexspark.operators import search as S
@@ -16,15 +17,34 @@ from lexspark.operators import validity as V
 from lexspark.plans import sql_parts as P
 from lexspark.plans.queries_cases import name_index
 from lexspark.plans.registry import query
+from lexspark.plans.stored import stored
 from lexspark.plans.views import load, with_views
 from lexspark.session import cut_lineage
 from lexspark.sources.landing import new_citations
 
 
+# term buckets of the stored indexes; a larger corpus takes more
+BUCKETS = 16
+
+
 def _queries(spark, d):
     return load(spark, d, "query_log")
 
 
+def case_index(spark, d):
+    """The stored postings of the cases."""
+    def write(path):
+        S.write_index(load(spark, d, "cases"), "case_id", "case_name", "full_text", path, BUCKETS, ("jurisdiction",))
+    return stored(spark, d, "case_postings", write, S.read_index)
+
+
+def case_blocks(spark, d):
+    """The same postings in blocks with bounds."""
+    def write(path):
+        BL.write_blocks(case_index(spark, d), "case_id", "jurisdiction", path, BUCKETS)
+    return stored(spark, d, "case_blocks", write, BL.read_blocks)
+
+
 # ---- ranked search ---------------------------------------------------------------
 
 @query("term_postings", with_views("cases") + P.bm25_ctes("cases", "case_id", "case_name", "full_text", "(SELECT 0 AS qid, '' AS query)") + """
@@ -41,17 +61,16 @@ def term_postings(spark, d):
 @query("bm25_search", with_views("cases", "query_log") + P.bm25_ctes("cases", "case_id", "case_name", "full_text", "query_log") + """
 SELECT qid, doc_id AS case_id, round(score, 6) AS score FROM hits""")
 def bm25_search(spark, d):
-    hits = S.bm25_matches(_queries(spark, d), load(spark, d, "cases"), "case_id", "case_name", "full_text")
+    cases = load(spark, d, "cases")
+    hits = S.bm25_matches(_queries(spark, d), cases, "case_id", "case_name", "full_text", index=case_index(spark, d))
     return hits.select("qid", "case_id", F.round("score", 6).alias("score"))
 
 
 @query("bm25_search_index", with_views("cases", "query_log") + P.bm25_ctes("cases", "case_id", "case_name", "full_text", "query_log") + """
 SELECT qid, doc_id AS case_id, round(score, 6) AS score FROM hits""")
 def bm25_search_index(spark, d):
-    """The same search over postings of the whole corpus, as a stored index holds them."""
-    cases = load(spark, d, "cases")
-    index = S.text_index(cases, "case_id", "case_name", "full_text", keep=("jurisdiction",))
-    hits = S.bm25_matches(_queries(spark, d), cases, "case_id", "case_name", "full_text", index=index)
+    """The same search, its postings made from the texts for the words asked."""
+    hits = S.bm25_matches(_queries(spark, d), load(spark, d, "cases"), "case_id", "case_name", "full_text")
     return hits.select("qid", "case_id", F.round("score", 6).alias("score"))
 
 
@@ -60,11 +79,20 @@ def bm25_search_index(spark, d):
 SELECT qid, count(*) AS matches, round(max(score), 6) AS best FROM hits GROUP BY 1""")
 def bm25_any_word(spark, d):
     hits = S.bm25_matches(
-        _queries(spark, d), load(spark, d, "cases"), "case_id", "case_name", "full_text", match_all=False
+        _queries(spark, d), load(spark, d, "cases"), "case_id", "case_name", "full_text", index=case_index(spark, d), match_all=False
     )
     return hits.groupBy("qid").agg(F.count("*").alias("matches"), F.round(F.max("score"), 6).alias("best"))
 
 
+@query("any_word_top", with_views("cases", "query_log") + P.bm25_ctes("cases", "case_id", "case_name", "full_text", "query_log", False) + """
+, n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS position FROM hits)
+SELECT qid, CAST(position AS INT) AS position, doc_id AS case_id, round(score, 6) AS score FROM n WHERE position <= 10""")
+def any_word_top(spark, d):
+    asked = _queries(spark, d).select("qid", "query", F.lit(None).cast("string").alias("scope"))
+    found, _ = BL.top_any_word(asked, case_blocks(spark, d), 10, BUCKETS)
+    return found.select("qid", "position", F.col("doc_id").alias("case_id"), F.round("score", 6).alias("score"))
+
+
 # party names as queries: '#' and '.' make phrases of the tokens
 @query("phrase_search", with_views("cases") + f""",
 ql AS (SELECT l_partkey AS qid, concat('Customer#', lpad(CAST(l_partkey AS VARCHAR), 9, '0'), ' Supplier#', CAST(l_partkey % 10 AS VARCHAR)) AS query
@@ -76,7 +104,9 @@ def phrase_search(spark, d):
         "l_partkey AS qid",
         "concat('Customer#', lpad(CAST(l_partkey AS STRING), 9, '0'), ' Supplier#', CAST(l_partkey % 10 AS STRING)) AS query",
     ).distinct()
-    return S.bm25_matches(asked, load(spark, d, "cases"), "case_id", "case_name", "full_text").select("qid", "case_id")
+    return S.bm25_matches(
+        asked, load(spark, d, "cases"), "case_id", "case_name", "full_text", index=case_index(spark, d)
+    ).select("qid", "case_id")
 
 
 _CASE_HITS = with_views("cases", "query_log") + P.bm25_ctes("cases", "case_id", "case_name", "full_text", "query_log")
@@ -88,7 +118,7 @@ _ORDER = "c.has_content DESC, c.importance_score DESC NULLS LAST, score DESC, c.
   JOIN query_log q USING (qid) JOIN cases c ON c.case_id = h.doc_id AND c.jurisdiction = q.jurisdiction WHERE c.has_content = 1)
 SELECT qid, CAST(position AS INT) AS position, case_id, court, CAST(substr(decision_date, 1, 4) AS INT) AS year FROM r WHERE position <= 20""")
 def search_cases(spark, d):
-    return S.search_cases(_queries(spark, d), load(spark, d, "cases"), 20).select("qid", "position", "case_id", "court", "year")
+    return S.search_cases(_queries(spark, d), load(spark, d, "cases"), 20, case_index(spark, d)).select("qid", "position", "case_id", "court", "year")
 
 
 @query("search_everywhere", _CASE_HITS + f"""
@@ -99,7 +129,7 @@ def search_everywhere(spark, d):
     asked = _queries(spark, d).select("qid", "query", F.lit("ALL").alias("jurisdiction")).withColumn(
         "year_from", F.lit(1996)
     ).withColumn("year_to", F.lit(2000))
-    return S.search_cases(asked, load(spark, d, "cases"), 100).select("qid", "position", "case_id")
+    return S.search_cases(asked, load(spark, d, "cases"), 100, case_index(spark, d)).select("qid", "position", "case_id")
 
 
 _LISTED = ", ".join(f"'{j}'" for j in DEFAULT_SEARCH_JURISDICTIONS)
@@ -110,7 +140,9 @@ _LISTED = ", ".join(f"'{j}'" for j in DEFAULT_SEARCH_JURISDICTIONS)
   FROM hits h JOIN cases c ON c.case_id = h.doc_id WHERE c.has_content = 1 AND c.jurisdiction IN ({_LISTED}))
 SELECT qid, jurisdiction, CAST(position AS INT) AS position, case_id FROM r WHERE position <= 5""")
 def search_jurisdictions(spark, d):
-    found = S.search_jurisdictions(_queries(spark, d), DEFAULT_SEARCH_JURISDICTIONS, load(spark, d, "cases"))
+    found = S.search_jurisdictions(
+        _queries(spark, d), DEFAULT_SEARCH_JURISDICTIONS, load(spark, d, "cases"), index=case_index(spark, d)
+    )
     return found.select("qid", "jurisdiction", "position", "case_id")
 
 
@@ -133,7 +165,7 @@ def search_cases_advanced(spark, d):
         "CASE qid % 3 WHEN 0 THEN '1-URGENT' WHEN 1 THEN 'the' END AS case_type",
         "CASE WHEN qid % 4 = 3 THEN 'FURNITURE' END AS subject_area",
     )
-    found = S.search_cases_advanced(asked, load(spark, d, "cases"), 20)
+    found = S.search_cases_advanced(asked, load(spark, d, "cases"), 20, case_index(spark, d))
     return found.select("qid", "position", "case_id", "fallback_used")
 
 
@@ -189,7 +221,7 @@ t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY list_position([{_SI
 SELECT qid, CAST(position AS INT) AS position, case_id FROM t WHERE position <= 10""")
 def similar_cases(spark, d):
     asked = _descriptions(spark, d).withColumn("jurisdiction", F.lit("ALL"))
-    return S.similar_cases(asked, load(spark, d, "cases")).select("qid", "position", "case_id")
+    return S.similar_cases(asked, load(spark, d, "cases"), index=case_index(spark, d)).select("qid", "position", "case_id")
 
 
 @query("similar_cases_any_word", with_views("cases") + _DESCRIBED + """
@@ -200,7 +232,7 @@ def similar_cases(spark, d):
 SELECT qid, CAST(position AS INT) AS position, case_id FROM r WHERE position <= 10""")
 def similar_cases_any_word(spark, d):
     asked = _descriptions(spark, d).withColumn("jurisdiction", F.lit("GB"))
-    return S.similar_cases(asked, load(spark, d, "cases"), match_all=False).select("qid", "position", "case_id")
+    return S.similar_cases(asked, load(spark, d, "cases"), match_all=False, blocks=case_blocks(spark, d), buckets=BUCKETS).select("qid", "position", "case_id")
 
 
 @query("search_case_law", with_views("cases", "query_log", "local_cases") + """,
@@ -235,7 +267,7 @@ def search_case_law(spark, d):
     local = asked.join(load(spark, d, "local_cases"), "jurisdiction").where(
         F.expr("topic = concat('topic', CAST(qid % 9 AS STRING))")
     ).select("qid", "case_name", "jurisdiction", "seq")
-    found = S.search_case_law(asked, load(spark, d, "cases"), supplements, local)
+    found = S.search_case_law(asked, load(spark, d, "cases"), supplements, local, index=case_index(spark, d))
     seq = F.expr("CASE WHEN _source = 'supplement' THEN CAST((seq - seq % 10) / 10 AS BIGINT) ELSE seq END")
     return found.select("qid", "case_name", "_source", seq.alias("seq"))
 
@@ -249,7 +281,7 @@ best AS (SELECT * FROM b WHERE position <= 10)
 
 
 def _compare(spark, d):
-    return S.compare_jurisdictions("the and", ["US", "GB", "JP", "ZW"], load(spark, d, "cases"))
+    return S.compare_jurisdictions("the and", ["US", "GB", "JP", "ZW"], load(spark, d, "cases"), index=case_index(spark, d))
 
 
 @query("compare_jurisdictions", _COMPARE + """

@@ -11,6 +11,7 @@ from lexspark.operators import graph as G
 from lexspark.operators import party as P
 from lexspark.operators import search as S
 from lexspark.operators import validity as V
+from lexspark.operators import blocks as BL
 from lexspark.operators import substring as SB
 from lexspark.operators.matching import similar_join
 from lexspark.operators.ranking import best_priority, fill_by_priority, top_per_group
@@ -314,3 +315,34 @@ def test_all_dates_of_a_text_count(spark):
     text = " ".join(f"20{i:02}-01-0{1 + i % 9}" for i in range(1, 13))
     (n,) = spark.createDataFrame([(text,)], "t string").select(F.size(dates_in_text(F.col("t")))).first()
     assert n == 12
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_blocks_give_the_rows_of_exhaustive_scoring_and_leave_common_words_unread(spark, tmp_path, k):
+    rnd = random.Random(k)
+    words = [f"w{i}" for i in range(60)]
+    rows = [
+        (f"d{i:04}", " ".join(rnd.choices(words, k=2)), "the the " * rnd.randint(1, 9) + " ".join(rnd.choices(words, k=rnd.randint(1, 40))), rnd.choice(["US", "GB", None]))
+        for i in range(1500)
+    ]
+    rows += [("e1", "rarest", "the rarest word of all", "GB"), ("e2", None, "the rarest", "US"), ("e3", "the", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id STRING, name STRING, body STRING, jurisdiction STRING")
+    S.write_index(docs, "doc_id", "name", "body", str(tmp_path / "ix"), 4, ("jurisdiction",))
+    index = S.read_index(spark, str(tmp_path / "ix"))
+    BL.write_blocks(index, "doc_id", "jurisdiction", str(tmp_path / "blocks"), 4)
+    asked = [(1, "the rarest", None), (2, "the w1 w2", "GB"), (3, "w3", "US"), (4, "the", None), (5, "unknown", None), (6, "rarest unknown the w9", "GB")]
+    queries = spark.createDataFrame(asked, "qid INT, query STRING, scope STRING")
+    found, reads = BL.top_any_word(queries, BL.read_blocks(spark, str(tmp_path / "blocks")), k, 4)
+    scores = S.bm25_matches(
+        queries.withColumnRenamed("scope", "jurisdiction"), docs, "doc_id", "name", "body", index=index, match_all=False, restrict=["jurisdiction"]
+    ).collect()
+    want = set()
+    for q in {r.qid for r in scores}:
+        best = sorted((-r.score, r.doc_id) for r in scores if r.qid == q)[:k]
+        want |= {(q, i, d, round(-x, 6)) for i, (x, d) in enumerate(best, 1)}
+    assert {(r.qid, r.position, r.doc_id, round(r.score, 6)) for r in found.collect()} == want
+    if k == 1:
+        alone = queries.where("qid = 1")
+        _, reads = BL.top_any_word(alone, BL.read_blocks(spark, str(tmp_path / "blocks")), k, 4)
+        common = {r.term: r for r in reads.collect()}["the"]
+        assert common.blocks > 40 and common.blocks_read < common.blocks / 2
