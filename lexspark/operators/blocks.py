@@ -4,7 +4,7 @@ The postings of a term in a scope (a jurisdiction) are dealt by a hash of the do
 into blocks of about ``BLOCK`` postings; a block row has the largest term weight inside, so
 that idf times it bounds what any of its documents can gain. A search runs in three steps:
 
-1. The rarest terms of a query are read whole; the k-th best partial score is a
+1. The rarest terms of a query, as few as hold k postings, are read whole; the k-th best partial score is a
    threshold that the k best documents reach.
 2. The most common terms whose bounds together stay below the threshold cannot
    lift a document on their own. Of the other terms, blocks are read unless their bound plus
@@ -27,8 +27,6 @@ from lexspark.operators.search import K1, MIN_IDF, NAME_WEIGHT, TEXT_WEIGHT, B,
 from lexspark.session import cut_lineage
 
 BLOCK = 32
-# documents of the rarest terms, in multiples of k, that set the threshold
-FIRST_READ = 4
 # scores are rounded to nine places before they are ordered
 SLACK = 1e-6
 
@@ -93,7 +91,7 @@ def top_any_word(queries: DataFrame, index: BlockIndex, k: int, buckets: int = 2
     parts = cut_lineage(parts.select("qid", "term", "scope", "n", "blocks", idf.alias("idf"), (idf * F.col("bound")).alias("gain")))
     of_query = parts.groupBy("qid", "term").agg(F.sum("n").alias("n"), F.max("gain").alias("gain"))
     before = Window.partitionBy("qid").orderBy("n", "term").rowsBetween(Window.unboundedPreceding, -1)
-    rare = of_query.withColumn("seen", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("seen") < FIRST_READ * k)
+    rare = of_query.withColumn("seen", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("seen") < k)
 
     first = parts.join(rare.select("qid", "term"), ["qid", "term"])
     opened = _open(index.blocks, first, False, buckets)
