@@ -107,6 +107,15 @@ def _contexts(units: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+_WIDE = np.arange(WIDTH)
+
+
+def _sums_by(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the ``rows`` that share an index below ``n``."""
+    cells = (index[:, None] * WIDTH + _WIDE).ravel()
+    return np.bincount(cells, rows.ravel(), minlength=n * WIDTH).reshape(n, WIDTH)
+
+
 class Model:
     """Context vectors, position weights, unit vectors and biases, kept in one flat array."""
 
@@ -128,43 +137,47 @@ class Model:
         model.parts[3][:] = np.log(noise)
         return model
 
+    def _predicted(self, context: np.ndarray) -> np.ndarray:
+        """Sum of the context's vectors, each weighted by its place."""
+        vectors, weights = self.parts[:2]
+        tables = weights[:, None, :] * vectors[None]
+        predicted = tables[0][context[0]]
+        for i in range(1, CONTEXT):
+            predicted += tables[i][context[i]]
+        return predicted
+
     def step(self, context: np.ndarray, target: np.ndarray, noise: np.ndarray, p_noise: np.ndarray, squares: list[np.ndarray]) -> None:
         """One noise-contrastive gradient step (Adagrad)."""
         vectors, weights, outputs, bias = self.parts
-        rows = np.arange(len(target))
-        seen = vectors[context]  # context x batch x width
-        predicted = np.einsum("cbw,cw->bw", seen, weights)
+        predicted = self._predicted(context)
         shift = np.log(len(noise) * p_noise)
-        right = (predicted * outputs[target]).sum(1) + bias[target] - shift[target]
-        wrong = predicted @ outputs[noise].T + bias[noise] - shift[noise]
+        right = (predicted * outputs[target]).sum(1) + (bias - shift)[target]
+        against = outputs[noise]
+        wrong = predicted @ against.T + (bias - shift)[noise]
         d_right, d_wrong = 1 / (1 + np.exp(right)), -1 / (1 + np.exp(-wrong))
-        d_hat = d_right[:, None] * outputs[target] + d_wrong @ outputs[noise]
-        d_units = np.zeros((len(target), UNITS), np.float32)
-        d_units[rows, target] = d_right
-        g_out, g_bias = d_units.T @ predicted, d_units.sum(0)
+        d_hat = d_right[:, None] * outputs[target] + d_wrong @ against
+        # gradients are sums by unit: of the target, of the noise, and of each place of the context
+        g_out = _sums_by(target, d_right[:, None] * predicted, UNITS)
+        g_bias = np.bincount(target, d_right, minlength=UNITS)
         np.add.at(g_out, noise, d_wrong.T @ predicted)
         np.add.at(g_bias, noise, d_wrong.sum(0))
-        g_vec, g_weight = np.zeros_like(vectors), np.empty_like(weights)
-        for i in range(CONTEXT):
-            hot = np.zeros((len(target), UNITS + 1), np.float32)
-            hot[rows, context[i]] = 1
-            g_vec += hot.T @ (d_hat * weights[i])
-            g_weight[i] = (d_hat * seen[i]).sum(0)
+        places = np.arange(CONTEXT)[:, None] * (UNITS + 1) + context
+        by_place = _sums_by(places.ravel(), np.broadcast_to(d_hat, (CONTEXT, *d_hat.shape)).reshape(-1, WIDTH), CONTEXT * (UNITS + 1))
+        by_place = by_place.reshape(CONTEXT, UNITS + 1, WIDTH)
+        g_vec = (by_place * weights[:, None]).sum(0)
+        g_weight = (by_place * vectors).sum(1)
         for part, g, sq in zip(self.parts, (g_vec, g_weight, g_out, g_bias), squares, strict=True):
-            g /= len(target)
+            g = (g / len(target)).astype(np.float32)
             sq += g * g
             part += RATE * g / np.sqrt(sq + 1e-8)
 
     def log10_units(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Normalised log10 probability of each target unit."""
-        vectors, weights, outputs, bias = self.parts
-        tables = weights[:, None, :] * vectors[None]
+        _, _, outputs, bias = self.parts
         out = np.empty(len(target))
         for a in range(0, len(target), PIECE):
             c, t = context[:, a : a + PIECE], target[a : a + PIECE]
-            predicted = tables[0][c[0]]
-            for i in range(1, CONTEXT):
-                predicted += tables[i][c[i]]
+            predicted = self._predicted(c)
             scores = predicted @ outputs.T
             scores += bias
             chosen = scores[np.arange(len(t)), t]
