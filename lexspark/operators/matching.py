@@ -5,72 +5,161 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.session import cut_lineage
+
+# what every character weighs beside the rarity of its word
+LEAST_WEIGHT = 0.02
+# pairs that one even segment may make
+HOT_PAIRS = 20_000
+# so many (size, length, place) of segments go to every task, more are joined
+FEW_KINDS = 50_000
+
 
 def _allowed_edits(longer: Column, threshold: float) -> Column:
     """Most edits a pair may have whose longer side has this length."""
     return F.floor(longer * (1.0 - threshold) + F.lit(1e-9)).cast("int")
 
 
-def similar_join(
-    left: DataFrame, left_text: str, right: DataFrame, right_text: str, threshold: float
-) -> DataFrame:
-    """Pairs whose similarity 1 - edits / longer length is at least ``threshold``.
+def _char_weights(texts: DataFrame) -> DataFrame:
+    """(text, weights): for each character the rarity of its word among the texts, divided by the word's length."""
+    n = texts.count()
+    words = texts.select("text", F.posexplode(F.split("text", " ")).alias("at", "word"))
+    df = words.select("text", "word").distinct().groupBy("word").agg(F.count("*").alias("df"))
+    # the blank after a word counts with it
+    weight = F.log2(F.lit(n + 1.0) / F.col("df")) / (F.length("word") + 1) + F.lit(LEAST_WEIGHT)
+    runs = words.join(df, "word").select("text", "at", F.array_repeat(weight, F.length("word") + 1).alias("run"))
+    ordered = runs.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("at", "run"))).alias("runs"))
+    return ordered.select("text", F.slice(F.flatten(F.transform("runs", lambda r: r["run"])), F.lit(1), F.length("text")).alias("weights"))
+
+
+def balanced_segments(texts: DataFrame, threshold: float) -> DataFrame:
+    """(text, needed, segments): distinct non-empty texts cut into segments of about equal rarity.
 
-    A right text is cut into one segment more than the edits allowed, so some
-    segment of it occurs unchanged in any similar left text, shifted by no more
-    than the edits. Pairs meet on (length, segment number, segment); the edit
-    distance of those pairs is then checked. Nothing similar is missed.
+    A text has two segments more than the edits that any partner allows, where it is long
+    enough, so ``needed`` of them (two, or one) stand unchanged in every similar text. A word that many
+    texts share weighs little, so it ends up in one segment with rarer neighbours instead of
+    filling segments by itself.
     """
-    # segments are cut for the most edits a partner of any length may allow
-    r = right.withColumn("_rl", F.length(right_text)).where(F.col("_rl") > 0)
-    longest = F.floor(F.col("_rl") / F.lit(threshold) + F.lit(1e-9))
-    r = r.withColumn("_edits", _allowed_edits(longest, threshold))
-    r = r.withColumn("_edits", F.least("_edits", F.col("_rl") - 1))
-    r = r.select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("_edits"))).alias("_seg_no")
-    ).withColumn("_start", F.floor(F.col("_seg_no") * F.col("_rl") / (F.col("_edits") + 1)).cast("int"))
-    r = r.withColumn(
-        "_seg_len",
-        F.floor((F.col("_seg_no") + 1) * F.col("_rl") / (F.col("_edits") + 1)).cast("int") - F.col("_start"),
-    ).withColumn("_seg", F.substr(F.col(right_text), F.col("_start") + 1, F.col("_seg_len")))
-
-    ll = left.withColumn("_ll", F.length(left_text)).where(F.col("_ll") > 0)
-    ll = ll.select(
-        "*",
-        F.explode(
-            F.sequence(
-                F.ceil(F.col("_ll") * threshold - F.lit(1e-9)).cast("int"),
-                F.floor(F.col("_ll") / F.lit(threshold) + F.lit(1e-9)).cast("int"),
-            )
-        ).alias("_rl"),
-    ).where(F.col("_rl") > 0)
-    longest = F.floor(F.col("_rl") / F.lit(threshold) + F.lit(1e-9))
-    ll = ll.withColumn("_edits", F.least(_allowed_edits(longest, threshold), F.col("_rl") - 1))
-    ll = ll.select("*", F.explode(F.sequence(F.lit(0), F.col("_edits"))).alias("_seg_no"))
-    ll = ll.withColumn("_start", F.floor(F.col("_seg_no") * F.col("_rl") / (F.col("_edits") + 1)).cast("int"))
-    ll = ll.withColumn(
-        "_seg_len",
-        F.floor((F.col("_seg_no") + 1) * F.col("_rl") / (F.col("_edits") + 1)).cast("int") - F.col("_start"),
+    size = F.length("text")
+    edits = F.least(_allowed_edits(F.floor(size / F.lit(threshold) + F.lit(1e-9)), threshold), size - 1)
+    rows = _char_weights(texts).withColumn("edits", edits).withColumn("cuts", F.least(edits + 2, size))
+    sums = F.transform(F.sequence(F.lit(1), size), lambda j: F.aggregate(F.slice("weights", F.lit(1), j), F.lit(0.0), lambda a, x: a + x))
+    # each step is written out: inside a lambda the next one would work it out again for every element
+    rows = cut_lineage(rows.withColumn("sums", sums).withColumn("whole", F.element_at("sums", -1)).drop("weights"))
+    # where the share of each segment is reached, moved on so that no segment is empty
+    reached = F.transform(
+        F.sequence(F.lit(0), F.col("cuts") - 1),
+        lambda i: F.when(i == 0, 0).otherwise(F.size(F.filter("sums", lambda c: c < i * F.col("whole") / F.col("cuts"))) - i),
     )
-    shift = _allowed_edits(F.greatest("_ll", "_rl"), threshold)
-    first = F.greatest(F.col("_start") - shift, F.lit(0))
-    last = F.least(F.col("_start") + shift, F.col("_ll") - F.col("_seg_len"))
-    ll = ll.where(last >= first).select(
-        *left.columns, "_ll", "_rl", "_seg_no",
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.sequence(first, last), lambda p: F.substr(F.col(left_text), p + 1, F.col("_seg_len"))
-                )
-            )
-        ).alias("_seg"),
+    rows = cut_lineage(rows.withColumn("ahead", reached).drop("sums"))
+    starts = F.transform(
+        F.sequence(F.lit(0), F.col("cuts") - 1),
+        lambda i: F.least(i + F.greatest(F.array_max(F.slice("ahead", F.lit(1), i + 1)), F.lit(0)), size - F.col("cuts") + i),
     )
-    pairs = ll.join(r.select(*right.columns, "_rl", "_seg_no", "_seg"), ["_rl", "_seg_no", "_seg"])
-    longer = F.greatest("_ll", "_rl")
-    distance = F.levenshtein(F.col(left_text), F.col(right_text))
-    return (
-        pairs.where(distance <= _allowed_edits(longer, threshold))
-        .withColumn("similarity", 1.0 - distance / longer)
-        .drop("_rl", "_seg_no", "_seg", "_ll")
-        .dropDuplicates()
+    rows = cut_lineage(rows.withColumn("starts", starts))
+    segments = F.transform(
+        F.sequence(F.lit(0), F.col("cuts") - 1),
+        lambda i: F.struct(
+            F.get("starts", i).alias("start"),
+            F.substr(F.col("text"), F.get("starts", i) + 1, F.coalesce(F.get("starts", i + 1), size) - F.get("starts", i)).alias("segment"),
+        ),
+    )
+    return rows.select("text", (F.col("cuts") - F.col("edits")).alias("needed"), segments.alias("segments"))
+
+
+def _sizes(threshold: float) -> Column:
+    """The lengths a similar text may have."""
+    size = F.length("text")
+    return F.sequence(F.ceil(size * threshold - F.lit(1e-9)).cast("int"), F.floor(size / F.lit(threshold) + F.lit(1e-9)).cast("int"))
+
+
+def _even_edits(threshold: float) -> Column:
+    return F.least(_allowed_edits(F.floor(F.col("size") / F.lit(threshold) + F.lit(1e-9)), threshold), F.col("size") - 1)
+
+
+def _even_right(texts: DataFrame, threshold: float) -> DataFrame:
+    """(right, size, number, segment): texts cut evenly into one segment more than any partner's edits."""
+    rows = texts.withColumn("size", F.length("text")).withColumn("edits", _even_edits(threshold))
+    rows = rows.withColumn("number", F.explode(F.sequence(F.lit(0), F.col("edits"))))
+    start = F.floor(F.col("number") * F.col("size") / (F.col("edits") + 1)).cast("int")
+    end = F.floor((F.col("number") + 1) * F.col("size") / (F.col("edits") + 1)).cast("int")
+    return rows.select(F.col("text").alias("right"), "size", "number", F.substr(F.col("text"), start + 1, end - start).alias("segment"))
+
+
+def _even_left(texts: DataFrame, threshold: float) -> DataFrame:
+    """(left, size, number, segment): what an even segment of a text of some size may be in a similar text."""
+    rows = texts.withColumn("size", F.explode(_sizes(threshold))).where("size > 0").withColumn("edits", _even_edits(threshold))
+    rows = rows.withColumn("number", F.explode(F.sequence(F.lit(0), F.col("edits"))))
+    start = F.floor(F.col("number") * F.col("size") / (F.col("edits") + 1)).cast("int")
+    span = F.floor((F.col("number") + 1) * F.col("size") / (F.col("edits") + 1)).cast("int") - start
+    shift = _allowed_edits(F.greatest(F.length("text"), F.col("size")), threshold)
+    first, last = F.greatest(start - shift, F.lit(0)), F.least(start + shift, F.length("text") - span)
+    return rows.where(last >= first).select(
+        F.col("text").alias("left"), "size", "number",
+        F.explode(F.array_distinct(F.transform(F.sequence(first, last), lambda at: F.substr(F.col("text"), at + 1, span)))).alias("segment"),
+    )
+
+
+def similar_candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(left, right) pairs of the distinct texts of both sides (column ``text``) that are worth comparing.
+
+    Texts meet on even segments. A segment that would pair more than ``HOT_PAIRS`` texts
+    takes its right texts out; those are cut by rarity instead (``balanced_segments``).
+    """
+    lefts, rights = cut_lineage(_even_left(left, threshold)), cut_lineage(_even_right(right, threshold))
+    key = ["size", "number", "segment"]
+    load = lefts.groupBy(*key).agg(F.count("*").alias("a")).join(rights.groupBy(*key).agg(F.count("*").alias("b")), key)
+    hot = cut_lineage(
+        rights.join(load.where(F.col("a") * F.col("b") > HOT_PAIRS), key, "left_semi").select(F.col("right").alias("text")).distinct()
+    )
+    calm = rights.join(hot.withColumnRenamed("text", "right"), "right", "left_anti")
+    met = lefts.join(calm, key).select("left", "right").distinct()
+    # a text of either kind is in one of the two, so no pair comes twice
+    return met if hot.isEmpty() else met.unionByName(_balanced_candidates(left, hot, threshold))
+
+
+def _balanced_candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """As ``similar_candidates``, by segments of equal rarity.
+
+    The commonest segments are spared where others must match too: of the segments of a right text,
+    all but ``needed - 1`` are looked up, the rarest. A pair that meets there stays
+    if as many segments as needed stand in the left text near their place.
+    """
+    cut = cut_lineage(balanced_segments(right, threshold))
+    parts = cut.select("text", "needed", F.size("segments").alias("cuts"), F.inline("segments"))
+    df = parts.groupBy("segment").agg(F.count("*").alias("df"))
+    ranked = (
+        parts.join(df, "segment").groupBy("text", "needed", "cuts").agg(F.sort_array(F.collect_list(F.struct("df", "start", "segment"))).alias("all"))
+        .select("text", F.inline(F.slice("all", F.lit(1), F.col("cuts") - F.col("needed") + 1)))
+    )
+    keys = cut_lineage(ranked.select(F.col("text").alias("right"), F.length("text").alias("size"), "start", "segment"))
+    # left texts are cut only into what some right text of a possible size has there
+    kinds = keys.select("size", F.length("segment").alias("span"), F.col("start").alias("near")).distinct()
+    sized = left.select(F.col("text").alias("left"), F.explode(_sizes(threshold)).alias("size"))
+    edits = _allowed_edits(F.greatest(F.length("left"), F.col("size")), threshold)
+    first, last = F.greatest(F.col("near") - edits, F.lit(0)), F.least(F.col("near") + edits, F.length("left") - F.col("span"))
+    pieces = sized.join(F.broadcast(kinds) if kinds.count() <= FEW_KINDS else kinds, "size").where(last >= first).select(
+        "left", "size", F.col("near").alias("start"),
+        F.explode(F.array_distinct(F.transform(F.sequence(first, last), lambda at: F.substr(F.col("left"), at + 1, F.col("span"))))).alias("segment"),
+    )
+    met = pieces.join(keys, ["size", "start", "segment"]).select("left", "right").distinct()
+    edits = _allowed_edits(F.greatest(F.length("left"), F.length("right")), threshold)
+    standing = F.filter(
+        "segments",
+        lambda s: F.contains(F.substr(F.col("left"), F.greatest(s["start"] - edits, F.lit(0)) + 1, F.length(s["segment"]) + edits + F.least(s["start"], edits)), s["segment"]),
+    )
+    return met.join(cut.withColumnRenamed("text", "right"), "right").where(F.size(standing) >= F.col("needed")).select("left", "right")
+
+
+def similar_join(left: DataFrame, left_text: str, right: DataFrame, right_text: str, threshold: float) -> DataFrame:
+    """Pairs whose similarity 1 - edits / longer length is at least ``threshold``; exact."""
+    def texts(rows: DataFrame, column: str) -> DataFrame:
+        return rows.where(F.length(column) > 0).select(F.col(column).alias("text")).distinct()
+
+    pairs = similar_candidates(texts(left, left_text), texts(right, right_text), threshold)
+    longer = F.greatest(F.length("left"), F.length("right"))
+    edits = F.levenshtein(F.col("left"), F.col("right"))
+    close = pairs.withColumn("_edits", edits).where(F.col("_edits") <= _allowed_edits(longer, threshold)).select(
+        F.col("left").alias(left_text), F.col("right").alias(right_text), (1.0 - F.col("_edits") / longer).alias("similarity")
     )
+    return left.join(close, left_text).join(right, right_text).select(*left.columns, *right.columns, "similarity").dropDuplicates()

@@ -13,7 +13,8 @@ from lexspark.operators import search as S
 from lexspark.operators import validity as V
 from lexspark.operators import blocks as BL
 from lexspark.operators import substring as SB
-from lexspark.operators.matching import similar_join
+from lexspark.operators import matching as M
+from lexspark.operators.matching import similar_candidates, similar_join
 from lexspark.operators.ranking import best_priority, fill_by_priority, top_per_group
 from lexspark.operators.resolve import build_citation_index, resolve_citations
 
@@ -53,7 +54,10 @@ def test_substring_candidates_grow_with_the_keys(spark):
     assert count(2000) <= 2.5 * count(1000)
 
 
-def test_similar_join_is_exact(spark):
+@pytest.mark.parametrize("hot_pairs", [20_000, 3])
+def test_similar_join_is_exact(spark, monkeypatch, hot_pairs):
+    # with the small limit most texts are cut by rarity
+    monkeypatch.setattr(M, "HOT_PAIRS", hot_pairs)
     rnd = random.Random(2)
     base = ["".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 30))) for _ in range(60)]
 
@@ -75,6 +79,22 @@ def test_similar_join_is_exact(spark):
     assert got == want and len(want) > 20
 
 
+def test_a_common_word_does_not_pair_all_names(spark, monkeypatch):
+    monkeypatch.setattr(M, "HOT_PAIRS", 100)
+    rnd = random.Random(3)
+
+    def names(n):
+        return ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=8)) + " international" for _ in range(n)]
+
+    left, right = names(300), names(300)
+    # edited copies, also inside the common word, are found all the same
+    edited = [(x, x[1:]) for x in right[:20]] + [(x, x.replace("national", "nationals")) for x in right[20:40]] + [(x, x.replace("tern", "trn")) for x in right[40:60]]
+    texts = [spark.createDataFrame([(x,) for x in sorted(set(t))], "text STRING") for t in (left + [y for _, y in edited], right)]
+    got = {(r.left, r.right) for r in similar_candidates(*texts, 0.85).collect()}
+    assert {(y, x) for x, y in edited} <= got
+    assert len(got) < 0.05 * 360 * 300
+
+
 def test_top_per_group_limits_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), "id").repartition(4)
     top = top_per_group(df, ["g"], [F.col("id").desc()], 2)
