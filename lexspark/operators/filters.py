@@ -208,16 +208,16 @@ def search_suggestions(query: Column, jurisdiction: Column) -> Column:
     advice = F.array(
         F.when(
             F.size(words) > 3,
-            F.concat(F.lit("Try fewer keywords: '"), F.array_join(F.slice(words, 1, 3), " "), F.lit("'")),
+            F.concat(F.lit("Search for less: '"), F.array_join(F.slice(words, 1, 3), " "), F.lit("'")),
         ),
         F.when(
             (F.size(words) == 1) & (F.length(F.get(words, F.lit(0))) > 8),
-            F.lit("Try a shorter or more common term"),
+            F.lit("Shorten the word"),
         ),
         F.when(
-            jurisdiction != "ALL", F.lit("Try searching across all jurisdictions with jurisdiction='ALL'")
+            jurisdiction != "ALL", F.lit("Drop the jurisdiction: 'ALL'")
         ),
-        F.lit("Try broader terms or synonyms"),
-        F.lit("Check spelling of party names or legal terms"),
+        F.lit("Use a wider or a related word"),
+        F.lit("Look at how names are spelled"),
     )
     return F.filter(advice, lambda a: a.isNotNull())

@@ -460,7 +460,7 @@ def compare_jurisdictions(
     a tie.
     """
     if len(jurisdictions) < 2:
-        raise ValueError("At least 2 jurisdictions are required for comparison.")
+        raise ValueError("a comparison takes two jurisdictions or more")
     spark = cases.sparkSession
     scope = cases.where(F.col("jurisdiction").isin(jurisdictions))
     # one search per jurisdiction: cases of others are not scored

@@ -285,9 +285,9 @@ def sector_profile(spark, d):
 s AS (SELECT *, silent AND jurisdiction IN ('JP', 'EU') AS post FROM x),
 t AS (SELECT *, CAST(1 + notification_sent::INT + silent::INT + CASE lv WHEN 'none' THEN -1 WHEN 'constructive' THEN 1 WHEN 'actual' THEN 2 ELSE 0 END + rep::INT + post::INT AS INT) AS score FROM s)
 SELECT matter_id, score, CASE WHEN score <= 1 THEN 'Low' WHEN score <= 3 THEN 'Medium' ELSE 'High' END AS risk_level,
-  concat('Risk estimated from ', concat_ws(', ', CASE WHEN notification_sent THEN 'notification has been sent' END, CASE WHEN silent THEN 'no response after notification' END,
-    'knowledge level assessed as ' || lv, CASE WHEN rep THEN 'pattern suggests repeated conduct' END,
-    CASE WHEN post THEN 'jurisdiction tends to emphasize post-notice action' END), '.') AS basis FROM t""")
+  concat('Grounds: ', concat_ws(', ', CASE WHEN notification_sent THEN 'a notice was sent' END, CASE WHEN silent THEN 'the notice went unanswered' END,
+    'knowledge: ' || lv, CASE WHEN rep THEN 'the conduct recurs' END,
+    CASE WHEN post THEN 'courts there look at what follows a notice' END), '.') AS basis FROM t""")
 def legal_risk(spark, d):
     return SC.legal_risk(load(spark, d, "matters")).select("matter_id", "score", "risk_level", "basis")
 
@@ -332,7 +332,7 @@ def score_forums(spark, d):
 @query("enforcement_strategy", with_views("forum_profiles") + _forum_sql() + """
 , g AS (SELECT profile_id, string_agg('File action in ' || forum, '|' ORDER BY -score, forum) FILTER (suitability = 'High') AS h,
   string_agg('Evaluate ' || forum, '|' ORDER BY -score, forum) FILTER (suitability = 'Medium') AS m FROM sc GROUP BY 1)
-SELECT profile_id, concat_ws('|', h, 'Send Search notices immediately') AS short_term, coalesce(m, 'Evaluate administrative and voluntary enforcement options') AS mid_term FROM g""")
+SELECT profile_id, concat_ws('|', h, 'Send Search notices immediately') AS short_term, coalesce(m, 'Weigh administrative and voluntary routes') AS mid_term FROM g""")
 def enforcement_strategy(spark, d):
     rows = SC.enforcement_strategy(SC.score_forums(_profiles(spark, d), FORUMS), "Search")
     return rows.select("profile_id", F.array_join("short_term", "|").alias("short_term"), F.array_join("mid_term", "|").alias("mid_term"))

@@ -311,10 +311,10 @@ def compared_samples(spark, d):
 @query("search_suggestions", """
 WITH q AS (SELECT conv_id, turn, text AS query, CASE WHEN conv_id % 3 = 0 THEN 'ALL' ELSE 'US' END AS j, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '') AS w
   FROM conversations WHERE role = 'user')
-SELECT conv_id, turn, concat_ws('|', CASE WHEN len(w) > 3 THEN concat('Try fewer keywords: ''', w[1], ' ', w[2], ' ', w[3], '''') END,
-  CASE WHEN len(w) = 1 AND length(w[1]) > 8 THEN 'Try a shorter or more common term' END,
-  CASE WHEN j <> 'ALL' THEN 'Try searching across all jurisdictions with jurisdiction=''ALL''' END,
-  'Try broader terms or synonyms', 'Check spelling of party names or legal terms') AS suggestions FROM q""")
+SELECT conv_id, turn, concat_ws('|', CASE WHEN len(w) > 3 THEN concat('Search for less: ''', w[1], ' ', w[2], ' ', w[3], '''') END,
+  CASE WHEN len(w) = 1 AND length(w[1]) > 8 THEN 'Shorten the word' END,
+  CASE WHEN j <> 'ALL' THEN 'Drop the jurisdiction: ''ALL''' END,
+  'Use a wider or a related word', 'Look at how names are spelled') AS suggestions FROM q""")
 def search_suggestions(spark, d):
     rows = load(spark, d, "conversations").where("role = 'user'")
     j = F.expr("CASE WHEN conv_id % 3 = 0 THEN 'ALL' ELSE 'US' END")
