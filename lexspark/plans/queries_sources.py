@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as TX
 from lexspark.plans.registry import query
 from lexspark.plans.views import jurisdiction_sql, load, with_views
+from lexspark.session import shared_folder
 from lexspark.sources import blocks as B
 from lexspark.sources import landing as L
 from lexspark.sources import links as LK
 from lexspark.sources import payloads as PL
+from lexspark.sources import store as ST
 
 
 # ---- links ------------------------------------------------------------------------
@@ -367,6 +371,20 @@ def upsert_cases(spark, d):
     return L.upsert_cases(old, new).select("case_id", "case_name", "source_adapter", "full_text", "raw_metadata")
 
 
+# the second landing merged into a bucketed store of the first
+@query("stored_cases", f"""
+WITH o AS (SELECT *, concat({jurisdiction_sql('o_custkey')}, ':', CASE WHEN o_orderkey % 5 = 0 THEN concat('c', o_orderkey) ELSE CAST(o_orderkey AS VARCHAR) END) AS case_id FROM orders)
+SELECT case_id, CASE WHEN o_orderkey % 3 = 1 THEN concat('second ', o_orderstatus) ELSE concat('first ', o_orderstatus) END AS case_name,
+  CASE WHEN o_orderkey % 3 = 1 OR (o_orderkey % 3 = 0 AND o_custkey % 40 > o_orderkey % 40) THEN repeat('u', CAST(o_custkey % 40 AS INT)) ELSE repeat('t', CAST(o_orderkey % 40 AS INT)) END AS full_text,
+  CASE WHEN o_orderkey % 3 = 1 THEN 'landing 2' ELSE 'landing 1' END AS crawled_at, CASE WHEN o_orderkey % 3 = 2 THEN 'landing 1' ELSE 'landing 2' END AS updated_at FROM o""")
+def stored_cases(spark, d):
+    rows = L.landed_cases(_raw(spark, d), F.when(F.col("seq") < 100000000, "landing 1").otherwise("landing 2"))
+    path = f"{shared_folder(spark)}/cases-{uuid.uuid4().hex}"
+    ST.create_store(rows.where("seq < 100000000"), path, 16)
+    ST.merge_cases(spark, path, rows.where("seq >= 100000000"), 16)
+    return ST.read_cases(spark, path).select("case_id", "case_name", "full_text", "crawled_at", "updated_at")
+
+
 @query("new_citations", with_views("case_citations") + """
 , old AS (SELECT * FROM case_citations WHERE CAST(citing_case_id AS BIGINT) % 2 = 0)
 SELECT citing_case_id, cited_reference FROM case_citations WHERE (citing_case_id, cited_reference) NOT IN (SELECT (citing_case_id, cited_reference) FROM old) GROUP BY 1, 2""")

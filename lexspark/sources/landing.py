@@ -34,17 +34,20 @@ def source_jurisdiction(source: Column) -> Column:
     return F.coalesce(F.try_element_at(table, source), F.substring(F.upper(short), 1, 2))
 
 
-def landed_cases(raw: DataFrame) -> DataFrame:
-    """Raw records (the standard fields, extra MAP, jurisdiction, adapter, seq) as case rows."""
+def landed_cases(raw: DataFrame, landed_at: Column | None = None) -> DataFrame:
+    """Raw records (the standard fields, extra MAP, jurisdiction, adapter, seq) as case rows.
+
+    With ``landed_at`` they carry it as ``crawled_at`` and ``updated_at``."""
     def text(c: str) -> Column:
         return F.coalesce(c, F.lit("")).alias(c)
 
+    times = [] if landed_at is None else [landed_at.alias("crawled_at"), landed_at.alias("updated_at")]
     return raw.select(
         source_case_id(F.col("jurisdiction")).alias("case_id"), "jurisdiction",
         text("court"), text("case_name"), text("case_number"), text("decision_date"),
         F.coalesce(first_text("text", "full_text", "plain_text"), F.lit("")).alias("full_text"),
         text("summary"), text("source_url"), F.col("adapter").alias("source_adapter"), text("language"),
-        residual_json(F.col("extra")).alias("raw_metadata"), "seq",
+        residual_json(F.col("extra")).alias("raw_metadata"), "seq", *times,
     )
 
 
@@ -52,20 +55,21 @@ def upsert_cases(old: DataFrame, new: DataFrame) -> DataFrame:
     """One row per case_id over both tables, which share columns and a ``seq``.
 
     Stored rows come before new ones, and new ones in ``seq`` order. The longest
-    text stays (the older on a tie), metadata is the newest, every other column
-    keeps its first value. One partial aggregate, so any number of copies of a
+    text stays (the older on a tie), metadata and ``updated_at``, where there is one, are
+    the newest, every other column keeps its first value. One partial aggregate, so any number of copies of a
     case are merged before the shuffle.
     """
     rows = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    first = [c for c in rows.columns if c not in ("case_id", "full_text", "raw_metadata", "seq", "_new")]
+    newest = [c for c in ("raw_metadata", "updated_at") if c in rows.columns]
+    first = [c for c in rows.columns if c not in ("case_id", "full_text", "seq", "_new", *newest)]
     order = F.struct("_new", "seq")
     longest = F.struct(F.length(F.coalesce("full_text", F.lit(""))), -F.col("_new"), -F.col("seq"))
     return rows.groupBy("case_id").agg(
         F.max_by("full_text", longest).alias("full_text"),
-        F.max_by("raw_metadata", order).alias("raw_metadata"),
+        *[F.max_by(c, order).alias(c) for c in newest],
         F.min_by(F.struct(*first), order).alias("_first"),
         F.max("seq").alias("seq"),
-    ).select("case_id", "_first.*", "full_text", "raw_metadata", "seq")
+    ).select("case_id", "_first.*", "full_text", *newest, "seq")
 
 
 def insert_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

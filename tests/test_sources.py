@@ -87,6 +87,36 @@ def test_upsert_rule_and_idempotence(spark):
     assert [(r.case_name, r.full_text) for r in again] == [("First", "long text")]
 
 
+def test_store_rewrites_only_touched_buckets_and_replays_change_nothing(spark, tmp_path):
+    from pathlib import Path
+
+    from lexspark.sources import store as ST
+
+    def landed(ids, text, at, seq):
+        rows = [tuple(dict(_raw(seq + i, text * (1 + i % 3), f"name {text}"), id=str(i)).values()) for i in ids]
+        return L.landed_cases(spark.createDataFrame(rows, RAW_DDL), F.lit(at))
+
+    def files():
+        return {str(f): f.stat().st_mtime_ns for f in Path(store).rglob("*.parquet")}
+
+    store = str(tmp_path / "store")
+    ST.create_store(landed(range(400), "first", "2024-01-01", 0), store, 32)
+    before = files()
+    batch = landed([3, 7, 200, 900], "second batch", "2024-02-01", 10_000)
+    touched = ST.merge_cases(spark, store, batch, 32)
+    assert 1 <= len(touched) <= 4
+    kept = {f: t for f, t in before.items() if int(f.split("bucket=")[1].split("/")[0]) not in touched}
+    after = files()
+    assert len(kept) >= 20 and all(after[f] == t for f, t in kept.items())
+    rows = {r.case_id: r for r in ST.read_cases(spark, store).collect()}
+    assert len(rows) == 401
+    assert (rows["US:3"].case_name, rows["US:3"].full_text, rows["US:3"].crawled_at, rows["US:3"].updated_at) == ("name first", "second batch", "2024-01-01", "2024-02-01")
+    assert (rows["US:900"].crawled_at, rows["US:4"].updated_at) == ("2024-02-01", "2024-01-01")
+    ST.merge_cases(spark, store, batch, 32)
+    assert {r.case_id: r for r in ST.read_cases(spark, store).collect()} == rows
+    assert ST.merge_cases(spark, store, batch.limit(0), 32) == []
+
+
 def test_case_id_sources(spark):
     rows = [dict(_raw(1, "t", "n"), id="", case_id="c9"), dict(_raw(2, "t", "n"), id=None, source_url="http://x"), dict(_raw(3, "t", "n"), id=None)]
     ids = [r.case_id for r in L.landed_cases(spark.createDataFrame([tuple(r.values()) for r in rows], RAW_DDL)).collect()]
