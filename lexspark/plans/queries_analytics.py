@@ -49,7 +49,29 @@ def defendant_performance(spark, d):
     )
 
 
-@query("defendant_intervals")
+def _pct(x: str) -> str:
+    return f"concat(printf('%.1f', floor(({x}) * 1000 + 0.5) / 10), '%')"
+
+
+# P(Beta(w + 1, l + 1) <= x) is the chance of more than w successes in n + 1 trials; a bound rounded
+# to three places is the number of grid midpoints below it
+_INTERVALS = _PARTY + f"""
+, wn AS (SELECT DISTINCT n_cases AS n, wins AS w FROM perf),
+tails AS (SELECT n, w, g, sum(exp(lgamma(n + 2) - lgamma(j + 1) - lgamma(n + 2 - j) + j * ln((g + 0.5) / 1000) + (n + 1 - j) * ln(1 - (g + 0.5) / 1000))) AS c
+  FROM (SELECT n, w, unnest(range(w + 1, n + 2)) AS j FROM wn), range(0, 1000) t(g) GROUP BY n, w, g),
+bounds AS (SELECT n, w, count(*) FILTER (c < 0.025) / 1000.0::DOUBLE AS lo, count(*) FILTER (c < 0.975) / 1000.0::DOUBLE AS hi FROM tails GROUP BY n, w),
+judged AS (SELECT p.*, lo AS ci_lower, hi AS ci_upper, trend = 'declining' AND abs(slope) > {PT.TREND_SLOPE} AS falls, coalesce(weakest_rate < metric_value * 0.5, false) AS weak
+  FROM perf p JOIN bounds ON n = n_cases AND w = wins)
+"""
+
+
+@query("defendant_intervals", _INTERVALS + f"""
+SELECT entity, n_cases, wins, ci_lower, ci_upper, concat_ws(' | ',
+  CASE WHEN n_cases < 10 THEN concat('Just ', n_cases, ' cases: too few to conclude from. Gather ten or more first.')
+    WHEN n_cases < 30 THEN concat(n_cases, ' cases only: the interval is broad, so read the rate as a rough guide.') END,
+  CASE WHEN falls THEN concat('Declining win rate: -', {_pct('abs(slope)')}, ' per year') END,
+  CASE WHEN weak THEN concat('Critical weakness in ', weakest_segment, ': ', {_pct('weakest_rate')}, ' vs overall ', {_pct('metric_value')}) END,
+  CASE WHEN ci_upper - ci_lower > 0.3 THEN concat('The interval is ', {_pct('ci_upper - ci_lower')}, ' wide, so little is certain') END) AS red_flags FROM judged""")
 def defendant_intervals(spark, d):
     rows = PT.red_flags(PT.defendant_performance(_party_cases(spark, d)))
     return rows.select("entity", "n_cases", "wins", "ci_lower", "ci_upper", F.array_join("red_flags", " | ").alias("red_flags"))
@@ -93,7 +115,19 @@ def recommendations(spark, d):
     return rows.groupBy("entity", "priority").agg(F.count("*").alias("n"))
 
 
-@query("recommendation_texts")
+@query("recommendation_texts", _INTERVALS + f"""
+, y0 AS (SELECT entity, min(year) AS since FROM yr GROUP BY 1)
+SELECT entity, r['rank'] AS rank, r['priority'] AS priority, r['icon'] AS icon, r['action'] AS action, r['rationale'] AS rationale FROM (
+  SELECT entity, unnest([
+    CASE WHEN n_cases < 10 THEN {{'rank': 0, 'priority': 'URGENT', 'icon': '🔴', 'action': 'Collect at least ten cases',
+      'rationale': concat('With ', n_cases, ' cases the rate may lie anywhere from ', {_pct('ci_lower')}, ' to ', {_pct('ci_upper')}, '.')}} END,
+    CASE WHEN weak THEN {{'rank': 0, 'priority': 'URGENT', 'icon': '🔴', 'action': concat('Avoid trial in ', weakest_segment, ': contest venue or settle'),
+      'rationale': concat('Only ', {_pct('weakest_rate')}, ' of the cases in ', weakest_segment, ' are won, against ', {_pct('metric_value')}, ' in all; a trial there costs more than it brings.')}} END,
+    CASE WHEN falls THEN {{'rank': 1, 'priority': 'SHORT_TERM', 'icon': '🟡', 'action': concat('Find out why the rate falls by ', {_pct('abs(slope)')}, ' a year'),
+      'rationale': concat('Each year since ', since, ' has cost ', {_pct('abs(slope)')}, ' of the win rate, and nothing has stopped it so far.')}} END,
+    CASE WHEN benchmark_delta < -0.05 THEN {{'rank': 2, 'priority': 'MID_TERM', 'icon': '🟢', 'action': concat('Catch up ', printf('%.1f', floor(abs(benchmark_delta) * 1000 + 0.5) / 10), ' points on the sector'),
+      'rationale': concat('The sector wins 55.0%, this party ', {_pct('metric_value')}, ': compare its counsel, its notices procedure and its standard defences with those of its peers.')}} END
+  ]) AS r FROM judged LEFT JOIN y0 USING (entity)) WHERE r IS NOT NULL""")
 def recommendation_texts(spark, d):
     return PT.recommendations(PT.red_flags(PT.defendant_performance(_party_cases(spark, d))))
 
