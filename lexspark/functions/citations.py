@@ -1,17 +1,23 @@
-"""Citation strings in free text, found by JVM regexes in one projection."""
+"""Citation strings in free text: by JVM regexes in one projection, with offsets in one Arrow-batched scan."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.fixed.citations import CITATION_PATTERNS
+from lexspark.functions.spans import SpanFinder
 from lexspark.functions.text import U
 
+_CANADIAN = ("ON", "BC", "QCC", "AB", "MB", "SK", "NS", "NB", "NLCA", "PECA", "TCC", "CMAC", "CanLII")
 # A literal each pattern cannot match without, same order as the patterns. The
 # regex then runs only over texts that contain it. An empty tuple: no literal.
 _NEEDS = {
-    "US": [(), ("U.S.",), ("v.",)],
+    "US": [("F.", "U.S.", "S.", "L."), ("U.S.",), ("v.",)],
     "EU": [("Application",), ("CELEX:",), ("Case",)],
     "UK": [("[",), ("[",)],
     "JP": [("判",), ("巻",)],
@@ -22,7 +28,7 @@ _NEEDS = {
         ("Cass.",), ("pourvoi",), ("Bull.",), ("CE,",), ("CC,",), ("Cons.",), ("article",), ("JO",), ("Lebon",),
         ("D.", "JCP", "RTD"),
     ],
-    "CA": [("SCR",), ("SCC",), ("FC",), (), ("DLR",)],
+    "CA": [("SCR",), ("SCC",), ("FC",), _CANADIAN, ("DLR",)],
     "NZ": [("NZSC",), ("NZHC",), ("NZCA",), ("NZLR",)],
     "KR": [("대법원",), ("헌법재판소",), ("다",), ("헌",)],
     "BR": [("STF,",), ("RE",), ("STJ,",), ("REsp",), ("TJ",)],
@@ -147,35 +153,56 @@ def extract_citations_with_context(
     jurisdiction: str = "jurisdiction",
     width: int = 50,
 ) -> DataFrame:
-    """As ``extract_citations``, plus position and surrounding text of the first match."""
-    # the patterns a text matches, then one expression that walks each of them
-    matching = _per_pattern(
-        f"`{text}`",
-        "CASE WHEN {text} RLIKE {pattern} THEN named_struct('pattern_no', {number}, 'jurisdiction', {jurisdiction}, "
-        "'pattern', {pattern}) END",
-    )
-    hits = docs.select(
-        doc_id, F.col(text).alias("_body"), F.upper(F.col(jurisdiction)).alias("_own"),
-        F.explode_outer(F.array_compact(matching)).alias("p"),
-    ).where(F.col("p").isNotNull())
-    found = hits.select(
-        doc_id,
-        (F.col("p.jurisdiction") != F.coalesce(F.col("_own"), F.lit(""))).cast("int").alias("_foreign"),
-        F.col("p.pattern_no").alias("_pattern_no"), F.col("p.jurisdiction").alias("jurisdiction"),
-        F.posexplode_outer(match_spans(F.col("_body"), F.col("p.pattern"), F.lit(width))).alias("_match_no", "m"),
+    """As ``extract_citations``, plus position and surrounding text of the first match.
+
+    One Arrow-batched scan finds all patterns of a text (``spans``); a string leaves its
+    row once, so only strings and contexts are shuffled, and only to join rows of one id.
+    """
+    id_type = docs.schema[doc_id].dataType.simpleString()
+    found = docs.select(
+        F.col(doc_id).alias("id"), F.col(text).alias("body"), F.upper(F.col(jurisdiction)).alias("own"),
+    ).where("body IS NOT NULL").mapInArrow(
+        _spans(width),
+        f"id {id_type}, citation_string string, foreign int, pattern_no int, match_no int, start int, stop int, context string",
     )
-    order = F.struct("_foreign", "_pattern_no", "_match_no")
+    order = F.struct("foreign", "pattern_no", "match_no", "start", "context")
+    by_number = F.array(*[F.lit(code) for _, code, _, _ in _numbered()])
     return (
-        found.groupBy(doc_id, F.col("m.match").alias("citation_string"))
-        .agg(F.min_by(F.struct("jurisdiction", "m"), order).alias("w"))
+        found.groupBy("id", "citation_string").agg(F.min(order.alias("o")).alias("w"), F.min_by("stop", order).alias("stop"))
         .select(
-            doc_id, "citation_string", "w.jurisdiction",
-            F.col("w.m.start").alias("start"), F.col("w.m.stop").alias("stop"),
-            F.col("w.m.context").alias("context"),
+            F.col("id").alias(doc_id), "citation_string", F.get(by_number, F.col("w.pattern_no")).alias("jurisdiction"),
+            F.col("w.start").alias("start"), "stop", F.col("w.context").alias("context"),
         )
     )
 
 
+def _spans(width: int):
+    """Arrow batches of (id, body, own) to one row per text and matched string."""
+    numbered = [(code, pattern, needs) for _, code, pattern, needs in _numbered()]
+
+    def rows(batch: pa.RecordBatch, finder: SpanFinder):
+        for doc, body, own in zip(*(batch.column(c) for c in ("id", "body", "own")), strict=True):
+            body, own, first = body.as_py(), own.as_py(), {}
+            for number, n, start, stop in finder.find(body):
+                key = (int(numbered[number][0] != own), number, n, start, stop)
+                string = body[start:stop]
+                if string not in first or key < first[string]:
+                    first[string] = key
+            for string, (foreign, number, n, start, stop) in first.items():
+                yield doc.as_py(), string, foreign, number, n, start, stop, body[max(0, start - width) : stop + width]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = SpanFinder([(pattern, needs) for _, pattern, needs in numbered])
+        names = ["id", "citation_string", "foreign", "pattern_no", "match_no", "start", "stop", "context"]
+        for batch in batches:
+            types = [batch.schema.field("id").type, pa.string(), *[pa.int32()] * 5, pa.string()]
+            found = rows(batch, finder)
+            while part := list(islice(found, 4096)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names)
+
+    return find
+
+
 def count_citations(docs: DataFrame, doc_id: str, text: str, jurisdiction: str) -> DataFrame:
     """Distinct citation strings per pattern jurisdiction over all documents."""
     return (

@@ -351,21 +351,33 @@ def citation_counts(spark, d):
     return C.count_citations(load(spark, d, "opinions"), "doc_id", "text", "jurisdiction")
 
 
-@query("citations_with_context", _CITED + """
-, f AS (SELECT doc_id, citation_string, jurisdiction, text, length(citation_string) AS n FROM cited JOIN o USING (doc_id)
-  WHERE citation_string LIKE '% UKSC %' OR citation_string LIKE 'BGE %')
-SELECT doc_id, citation_string, jurisdiction, CAST(position(citation_string IN text) - 1 AS INT) AS start,
-  CAST(position(citation_string IN text) - 1 + n AS INT) AS stop,
-  substr(text, greatest(position(citation_string IN text) - 51, 0) + 1, position(citation_string IN text) + 49 + n - greatest(position(citation_string IN text) - 51, 0)) AS context FROM f
-WHERE len(string_split(text, citation_string)) = 2""")
+def _span_sql() -> str:
+    """Every match with its place: the lengths of the matches and of the texts between them, summed."""
+    arms, i = [], 0
+    for code, patterns in CITATION_PATTERNS.items():
+        for p in patterns:
+            arms.append(
+                f"SELECT doc_id, own, text, '{code}' AS j, {i} AS i, regexp_extract_all(text, {P.quoted(p)}) AS ms, "
+                f"string_split_regex(text, {P.quoted(p)}) AS gs FROM o WHERE regexp_matches(text, {P.quoted(p)})"
+            )
+            i += 1
+    return "\nUNION ALL ".join(arms)
+
+
+_SPANS = f"""
+sa AS ({_span_sql()}),
+sn AS (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM sa),
+sp AS (SELECT doc_id, text, ms[k] AS s, CASE WHEN j = own THEN 0 ELSE 1 END AS away, i, k, j,
+  CAST(list_sum(list_transform(gs[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0) AS INT) AS start FROM sn),
+sw AS (SELECT doc_id, text, s, min((away, i, k, j, start)) AS w FROM sp GROUP BY 1, 2, 3),
+placed AS (SELECT doc_id, s AS citation_string, w[4] AS jurisdiction, w[5] AS start, CAST(w[5] + length(s) AS INT) AS stop,
+  substr(text, greatest(w[5] - 50, 0) + 1, w[5] + length(s) + 50 - greatest(w[5] - 50, 0)) AS context FROM sw)
+"""
+
+
+@query("citations_with_context", with_views("opinions") + ", o AS (SELECT doc_id, text, upper(jurisdiction) AS own FROM opinions)," + _SPANS + "SELECT * FROM placed")
 def citations_with_context(spark, d):
-    docs = load(spark, d, "opinions")
-    found = C.extract_citations_with_context(docs)
-    # the plain equivalent locates strings by their first occurrence, so it covers those that occur once
-    once = found.where(F.col("citation_string").rlike(" UKSC |^BGE ")).join(docs.select("doc_id", "text"), "doc_id")
-    return once.where(
-        F.length(F.replace("text", F.col("citation_string"))) == F.length("text") - F.length("citation_string")
-    ).drop("text")
+    return C.extract_citations_with_context(load(spark, d, "opinions"))
 
 
 @query("reporter_citations_resolved", _CITED + ", " + with_views("reporter_index").removeprefix("WITH ") + """

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -8,6 +9,7 @@ from lexspark.functions import citations as C
 from lexspark.functions import metadata as M
 from lexspark.functions import text as T
 from lexspark.functions import treatment as TR
+from lexspark.functions.spans import SpanFinder, first_literals
 
 TEXTS = [
     ("US", "See Miranda v. Arizona, 384 U.S. 436 (1966); 410 F.2d 12; 384 U.S. 436 again."),
@@ -50,6 +52,28 @@ def test_citations_agree_with_python_regexes(spark):
     assert len(want) > 40
 
 
+def test_spans_equal_plain_scans():
+    """Random strings of pattern fragments, matches that touch, repeat and overlap."""
+    numbered = [(p, needs) for _, _, p, needs in C._numbered()]
+    finder, rng = SpanFinder(numbered), random.Random(5)
+    parts = [t for _, t in TEXTS] + "[2020] UKSC 5|[2019] 1 AC 12|(2019) 3 SCC 4|BGE 130 III 5|BGE|(|[|/| |\n|U.S.|410 U.S. 113|Roe v. Wade, |2020 SCC 5|K 1/20|x|é|\U0001F600|12 Ni 3/20|RE 1.234|JORF no 12345".split("|")
+    for _ in range(300):
+        text = "".join(rng.choice(parts) + rng.choice(["", " ", "; "]) for _ in range(rng.randint(0, 12)))
+        want = [(i, n, m.start(), m.end()) for i, (p, _) in enumerate(numbered) for n, m in enumerate(re.finditer(p, text))]
+        assert list(finder.find(text)) == want
+    assert first_literals(r"a?b") == () and first_literals(r"ab|c") == () and first_literals(r"\b(?:ab|c)d") == ("ab", "c")
+    assert first_literals(r"x\.y+\d") == ("x.y",) and first_literals(r"[ab]c") == () and first_literals(r"(ab|c)?d") == ()
+
+
+def test_contexts_of_null_empty_long_and_repeated_texts(spark):
+    long = "[2020] UKSC 5 and " * 30000
+    docs = spark.createDataFrame([(1, "GB", None), (2, "GB", ""), (3, "UK", long), (4, None, "BGE 130 III 5"), (4, "CH", "see BGE 130 III 5")], "doc_id INT, jurisdiction STRING, text STRING")
+    got = sorted((r.doc_id, r.citation_string, r.jurisdiction, r.start, r.stop) for r in C.extract_citations_with_context(docs).collect())
+    # the row of the own jurisdiction goes first where rows share an id
+    assert got == [(3, "[2020] UKSC 5", "UK", 0, 13), (4, "BGE 130 III 5", "CH", 4, 17)]
+    assert C.extract_citations_with_context(docs.limit(0)).collect() == []
+
+
 def _one(spark, column, value):
     return spark.createDataFrame([(value,)], "x STRING").select(column.alias("y")).first().y
 
