@@ -114,37 +114,15 @@ def court_ranks(spark, d):
 
 # ---- resolution ----------------------------------------------------------------
 
-_NORM = "lower(regexp_replace(regexp_replace(trim({0}), '\\s+', ' ', 'g'), '\\.\\s+', '.', 'g'))"
-
-
 @query("citation_index", with_views("cases") + f"""
 SELECT DISTINCT citation_string, case_id, jurisdiction FROM (
-  SELECT unnest([case_number, case_name, {_NORM.format('case_name')}]) AS citation_string, case_id, jurisdiction FROM cases)
+  SELECT unnest([case_number, case_name, {P.NORM.format('case_name')}]) AS citation_string, case_id, jurisdiction FROM cases)
 WHERE length(citation_string) > 2""")
 def citation_index(spark, d):
     return R.build_citation_index(_cases(spark, d))
 
 
-_RESOLVE_SQL = with_views("cases", "citation_refs") + f""",
-refs AS (SELECT DISTINCT citation_string, jurisdiction FROM citation_refs),
-idx AS (SELECT DISTINCT unnest([case_number, case_name, {_NORM.format('case_name')}]) AS s, case_id, jurisdiction AS j FROM cases),
-named AS (SELECT *, CASE WHEN contains(citation_string, ' v. ') OR contains(citation_string, ' v ') THEN
-    trim(regexp_replace(regexp_replace(citation_string, ',\\s*\\d.*$', ''), '\\s+', ' ', 'g')) END AS nm FROM refs),
-keyed AS (SELECT *, lower(nm) AS lnm, lower(citation_string) AS lcs FROM named),
-names AS (SELECT DISTINCT lower(case_name) AS lname FROM cases),
-r1 AS (SELECT r.citation_string, r.jurisdiction, 1 AS k, i.case_id FROM named r JOIN idx i ON i.s = r.citation_string AND (r.jurisdiction IS NULL OR r.jurisdiction = i.j)),
-r2 AS (SELECT r.citation_string, r.jurisdiction, 2 AS k, i.case_id FROM named r JOIN idx i ON i.s = {_NORM.format('r.citation_string')}),
-r3 AS (SELECT r.citation_string, r.jurisdiction, 3 AS k, c.case_id FROM named r JOIN cases c ON c.case_name = r.nm AND (r.jurisdiction IS NULL OR r.jurisdiction = c.jurisdiction)),
-rest AS (SELECT * FROM keyed x WHERE NOT EXISTS (SELECT 1 FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3) u
-  WHERE u.citation_string = x.citation_string AND u.jurisdiction IS NOT DISTINCT FROM x.jurisdiction)),
-namehit AS (SELECT DISTINCT q.lnm, n.lname FROM (SELECT DISTINCT lnm FROM rest WHERE lnm <> '') q JOIN names n ON contains(n.lname, q.lnm)),
-r4 AS (SELECT r.citation_string, r.jurisdiction, 4 AS k, c.case_id FROM rest r JOIN namehit h ON h.lnm = r.lnm JOIN cases c ON lower(c.case_name) = h.lname
-  AND (r.jurisdiction IS NULL OR r.jurisdiction = c.jurisdiction)),
-numhit AS (SELECT q.lcs, min(c.case_id) AS case_id FROM (SELECT DISTINCT lcs FROM rest) q JOIN cases c ON contains(lower(c.case_number), q.lcs) GROUP BY 1),
-r5 AS (SELECT r.citation_string, r.jurisdiction, 5 AS k, h.case_id FROM rest r JOIN numhit h USING (lcs)),
-best AS (SELECT citation_string, jurisdiction, min((k, case_id)) AS b FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3
-  UNION ALL SELECT * FROM r4 UNION ALL SELECT * FROM r5) GROUP BY 1, 2)
-"""
+_RESOLVE_SQL = with_views("cases", "citation_refs") + "," + P.resolve_ctes("SELECT DISTINCT citation_string, jurisdiction FROM citation_refs")
 
 
 def name_index(spark, d):

@@ -392,7 +392,19 @@ def reporter_citations_resolved(spark, d):
     )
 
 
-@query("validity_from_text")
+@query("validity_from_text", with_views("cases", "opinions", "reporter_index", "case_citations") + ", o AS (SELECT doc_id, text, upper(jurisdiction) AS own FROM opinions)," + _SPANS
+       + "," + P.resolve_ctes("SELECT DISTINCT citation_string, CAST(NULL AS VARCHAR) AS jurisdiction FROM placed", "SELECT citation_string, case_id, jurisdiction FROM reporter_index") + f"""
+, known AS (SELECT cited_case_id, citing_case_id, citation_context, cited_reference FROM case_citations),
+fresh AS (SELECT x.b[2] AS cited_case_id, CAST(p.doc_id AS VARCHAR) AS citing_case_id, p.context AS citation_context, p.citation_string AS cited_reference
+  FROM placed p JOIN best x USING (citation_string)),
+linked AS (SELECT * FROM known UNION ALL SELECT * FROM fresh f WHERE NOT EXISTS (
+  SELECT 1 FROM known k WHERE k.citing_case_id = f.citing_case_id AND k.cited_reference = f.cited_reference)),
+ranked AS (SELECT *, {P.rank('court', 'jurisdiction')} AS rnk FROM cases),
+treated AS (SELECT l.cited_case_id, r.rnk, {P.treatment('l.citation_context')} AS kind FROM linked l JOIN ranked r ON r.case_id = l.citing_case_id WHERE l.cited_case_id IS NOT NULL),
+agg AS (SELECT cited_case_id, count(*) AS n, count(*) FILTER (kind = 'overruling') AS o, count(*) FILTER (kind = 'distinguishing') AS di,
+  min(rnk) FILTER (kind = 'overruling') AS r FROM treated GROUP BY 1)
+SELECT case_id, CASE WHEN n IS NULL THEN 'unknown' WHEN o > 0 AND a.r < c.rnk THEN 'red' WHEN o > 0 OR di > 0 THEN 'yellow' ELSE 'green' END AS signal,
+  coalesce(n, 0) AS citing_count, coalesce(o, 0) AS overruling_count, coalesce(di, 0) AS distinguishing_count FROM ranked c LEFT JOIN agg a ON a.cited_case_id = c.case_id""")
 def validity_from_text(spark, d):
     """Texts to signals in one job: extract, resolve, store new edges, grade."""
     cases = load(spark, d, "cases")
