@@ -9,15 +9,23 @@ weighs its own presentation against the content of all leaves below it, in which
 different text counts by the root of its pages, so many near copies do not outweigh
 other pages and a few odd texts do not save a menu. In branches
 under LOW importance, seen on at least PAGES different pages, the texts that are
-themselves under LOW on the host are removed from each page, unless the branch holds the
-page's article element or lies in it; texts that are rare on the host stay. Elements whose tag, role, class or id says that
-they are menus, headers, footers, sidebars, notices, adverts, forms or comments are
-presentation nodes of importance 0; if a page marks its article, only what lies in
-it is kept.
+themselves under LOW on the host are removed from each page; texts that are rare on the
+host stay. In a page's article element only container branches go (a repeated heading
+between paragraphs belongs to the article), and only while the common texts are at most
+ARTICLE_SHARE of the article: a page that shares more with its host is a near copy of
+other pages, and keeps its text.
+
+What tag, role, class or id say is a prior. Menus, headers, footers, sidebars, notices,
+adverts, forms and comments outside the article are presentation nodes of importance 0;
+inside it only the names in FOREIGN_NAMES are, other names leave the decision to the
+entropies. If a page marks its article, only what lies in it is kept; a marked article in
+a marked element (a teaser in a sidebar) counts only if there is no other. Names on the page itself,
+on an element whose paragraphs are most of its text, and states (has-sidebar) mark nothing.
 
 The merged statistics are partial aggregates by host and path, so a host with a third of
 all pages is no one task's work. What returns to the pages is each host's list of low
-nodes and common texts: broadcast if its measured size is at most BROADCAST_BYTES, else joined.
+nodes and common texts: one dictionary if its measured size is at most BROADCAST_BYTES,
+else joined, and read once per host and batch.
 
 Defined cases: null or empty html gives an empty text; a page whose url has no host is
 judged by its own marks alone; equal pages of a host count once in the statistics and
@@ -40,7 +48,7 @@ from pyspark.sql import functions as F
 from lexspark.llm.common import Batches
 from lexspark.session import cut_lineage
 
-LOW, PAGES, GAMMA, DEPTH = 0.3, 5, 0.9, 24
+LOW, PAGES, GAMMA, DEPTH, ARTICLE_SHARE = 0.3, 5, 0.9, 24, 0.34
 BROADCAST_BYTES = 8 << 20
 
 # Elements of HTML by their role in a page.
@@ -59,27 +67,37 @@ NO_CONTENT_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advert(?:isement|ising)?|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|topbar|"
     r"footer|bottom|sidebar|side|aside|widget|related|recommend(?:ed|ations)?|share|sharing|social|comments?|disqus|respond|replies|reply|cookies?|consent|gdpr|notice|alert|popup|"
     r"modal|overlay|newsletter|subscribe|subscription|signup|login|search|form|pagination|pager|toolbar|copyright|skip|toc|tags)(?:$|[\s_-])", re.IGNORECASE)
-COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|replies|reply|disqus|respond)(?:$|[\s_-])", re.IGNORECASE)
+COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|replies|reply|disqus|respond|feedback)(?:$|[\s_-])", re.IGNORECASE)
+# names that are foreign to an article also where they stand in it
+FOREIGN_NAMES = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advert(?:isement|ising)?|adsense|sponsor(?:ed)?|promo(?:tion)?|nav|navbar|navigation|menu|breadcrumbs?|related|recommend(?:ed|ations)?|"
+    r"share|sharing|social|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|form|pagination|pager|toolbar|sidebar)(?:$|[\s_-])", re.IGNORECASE)
+STATE_NAMES = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without|is|layout)[_-]\S*", re.IGNORECASE)
+PROSE = {"p", "h1", "h2", "h3", "blockquote", "pre"}
+CONTAINERS = {"div", "section", "ul", "ol", "menu", "dl", "table", "details", "figure", "fieldset", "center", "hgroup", "header"}
 ARTICLE_NAMES = re.compile(r"(?:^|\s)(?:article|post|entry|story)[_-]?(?:body|content|text)(?:$|\s)", re.IGNORECASE)
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+_VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+)")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.IGNORECASE)
+_UNSHOWN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 
 
 class Node:
     """A block element: its path in the site tree, its children's tags, and what its marks say."""
 
-    __slots__ = ("anchor", "children", "comment", "depth", "key", "mark", "parent", "tag", "texts")
+    __slots__ = ("anchor", "children", "comment", "depth", "foreign", "key", "mark", "named", "parent", "size", "tag")
 
-    def __init__(self, tag, parent, name="", mark=False, anchor=False, comment=False):
+    def __init__(self, tag, parent, name="", mark=False, anchor=False, comment=False, named=False, foreign=False):
         self.tag, self.parent, self.mark, self.anchor, self.comment = tag, parent, mark, anchor, comment
+        self.named, self.foreign, self.size = named, foreign, 0
         self.depth = parent.depth + 1 if parent else 0
         if parent and self.depth > DEPTH:
             self.key = parent.key
         else:
             self.key = xxhash.xxh3_64_intdigest(f"{parent.key if parent else 0}/{tag}.{name}") >> 1
-        self.children, self.texts = [], []
+        self.children = []
 
 
 def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
@@ -143,11 +161,15 @@ def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
         parent = open_[-1]
         comment = parent.comment or bool(name and COMMENT_NAMES.search(name))
         anchor = not comment and (tag in ("article", "main") or role in ("article", "main") or attributes.get("itemprop", "").lower() == "articlebody" or bool(name and ARTICLE_NAMES.search(name)))
-        in_article = any(n.anchor for n in open_)
-        mark = not anchor and (
-            tag in NO_CONTENT or role in NO_CONTENT_ROLES or comment or (tag == "header" and not in_article)
-            or bool(name and NO_CONTENT_NAMES.search(name)) or bool(found[3] and _HIDDEN.search(found[3])))
-        node = Node(tag, parent, re.sub(r"\d+", "", name.lower()), mark, anchor, comment)
+        # a mark of the element itself, or of its name alone; ``foreign``: also inside an article
+        hidden = bool(found[3]) and (
+            bool(_HIDDEN.search(_VALUE.sub("=", found[3]))) or bool(_UNSHOWN.search(attributes.get("style", "")))
+            or attributes.get("aria-hidden", "").lower() == "true")
+        mark = not anchor and (tag in NO_CONTENT or role in NO_CONTENT_ROLES or comment or hidden)
+        says = STATE_NAMES.sub("", name)
+        named = not anchor and tag not in ("html", "body") and bool(says and NO_CONTENT_NAMES.search(says))
+        foreign = mark or (named and bool(FOREIGN_NAMES.search(says)))
+        node = Node(tag, parent, re.sub(r"\d+", "", name.lower()), mark or tag == "header", anchor, comment, named, foreign)
         if not parent.children or parent.children[-1] != tag:
             parent.children.append(tag)
         nodes.append(node)
@@ -159,38 +181,59 @@ def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
 def kept_blocks(page: str, low: set[int] | frozenset[int] = frozenset(), common: set[int] | frozenset[int] = frozenset()) -> list[tuple[Node, str]]:
     """The blocks of a page that its marks and the site's low nodes leave; low nodes lose only their ``common`` texts."""
     blocks, nodes = parse(page)
-    holders = set()  # elements that hold an article
+    for node, text in blocks:
+        size = len(text) if node.tag in PROSE else 0
+        while node is not None and size:
+            node.size += size
+            node = node.parent
+    most = sum(len(text) for _, text in blocks) / 2
+
+    def marked(node) -> bool:
+        return node.mark or (node.named and node.size <= most)
+
+    outside: dict[int, bool] = {}  # whether a node lies in no marked element
+    within: dict[int, bool] = {}  # whether it lies in an anchor
     for n in nodes:
-        if n.anchor:
-            up = n
-            while up is not None and id(up) not in holders:
-                holders.add(id(up))
-                up = up.parent
-    marked = any(n.anchor for n in nodes)
-
-    def verdict(node) -> tuple[bool, bool]:
-        """Whether the marks leave a node, and whether it is in a low branch outside the article."""
-        anchored = below_low = False
-        while node is not None:
-            if node.anchor:
-                anchored = True
-            elif id(node) not in holders:
-                if node.mark:
-                    return False, False
-                below_low = below_low or node.key in low
+        up = n.parent
+        within[id(n)] = up is not None and (up.anchor or within[id(up)])
+        outside[id(n)] = up is None or (outside[id(up)] and not (up.foreign if within[id(up)] else marked(up)))
+    anchors = [n for n in nodes if n.anchor]
+    anchors = [n for n in anchors if outside[id(n)]] or anchors
+    articles = {id(n) for n in anchors}
+    holders = set()  # elements that hold an article
+    for n in anchors:
+        while n is not None and id(n) not in holders:
+            holders.add(id(n))
+            n = n.parent
+
+    def verdict(node) -> tuple[bool, bool, bool]:
+        """Whether the marks leave a node, whether it is in a low branch, and whether in an article."""
+        inside, up = False, node
+        while up is not None and not inside:
+            inside, up = id(up) in articles, up.parent
+        below_low = False
+        while node is not None and id(node) not in holders:
+            # the anchor of a teaser inside the article is an element like any other
+            if node.foreign if inside else marked(node):
+                return False, False, inside
+            below_low = below_low or (node.key in low and (not inside or node.tag in CONTAINERS))
             node = node.parent
-        return anchored or not marked, below_low and not anchored
+        return inside or not articles, below_low, inside
 
-    verdicts: dict[int, tuple[bool, bool]] = {}
-    out = []
+    verdicts: dict[int, tuple[bool, bool, bool]] = {}
+    kept, body, shared = [], 0, 0
     for node, text in blocks:
         found = verdicts.get(id(node))
         if found is None:
             found = verdicts[id(node)] = verdict(node)
-        good, below_low = found
-        if good and not (below_low and _hash(text) in common):
-            out.append((node, text))
-    return out
+        good, below_low, inside = found
+        if good:
+            drop = below_low and _hash(text) in common
+            body += len(text) if inside else 0
+            shared += len(text) if inside and drop else 0
+            kept.append((node, text, drop, inside))
+    boilerplate = shared <= ARTICLE_SHARE * body
+    return [(node, text) for node, text, drop, inside in kept if not drop or (inside and not boilerplate)]
 
 
 def _hash(text: str) -> int:
@@ -267,23 +310,47 @@ def low_nodes(pages: DataFrame) -> DataFrame:
     return low.join(common, "host")
 
 
-def _extract(batches: Batches) -> Batches:
+NOTHING = (frozenset(), frozenset())
+
+
+def _texts(batch: pa.RecordBatch, lists) -> pa.RecordBatch:
+    texts = []
+    for i, page in enumerate(batch.column("html")):
+        texts.append("\n".join(t for _, t in kept_blocks(page.as_py() or "", *lists(i))))
+    return pa.RecordBatch.from_arrays(
+        [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))],
+        ["page_id", "url", "text", "n_chars"])
+
+
+def _by_dictionary(shared):
+    def extract(batches: Batches) -> Batches:
+        for batch in batches:
+            hosts = batch.column("host").to_pylist()
+            yield _texts(batch, lambda i, hosts=hosts: shared.value.get(hosts[i], NOTHING))
+
+    return extract
+
+
+def _by_column(batches: Batches) -> Batches:
     for batch in batches:
-        texts = []
-        for page, low, common in zip(*(batch.column(c).to_pylist() for c in ("html", "low", "common")), strict=True):
-            texts.append("\n".join(t for _, t in kept_blocks(page or "", frozenset(low or ()), frozenset(common or ()))))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))],
-            ["page_id", "url", "text", "n_chars"])
+        hosts, seen = batch.column("host").to_pylist(), {}
+
+        def lists(i, batch=batch, hosts=hosts, seen=seen):
+            if hosts[i] not in seen:
+                seen[hosts[i]] = tuple(frozenset(batch.column(c)[i].as_py() or ()) for c in ("low", "common"))
+            return seen[hosts[i]]
+
+        yield _texts(batch, lists)
 
 
-def extract_articles(pages: DataFrame) -> DataFrame:
+def extract_articles(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     hosted = pages.select("page_id", "url", "html", host.alias("host"))
     low = cut_lineage(low_nodes(hosted))
     size = low.agg(F.sum((F.size("low") + F.size("common")) * 8 + F.length("host"))).first()[0] or 0
-    low = F.broadcast(low) if size <= BROADCAST_BYTES else low
-    id_type = pages.schema["page_id"].dataType.simpleString()
-    return hosted.join(low, "host", "left").select("page_id", "url", "html", "low", "common").mapInArrow(
-        _extract, f"page_id {id_type}, url string, text string, n_chars bigint")
+    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint"
+    if size > broadcast_bytes:
+        return hosted.join(low, "host", "left").mapInArrow(_by_column, schema)
+    found = {r["host"]: (frozenset(r["low"]), frozenset(r["common"])) for r in low.collect()}  # at most BROADCAST_BYTES
+    return hosted.mapInArrow(_by_dictionary(pages.sparkSession.sparkContext.broadcast(found)), schema)

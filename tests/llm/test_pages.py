@@ -1,9 +1,10 @@
 """Style-tree extraction."""
 
 import html
+import math
 import re
 
-from lexspark.llm.styletree import extract_articles, low_nodes
+from lexspark.llm.styletree import extract_articles, kept_blocks, low_nodes
 
 
 def texts(spark, rows):
@@ -79,5 +80,62 @@ def test_article_elements_keep_low_nodes(spark):
     assert got[3] == "Summary\nstory 3 of the site"
 
 
+def kept(page):
+    return [t for _, t in kept_blocks(page)]
+
+
+def test_marks_are_priors():
+    assert kept("<article><p>Main</p></article><aside class='related'><article><p>Teaser</p></article></aside>") == ["Main"]
+    assert kept("<article><p>Main</p><div class='related'><article><p>Teaser</p></article></div></article>") == ["Main"]
+    assert kept("<body class='has-sidebar'><h1>T</h1><p>Text</p></body>") == ["T", "Text"]
+    assert kept("<div class='page sidebar'><h1>T</h1><p>Text of the page</p></div><div class='sidebar'><p>Links</p></div>") == ["T", "Text of the page"]
+    assert kept("<article><div class='post-header'><h1>Title</h1></div><p class='notice'>Kept</p><p title='a hidden gem'>Gem</p></article>") == ["Title", "Kept", "Gem"]
+    assert kept("<article><p>A</p><p hidden>B</p><p style='display: none'>C</p><p aria-hidden=true>D</p><div class='user-feedback'><p>me too</p></div></article>") == ["A"]
+
+
+def test_tree_decides_inside_articles(spark):
+    def page(i):
+        return (f"<body><article><h1>Story {i}</h1><p>story {i} of the site is told here in {i * 7} words and some more of them</p><h2>Summary</h2>"
+                f"<p>part {i} and {i * i}</p><div class=x9><h3>Stay</h3><p>Mail me</p></div></article></body>")
+
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(20)]
+    want = {i: f"Story {i}\nstory {i} of the site is told here in {i * 7} words and some more of them\nSummary\npart {i} and {i * i}" for i in range(20)}
+    assert texts(spark, rows) == want
+    # without the tree the box stays; lists that are joined give the same
+    assert [t for _, t in kept_blocks(page(3))][-2:] == ["Stay", "Mail me"]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in extract_articles(pages, broadcast_bytes=0).collect()} == want
+
+
+def test_importance_equals_brute_force(spark):
+    """A host's low nodes against entropies of a flat site counted by hand."""
+    n = 32
+    rows = [("h", f"<div class=a><p>same words here</p></div><div class=b><p>text {i} of {i * 3}</p></div><div class=c><p>{'odd' if i % 2 else 'even'} page</p></div>") for i in range(n)]
+    got = low_nodes(spark.createDataFrame(rows, "host string, html string")).collect()
+    path = {}
+    for node, text in kept_blocks(rows[0][1]):
+        path[text.split()[0]] = (node.key, node.parent.key)
+
+    def importance(counts):  # of texts with these page counts
+        weight = sum(math.sqrt(k) for k in counts)
+        return sum(math.sqrt(k) * (1 - math.log(k) / math.log(n)) for k in counts) / weight
+
+    low = set()
+    for word, counts in (("same", [n]), ("text", [1] * n), ("even", [n // 2] * 2)):
+        own, above = path[word]
+        content = importance(counts)  # every parent has one child sequence: presentation 0
+        low |= {own} if content < 0.3 else set()
+        low |= {above} if 0.9 * content < 0.3 else set()
+    assert len(got) == 1 and set(got[0].low) == low and len(low) == 4
+
+
+def test_very_long_page_and_clashing_columns(spark):
+    long = "<article>" + "".join(f"<p>part {i}</p>" for i in range(60000)) + "</article>"
+    pages = spark.createDataFrame([(1, "http://a/1", long, "x", 7), (2, None, "<p>b", None, None)], "page_id bigint, url string, html string, text string, low int")
+    got = {r.page_id: (r.text, r.n_chars) for r in extract_articles(pages).collect()}
+    want = "\n".join(f"part {i}" for i in range(60000))
+    assert got == {1: (want, len(want)), 2: ("b", 1)}
+
+
 def test_empty_table(spark):
     assert texts(spark, []) == {}
