@@ -1,6 +1,8 @@
 """License scans by sparse TF-IDF, and inheritance from the nearest ancestor folder.
 
-SPDX tags are read by name. Of every text that names or grants a licence, the whole text and
+SPDX tags and licence labels (``License: MIT OR Apache-2.0``) are read by name, with their
+operators, and so are short names after "under" (GPLv3); a sentence that denies a licence
+("not released under") declares none. Of every text that names or grants a licence, the whole text and
 its paragraphs (without comment marks) are compared with whole licence texts and standard
 headers from TEXT_THRESHOLD on, and its sentences with declarations. Their term vectors (raw counts
 times smoothed idf over the templates) are compared with those of the templates by
@@ -10,8 +12,9 @@ consists of licence sentences to FILE_SHARE of its words is a licence file and
 speaks for its folder. A file without a licence of its own takes that of the nearest
 folder above it that has one, found by joining its ancestor paths to the folders.
 
-All steps are DataFrame functions. Only sentences and paths are shuffled, no texts; the
-templates are a fixed table.
+All steps are DataFrame functions. Only terms, hashes and paths are shuffled, no texts; the
+templates are a fixed table. A unit that occurs in many files has the vector of one of
+them times their number, so its cosine is the same and copies need no removal.
 
 Defined cases: a null or blank text has no licence of its own; a null path has no
 folder and inherits nothing; ties go to the first template by name, and in a folder to
@@ -33,6 +36,7 @@ TEMPLATES = [
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License, CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -65,11 +69,28 @@ TEXTS = [
     ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
     ("BSD-2-Clause", _BSD + _BSD_END), ("BSD-3-Clause", _BSD + _BSD_3 + _BSD_END),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _WARRANTY + " OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("MIT", _WARRANTY + " OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
-NAMES_A_LICENSE = r"(?i)licen[cs]e|\bcc by|\bspdx|public domain|copyright|redistribution and use|permission (?:is hereby|to use)|free software"
-TAG = r"(?i)SPDX-License-Identifier:\s*\(?([a-z0-9.+-]+)"
+NAMES_A_LICENSE = r"(?i)licen[cs]e|\bcc by|\bspdx|public domain|copyright|redistribution and use|permission (?:is hereby|to use)|free software|without warranty|gpl|under (?:the )?(?:terms of (?:the )?)?(?:mit|isc|bsd|apache|mpl|epl|cc|[23][ -]clause|unlicense)\b"
+_EXPRESSION = r"\(*[A-Za-z0-9.+-]+\)*(?:[ \t]+(?:OR|AND|WITH)[ \t]+\(*[A-Za-z0-9.+-]+\)*)*"
+TAG = rf"(?i:SPDX-License-Identifier):\s*({_EXPRESSION})"
+LABEL = rf"(?i:\blicen[cs]e)[\"']?\s*[:=]\s*[\"']?({_EXPRESSION})"
+# short names after "under"; blanks, hyphens, "v" and "version" do not tell them apart
+UNDER = (
+    r"(?i)\bunder\s+(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?(?:gnu\s+)?("
+    r"[al]?gpl[\s,-]*(?:v|version\s+)?\s*[23](?:\.[01])?|(?:apache|mpl|epl)(?:\s+license)?[\s,-]*(?:v|version\s+)?\s*[12](?:\.[01])?|"
+    r"mit|isc|unlicense|bsd[\s-][23][\s-]clause|[23][\s-]clause\s+bsd|cc[\s-]by(?:[\s-](?:nc|sa))?[\s-]4\.0)(?![\w-])")
+_SAME = r"version|license|[\s,v-]"
+# What is left of a short name, and its licence.
+SHORT_NAMES = {
+    "agpl3": "AGPL-3.0", "agpl3.0": "AGPL-3.0", "apache2": "Apache-2.0", "apache2.0": "Apache-2.0", "bsd2clause": "BSD-2-Clause", "2clausebsd": "BSD-2-Clause",
+    "bsd3clause": "BSD-3-Clause", "3clausebsd": "BSD-3-Clause", "ccby4.0": "CC-BY-4.0", "ccbync4.0": "CC-BY-NC-4.0", "ccbysa4.0": "CC-BY-SA-4.0", "epl2": "EPL-2.0",
+    "epl2.0": "EPL-2.0", "gpl2": "GPL-2.0", "gpl2.0": "GPL-2.0", "gpl3": "GPL-3.0", "gpl3.0": "GPL-3.0", "isc": "ISC", "lgpl2.1": "LGPL-2.1", "lgpl3": "LGPL-3.0",
+    "lgpl3.0": "LGPL-3.0", "mit": "MIT", "mpl2": "MPL-2.0", "mpl2.0": "MPL-2.0", "unlicense": "Unlicense",
+}
+DENIES = r"(?i)\b(?:not|never|neither|no longer|isn't|aren't)\b[^.;,]{0,40}\b(?:licen[cs]ed|released|distributed|available|covered|published)\b"
 COMMENT = r"(?m)^[ \t]*(?://+|/?\*+/?|#+|--+|;+)[ \t]?"
 TERM = r"[a-z0-9]+([.][a-z0-9]+)*"
 
@@ -78,6 +99,21 @@ def _terms(sentence: Column) -> Column:
     return F.regexp_extract_all(F.lower(sentence), F.lit(TERM), F.lit(0))
 
 
+def _map(names: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+
+
+def _declared(unit: Column) -> Column:
+    """The licence, or expression of licences, that a line states by name; null if none is known."""
+    names = {n.lower() + end: n for n in sorted({n for n, _ in TEMPLATES + TEXTS}) for end in ("", "-only", "-or-later", "+")}
+    stated = F.coalesce(*[F.nullif(F.regexp_extract(unit, pattern, 1), F.lit("")) for pattern in (TAG, LABEL)])
+    parts = F.transform(F.regexp_extract_all(stated, F.lit("[A-Za-z0-9.+-]+"), F.lit(0)), lambda x: F.regexp_replace(x, r"\.+$", ""))
+    known = F.transform(parts, lambda x: F.try_element_at(_map(names), F.lower(x)))
+    expression = F.when(F.exists(known, lambda x: x.isNotNull()), F.array_join(F.zip_with(known, parts, lambda name, part: F.coalesce(name, part)), " "))
+    short = F.try_element_at(_map(SHORT_NAMES), F.regexp_replace(F.lower(F.regexp_extract(unit, UNDER, 1)), _SAME, ""))
+    return F.when(stated.isNotNull(), expression).otherwise(short)
+
+
 def _best(units: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
     """For each distinct ``unit`` the best licence by cosine, if it reaches ``threshold``."""
     table = units.sparkSession.createDataFrame([(i, *t) for i, t in enumerate(templates)], "id int, license string, template string")
@@ -89,7 +125,7 @@ def _best(units: DataFrame, templates: list[tuple[str, str]], threshold: float)
     weighted = weighted.join(F.broadcast(norms), "id").groupBy("term").agg(F.collect_list(F.struct("id", "license", (F.col("w") / F.col("norm")).alias("w"))).alias("in_templates"))
     weighted = weighted.join(F.broadcast(df), "term")  # one row per template term
     key = F.xxhash64("unit").alias("key")
-    vectors = units.select("unit").distinct().select(key, F.explode(_terms(F.col("unit"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    vectors = units.select(key, F.explode(_terms(F.col("unit"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
     vectors = vectors.join(F.broadcast(weighted), "term", "left").withColumn("w", F.col("tf") * idf)
     norm = vectors.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = vectors.select("key", "w", F.explode("in_templates").alias("t")).groupBy("key", "t.id", "t.license").agg(F.sum(F.col("w") * F.col("t.w")).alias("dot"))
@@ -108,12 +144,11 @@ def scan(files: DataFrame) -> DataFrame:
     plain = F.regexp_replace("text", COMMENT, "")
     blocks = F.array_distinct(F.concat(F.array(plain), F.split(plain, r"\n[ \t]*\n")))
     whole = named.select(*base, F.explode(blocks).alias("unit")).where(F.col("unit").rlike(NAMES_A_LICENSE))
-    tagged = F.col("unit").rlike(TAG)
-    names = spark.createDataFrame([(n.lower() + end, n) for n in sorted({n for n, _ in TEMPLATES + TEXTS}) for end in ("", "-only", "-or-later", "+")], "tag string, license string")
-    tags = lines.where(tagged).select("unit").distinct().select(F.xxhash64("unit").alias("key"), F.lower(F.regexp_extract("unit", TAG, 1)).alias("tag"))
-    tags = tags.join(F.broadcast(names), "tag").select("key", "license", F.lit(1.0).alias("cosine"))
-    sentences = lines.withColumn("kind", F.lit(0)).unionByName(whole.withColumn("kind", F.lit(1))).withColumn("key", F.xxhash64("unit"))
-    best = tags.unionByName(_best(lines.where(~tagged), TEMPLATES, THRESHOLD)).withColumn("kind", F.lit(0))
+    lines = lines.where(~F.col("unit").rlike(DENIES)).withColumn("declared", _declared(F.col("unit")))
+    names = lines.where("declared IS NOT NULL").select(F.xxhash64("unit").alias("key"), F.col("declared").alias("license"), F.lit(1.0).alias("cosine")).distinct()
+    tagged = F.col("unit").rlike(TAG) | F.col("declared").isNotNull()
+    sentences = lines.drop("declared").withColumn("kind", F.lit(0)).unionByName(whole.withColumn("kind", F.lit(1))).withColumn("key", F.xxhash64("unit"))
+    best = names.unionByName(_best(lines.where(~tagged), TEMPLATES, THRESHOLD)).withColumn("kind", F.lit(0))
     best = best.unionByName(_best(whole, TEXTS, TEXT_THRESHOLD).withColumn("kind", F.lit(1)))
     # one result per file, equal rows counting once
     per_file = (

@@ -324,6 +324,43 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).collect() == []
 
 
+def test_licenses_by_name_expression_and_denial(spark):
+    warranty = next(t for n, t in licenses.TEXTS if n == "MIT" and t.startswith("THE SOFTWARE"))
+    stated = [
+        ("License: BSD-3-Clause", "BSD-3-Clause"), ("License: MIT.", "MIT"), ('"license": "Apache-2.0",', "Apache-2.0"), ("NOT released under the MIT License", None),
+        ("This is not licensed under the Apache License, Version 2.0.", None), ("# SPDX-License-Identifier: (MIT OR Apache-2.0)", "MIT OR Apache-2.0"),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0 WITH Classpath-exception-2.0"), ("It is distributed under GPLv3", "GPL-3.0"),
+        ("Released under MIT.", "MIT"), ("Distributed under the GNU GPL version 3.", "GPL-3.0"), ("Available under the terms of the LGPL 2.1", "LGPL-2.1"),
+        ("Licensed under the BSD 3-Clause License.", "BSD-3-Clause"), ("Licensed under the BSD 2-Clause License.", "BSD-2-Clause"), ("License: see the folder", None),
+        ("He lives under mitigated rules", None), (warranty, "MIT"), ("a license of no kind", None),
+    ]
+    rows = [(f"d{i}/x.txt", t, "x") for i, (t, _) in enumerate(stated)]
+    got = {r.path: r.own_license for r in licenses.scan(spark.createDataFrame(rows, "path string, text string, license_terms string")).collect()}
+    assert [got[f"d{i}/x.txt"] for i in range(len(stated))] == [w for _, w in stated]
+
+
+def test_license_of_a_very_long_text(spark):
+    rows = [("a/LICENSE", "no words of that kind. " * 60000 + "\n\nReleased under the MIT License.\n"), ("a/x", "")]
+    got = {r.path: r.license for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"a/LICENSE": "MIT", "a/x": "MIT"}
+
+
+def test_license_cosine_equals_brute_force(spark):
+    units = [t for _, t in licenses.TEMPLATES] + ["Licensed under the Apache License", "the terms of the license, version 3", "Released under the MIT or the ISC License"]
+    df = Counter(w for _, t in licenses.TEMPLATES for w in set(re.findall(licenses.TERM.replace("(", "(?:"), t.lower())))
+
+    def vector(text):
+        return {w: n * (math.log((1 + len(licenses.TEMPLATES)) / (1 + df[w])) + 1) for w, n in Counter(re.findall(licenses.TERM.replace("(", "(?:"), text.lower())).items()}
+
+    def cosine(a, b):
+        return sum(x * b.get(w, 0) for w, x in a.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+
+    want = sorted(round(max(cosine(vector(u), vector(t)) for _, t in licenses.TEMPLATES), 6) for u in units)
+    # a unit that stands in many files counts as often
+    got = licenses._best(spark.createDataFrame([(u,) for u in units + units[:3] * 4], "unit string"), licenses.TEMPLATES, 0.0).collect()
+    assert sorted(r.cosine for r in got) == pytest.approx(want, abs=2e-6)
+
+
 def test_license_tags_headers_and_whole_texts(spark):
     gnu = licenses._GNU.format("Affero General", 3).replace("and/or modify ", "and/or modify\n# ")
     rows = [
