@@ -117,18 +117,17 @@ def case_number(text: Column) -> Column:
     )
 
 
-def legal_provisions(text: Column, limit: int = M.PROVISION_LIMIT) -> Column:
-    """Up to ``limit`` provisions, unique without regard to case."""
+def legal_provisions(text: Column, limit: int | None = None) -> Column:
+    """Provisions, unique without regard to case; the first ``limit`` of them if one is given."""
     raw = F.flatten(
         F.array(*[F.regexp_extract_all(text, F.lit(U + p), F.lit(0)) for p in M.PROVISION_PATTERNS])
     )
     # one walk: a lambda that looked back into the matches would run the patterns again for each
-    return F.aggregate(
+    unique = F.aggregate(
         F.transform(raw, lambda x: F.trim(x)), F.array().cast("array<string>"),
-        lambda acc, s: F.when(
-            (F.size(acc) >= limit) | F.exists(acc, lambda a: F.lower(a) == F.lower(s)), acc
-        ).otherwise(F.concat(acc, F.array(s))),
+        lambda acc, s: F.when(F.exists(acc, lambda a: F.lower(a) == F.lower(s)), acc).otherwise(F.concat(acc, F.array(s))),
     )
+    return unique if limit is None else F.slice(unique, 1, limit)
 
 
 def liability(text: Column) -> Column:

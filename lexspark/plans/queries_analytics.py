@@ -508,11 +508,11 @@ def latest_changes(spark, d):
 
 
 @query("filter_events", _CHANGES + """
-SELECT severity, source_id, indicator, country_code, snapshot_day AS detected_at FROM ev WHERE severity IS NOT NULL AND source_id = 'upc' AND country_code = 'US'
+SELECT severity, source_id, indicator, country_code, snapshot_day AS detected_at FROM ev WHERE severity IS NOT NULL AND source_id = 'ptab' AND country_code = 'US'
 ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, snapshot_day DESC, source_id, indicator, country_code LIMIT 20""")
 def filter_events(spark, d):
     events = EV.detect_changes(load(spark, d, "snapshots"), at="snapshot_day")
-    return EV.filter_events(events, None, "upc", "US").select("severity", "source_id", "indicator", "country_code", "detected_at")
+    return EV.filter_events(events, None, "ptab", "US").select("severity", "source_id", "indicator", "country_code", "detected_at")
 
 
 @query("event_history", _CHANGES + """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexspark.fixed import metadata as FM
 from lexspark.fixed.citations import CITATION_PATTERNS
 from lexspark.fixed.jurisdictions import DEFAULT_SEARCH_JURISDICTIONS, SIMILAR_SEARCH_JURISDICTIONS
 from lexspark.functions import citations as C
@@ -428,51 +429,76 @@ def validity_from_text(spark, d):
 _O = with_views("opinions")
 
 
-@query("judgment_metadata", _O + """
-, x AS (SELECT doc_id, [regexp_extract(text, '\\d{4}-\\d{2}-\\d{2}'), concat(regexp_extract(text, '(\\d{1,2}) March (\\d{4})', 2), '-03-',
-    lpad(regexp_extract(text, '(\\d{1,2}) March (\\d{4})', 1), 2, '0'))] AS days, text FROM opinions)
-SELECT doc_id, regexp_extract(text, 'Case D2020-\\d{4}') AS case_number, list_max(days) AS decision_date, list_min(days) AS filing_date,
-  CASE WHEN contains(lower(text), 'defendant prevail') THEN 'defendant_win' WHEN contains(lower(text), 'dismissed') THEN 'dismissed' WHEN contains(lower(text), 'settled') THEN 'settlement' END AS liability,
-  CAST(regexp_extract(text, '\\$ (\\d+\\.00)', 1) AS DOUBLE) AS amount, 'USD' AS currency FROM x
-WHERE NOT contains(text, 'ITC')""")
+def _first_sql(patterns: list[str], group: int = 0) -> str:
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract(text, {P.quoted(p)}, {group}), '')" for p in patterns) + ", NULL)"
+
+
+def _matched_sql(table: list[tuple[str, str]]) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(text, {P.quoted(p)}) THEN '{value}'" for value, p in table) + " END"
+
+
+_SOURCES = sorted(FM.PROCEDURE_BY_SOURCE) + ["elsewhere", "wipo-udrp"]
+
+
+def _procedure_sql(field: int) -> str:
+    hints = FM.PROCEDURE_BY_SOURCE | {"wipo-udrp": FM.PROCEDURE_BY_SOURCE["udrp"]}
+    return "CASE source " + " ".join(f"WHEN '{k}' THEN '{v[field]}'" for k, v in hints.items()) + " END"
+
+
+@query("judgment_metadata", _O + f"""
+, x AS (SELECT doc_id, [regexp_extract(text, '\\d{{4}}-\\d{{2}}-\\d{{2}}'), concat(regexp_extract(text, '(\\d{{1,2}}) March (\\d{{4}})', 2), '-03-',
+    lpad(regexp_extract(text, '(\\d{{1,2}}) March (\\d{{4}})', 1), 2, '0'))] AS days, text,
+    list_extract({_SOURCES}, 1 + doc_id % {len(_SOURCES)}) AS source FROM opinions)
+SELECT doc_id, trim({_first_sql(FM.CASE_NUMBER_PATTERNS)}) AS case_number, list_max(days) AS decision_date, list_min(days) AS filing_date,
+  CASE {" ".join(f"WHEN contains(lower(text), '{k}') THEN '{v}'" for k, v in FM.LIABILITY_PHRASES)} END AS liability,
+  CASE WHEN {" OR ".join(f"contains(lower(text), '{k}')" for k in FM.INJUNCTION_GRANTED)} THEN 'granted'
+    WHEN {" OR ".join(f"contains(lower(text), '{k}')" for k in FM.INJUNCTION_DENIED)} THEN 'denied' END AS injunction,
+  {_procedure_sql(0)} AS procedure_type, {_procedure_sql(1)} AS ip_field,
+  CAST(regexp_extract(text, '\\$ (\\d+\\.00)', 1) AS DOUBLE) AS amount, 'USD' AS currency FROM x""")
 def judgment_metadata(spark, d):
-    docs = load(spark, d, "opinions").where(~F.contains(F.col("text"), F.lit("ITC")))
-    m = docs.select("doc_id", MD.partial_metadata(F.col("text"), F.lit("courtlistener")).alias("m"))
+    source = F.get(F.array(*map(F.lit, _SOURCES)), F.col("doc_id") % len(_SOURCES))
+    m = load(spark, d, "opinions").select("doc_id", MD.partial_metadata(F.col("text"), source).alias("m"))
     return m.select(
         "doc_id", "m.case_id.case_number", "m.case_id.decision_date", "m.procedure_timeline.filing_date",
-        "m.outcome.liability", "m.outcome.damages.amount", "m.outcome.damages.currency",
+        "m.outcome.liability", "m.outcome.injunction", F.col("m.procedure.type").alias("procedure_type"), "m.procedure.ip_field",
+        "m.outcome.damages.amount", "m.outcome.damages.currency",
     )
 
 
-@query("legal_provisions", _O + """
-, l AS (SELECT doc_id, list_transform(regexp_extract_all(text, '(?i)(?:§|section|art\\.?|article)\\s*\\d+[\\w()\\.\\-]*'), lambda x: trim(x)) AS found FROM opinions)
-SELECT doc_id, array_to_string(list_distinct(found), '|') AS provisions FROM l WHERE len(list_distinct(list_transform(found, lambda x: lower(x)))) = 1""")
+@query("legal_provisions", _O + f"""
+, l AS (SELECT doc_id, list_transform(list_concat({", ".join(f"regexp_extract_all(text, {P.quoted(p)})" for p in FM.PROVISION_PATTERNS)}), lambda x: trim(x)) AS found FROM opinions),
+k AS (SELECT *, list_transform(found, lambda x: lower(x)) AS keys FROM l)
+SELECT doc_id, array_to_string(list_filter(found, lambda x, i: list_position(keys, lower(x)) = i), '|') AS provisions FROM k""")
 def legal_provisions(spark, d):
-    rows = load(spark, d, "opinions").select("doc_id", MD.legal_provisions(F.col("text")).alias("p"))
-    return rows.where(F.size("p") == 1).select("doc_id", F.array_join("p", "|").alias("provisions"))
+    return load(spark, d, "opinions").select("doc_id", F.array_join(MD.legal_provisions(F.col("text")), "|").alias("provisions"))
 
 
-@query("judgment_facts", _O + """
-SELECT doc_id, jurisdiction, CASE WHEN jurisdiction = 'US' THEN
-  CASE WHEN regexp_matches(text, '(?i)motion.*?\\bis\\s+granted\\b') THEN 'granted' WHEN regexp_matches(text, '(?i)\\b(?:case|action|complaint|appeal)\\s+(?:is\\s+)?(?:dismissed|hereby dismissed)\\b') THEN 'dismissed' END END AS outcome,
-  CASE WHEN jurisdiction = 'US' THEN CAST(regexp_extract(text, 'Damages of \\$ (\\d+\\.\\d{2})', 1) AS DOUBLE) END AS damages_amount
-FROM opinions WHERE jurisdiction <> 'JP'""")
+@query("judgment_facts", _O + f"""
+SELECT doc_id, jurisdiction, CASE WHEN jurisdiction = 'US' THEN {_matched_sql(FM.US_OUTCOMES)} WHEN jurisdiction = 'JP' THEN {_matched_sql(FM.JP_OUTCOMES)}
+    WHEN jurisdiction IN ('EU', 'ECHR') THEN {_matched_sql(FM.EU_OUTCOMES)} END AS outcome,
+  TRY_CAST(replace(CASE jurisdiction WHEN 'US' THEN {_first_sql(FM.US_DAMAGES, 1)} WHEN 'JP' THEN {_first_sql([FM.JP_DAMAGES], 1)} END, ',', '') AS DOUBLE) AS damages_amount
+FROM opinions""")
 def judgment_facts(spark, d):
-    docs = load(spark, d, "opinions").where("jurisdiction <> 'JP'")
     f = MD.judgment_facts(F.col("text"), F.col("jurisdiction"))
-    rows = docs.select("doc_id", "jurisdiction", f.alias("f"))
-    outcome = F.when(~F.col("jurisdiction").isin("EU", "ECHR"), F.col("f.outcome"))
-    return rows.select("doc_id", "jurisdiction", outcome.alias("outcome"), "f.damages_amount")
+    return load(spark, d, "opinions").select("doc_id", "jurisdiction", f.alias("f")).select("doc_id", "jurisdiction", "f.outcome", "f.damages_amount")
+
+
+def _judges_sql() -> str:
+    places = {code: f"jurisdiction = '{code}'" for code in ("US", "JP", "DE", "IN")} | {
+        "EU": "jurisdiction IN ('EU', 'ECHR')", "UK": "jurisdiction IN ('UK', 'GB')",
+        "generic": "jurisdiction NOT IN ('US', 'JP', 'DE', 'IN', 'EU', 'ECHR', 'UK', 'GB')",
+    }
+    return " UNION ALL ".join(
+        f"SELECT doc_id, jurisdiction, trim(unnest(regexp_extract_all(text, {P.quoted(p)}, 1))) AS judge FROM opinions WHERE {where}"
+        for code, where in places.items() for p in FM.JUDGE_PATTERNS[code]
+    )
 
 
-@query("judges_named", _O + """
-, j AS (SELECT doc_id, jurisdiction, unnest(regexp_extract_all(text, '(?:Judge|Justice)\\s+([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)', 1)) AS judge FROM opinions
-  WHERE jurisdiction NOT IN ('US', 'JP', 'EU', 'UK', 'GB', 'DE', 'IN'))
+@query("judges_named", _O + f""", j AS ({_judges_sql()})
 SELECT jurisdiction, judge, count(DISTINCT doc_id) AS n FROM j GROUP BY 1, 2""")
 def judges_named(spark, d):
-    docs = load(spark, d, "opinions").where("jurisdiction NOT IN ('US', 'JP', 'EU', 'UK', 'GB', 'DE', 'IN')")
     f = MD.judgment_facts(F.col("text"), F.col("jurisdiction"))
-    return docs.select("jurisdiction", "doc_id", F.explode(f["judge_names"]).alias("judge")).groupBy(
+    return load(spark, d, "opinions").select("jurisdiction", "doc_id", F.explode(f["judge_names"]).alias("judge")).groupBy(
         "jurisdiction", "judge"
     ).agg(F.countDistinct("doc_id").alias("n"))
 
