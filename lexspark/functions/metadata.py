@@ -161,8 +161,11 @@ def procedure_for_source(source: Column) -> Column:
     ])
 
 
-def partial_metadata(text: Column, source: Column) -> Column:
-    """The metadata struct with every field a regex can fill."""
+def partial_metadata(text: Column, source: Column, damages_in: Column | None = None) -> Column:
+    """The metadata struct with every field a regex can fill.
+
+    The sum of money is the first in ``damages_in``, by default the whole text.
+    """
     dates = dates_in_text(text)
     procedure = procedure_for_source(source)
     null = F.lit(None).cast("string")
@@ -179,7 +182,7 @@ def partial_metadata(text: Column, source: Column) -> Column:
             people.alias("plaintiffs"), people.alias("defendants"), people.alias("third_parties"),
         ).alias("parties"),
         F.struct(
-            liability(text).alias("liability"), injunction(text).alias("injunction"), amount(text).alias("damages"),
+            liability(text).alias("liability"), injunction(text).alias("injunction"), amount(text if damages_in is None else damages_in).alias("damages"),
         ).alias("outcome"),
         F.struct(
             F.array_min(dates).alias("filing_date"),

@@ -133,6 +133,14 @@ def test_partial_metadata(spark):
     assert row.i == [] and "case_id.source" in row.f and "outcome.liability" not in row.f
 
 
+def test_damages_read_where_they_are_stated(spark):
+    text = "An invoice over $ 170.116 and USD 42. Damages of $ 3333.00 were sought."
+    stated = F.regexp_extract("x", r"\$ \d+\.00", 0)
+    m = _one(spark, M.partial_metadata(F.col("x"), F.lit("upc"), stated), text)
+    assert (m.outcome.damages.amount, m.outcome.damages.currency) == (3333.0, "USD")
+    assert _one(spark, M.partial_metadata(F.col("x"), F.lit("upc")), text).outcome.damages.amount == 170.116
+
+
 def test_empty_metadata_and_json_issues(spark):
     m = spark.range(1).select(M.empty_metadata().alias("m")).first().m
     assert m.case_id.source is None and m.parties.plaintiffs == [] and m.citations.case_law == []
