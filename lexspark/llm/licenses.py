@@ -29,6 +29,8 @@ from importlib import resources
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.session import cut_lineage
+
 THRESHOLD, TEXT_THRESHOLD, FILE_SHARE = 0.6, 0.85, 0.5
 
 # Licence names and the sentences by which files declare them.
@@ -150,8 +152,8 @@ def scan(files: DataFrame) -> DataFrame:
     sentences = lines.drop("declared").withColumn("kind", F.lit(0)).unionByName(whole.withColumn("kind", F.lit(1))).withColumn("key", F.xxhash64("unit"))
     best = names.unionByName(_best(lines.where(~tagged), TEMPLATES, THRESHOLD)).withColumn("kind", F.lit(0))
     best = best.unionByName(_best(whole, TEXTS, TEXT_THRESHOLD).withColumn("kind", F.lit(1)))
-    # one result per file, equal rows counting once
-    per_file = (
+    # one result per file, equal rows counting once; four steps read it, so it is written out
+    per_file = cut_lineage(
         sentences.select("path", "text_key", "file_terms", "kind", "key", F.size(_terms(F.col("unit"))).alias("terms")).distinct()
         .join(best, ["kind", "key"])
         .groupBy("path", "text_key", "file_terms").agg(

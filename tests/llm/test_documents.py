@@ -370,3 +370,9 @@ def test_license_tags_headers_and_whole_texts(spark):
     ]
     got = {r.path: r.license for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert got == {"a/x.py": "Apache-2.0", "b/x.py": "MIT", "c/x.py": "GPL-3.0", "d/LICENSE": "BSD-2-Clause", "e/x.py": "AGPL-3.0", "f/LICENSE": "MPL-2.0", "f/y.py": "MPL-2.0", "g/x.py": None}
+
+
+def test_license_plan_holds_the_scan_once(spark):
+    files = spark.createDataFrame([("a/x.txt", "Released under the MIT License.")], "path string, text string")
+    plan = licenses.scan(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and plan.count("regexp_extract_all") == 0
