@@ -399,3 +399,26 @@ def test_supplements_that_share_a_text_are_searched_once(spark):
     rows = sorted(tuple(r) for r in shared.collect())
     assert rows == sorted(tuple(r) for r in plain.collect())
     assert [(r[0], r[1], r[4]) for r in rows] == [(1, "Elm", 70), (2, "Elm", 70), (2, "Elm Two", 81)]
+
+
+def test_network_edges_are_told_apart_where_their_seed_lies(spark):
+    rnd = random.Random(5)
+    ids = [f"n{i}" for i in range(30)]
+    edges = spark.createDataFrame(
+        [(a, b, f"to {b}", "") for a in ids for b in rnd.sample([*ids, "ghost"], 3)], "citing_case_id string, cited_case_id string, cited_reference string, citation_context string"
+    )
+    cases = spark.createDataFrame([(i, "", "", "", "") for i in ids], "case_id string, case_name string, jurisdiction string, court string, decision_date string")
+    net = G.citation_network(cases.select("case_id"), edges, cases, max_nodes=6)
+
+    def shuffles(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    assert shuffles(net.walked) == shuffles(net.degrees) == shuffles(net.reached)
+    nodes, hubs, seeds = net.nodes.collect(), net.hubs.collect(), [r.seed for r in net.edges.collect()]
+    depths = {d: [r for r in nodes if r.depth == d] for d in {r.depth for r in nodes}}
+    assert {tuple(r) for r in net.by_depth().select("depth", "nodes", "seeds", "first_node", "last_node").collect()} == {
+        (d, len(rs), len({r.seed for r in rs}), min(r.case_id for r in rs), max(r.case_id for r in rs)) for d, rs in depths.items()
+    }
+    totals = {i: [r.cited_by_count for r in hubs if r.case_id == i] for i in {r.case_id for r in hubs}}
+    assert {(r.case_id, r.networks, r.cited_by_total) for r in net.hub_totals().collect()} == {(i, len(n), sum(n)) for i, n in totals.items()}
+    assert {(r.seed, r.edge_count) for r in net.summary(cases).collect()} == {(i, sum(s == i for s in seeds)) for i in ids}
