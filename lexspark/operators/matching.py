@@ -33,19 +33,20 @@ def _char_weights(texts: DataFrame) -> DataFrame:
 
 
 def balanced_segments(texts: DataFrame, threshold: float) -> DataFrame:
-    """(text, needed, segments): distinct non-empty texts cut into segments of about equal rarity.
+    """(text, edits, segments): distinct non-empty texts cut into segments of about equal rarity.
 
-    A text has two segments more than the edits that any partner allows, where it is long
-    enough, so ``needed`` of them (two, or one) stand unchanged in every similar text. A word that many
-    texts share weighs little, so it ends up in one segment with rarer neighbours instead of
-    filling segments by itself.
+    A text has so many segments that of the edits any partner allows one of them has at most
+    one. A word that many texts share weighs little, so it ends up in one segment with rarer
+    neighbours instead of filling segments by itself.
     """
     size = F.length("text")
     edits = F.least(_allowed_edits(F.floor(size / F.lit(threshold) + F.lit(1e-9)), threshold), size - 1)
-    rows = _char_weights(texts).withColumn("edits", edits).withColumn("cuts", F.least(edits + 2, size))
+    rows = _char_weights(texts).withColumn("edits", edits).withColumn("cuts", (F.floor(F.col("edits") / 2) + 1).cast("int"))
     sums = F.transform(F.sequence(F.lit(1), size), lambda j: F.aggregate(F.slice("weights", F.lit(1), j), F.lit(0.0), lambda a, x: a + x))
     # each step is written out: inside a lambda the next one would work it out again for every element
-    rows = cut_lineage(rows.withColumn("sums", sums).withColumn("whole", F.element_at("sums", -1)).drop("weights"))
+    rows = cut_lineage(rows.withColumn("sums", sums).withColumn("whole", F.element_at("sums", -1)))
+    # a character counts where its middle is, so that a cut is at the nearest one
+    rows = rows.withColumn("sums", F.zip_with("sums", "weights", lambda c, w: c - w / 2)).drop("weights")
     # where the share of each segment is reached, moved on so that no segment is empty
     reached = F.transform(
         F.sequence(F.lit(0), F.col("cuts") - 1),
@@ -64,7 +65,7 @@ def balanced_segments(texts: DataFrame, threshold: float) -> DataFrame:
             F.substr(F.col("text"), F.get("starts", i) + 1, F.coalesce(F.get("starts", i + 1), size) - F.get("starts", i)).alias("segment"),
         ),
     )
-    return rows.select("text", (F.col("cuts") - F.col("edits")).alias("needed"), segments.alias("segments"))
+    return rows.select("text", "edits", segments.alias("segments"))
 
 
 def _sizes(threshold: float) -> Column:
@@ -106,49 +107,61 @@ def similar_candidates(left: DataFrame, right: DataFrame, threshold: float) -> D
     Texts meet on even segments. A segment that would pair more than ``HOT_PAIRS`` texts
     takes its right texts out; those are cut by rarity instead (``balanced_segments``).
     """
-    lefts, rights = cut_lineage(_even_left(left, threshold)), cut_lineage(_even_right(right, threshold))
-    key = ["size", "number", "segment"]
-    load = lefts.groupBy(*key).agg(F.count("*").alias("a")).join(rights.groupBy(*key).agg(F.count("*").alias("b")), key)
+    left, right = cut_lineage(left), cut_lineage(right)
+    # only the texts are written out: their windows are many times as long
+    lefts, rights = _even_left(left, threshold), _even_right(right, threshold)
+    hashed = F.xxhash64("size", "number", "segment").alias("key")
+    lefts, rights = lefts.select("left", hashed), rights.select("right", hashed)
+    load = lefts.groupBy("key").agg(F.count("*").alias("a")).join(rights.groupBy("key").agg(F.count("*").alias("b")), "key")
     hot = cut_lineage(
-        rights.join(load.where(F.col("a") * F.col("b") > HOT_PAIRS), key, "left_semi").select(F.col("right").alias("text")).distinct()
+        rights.join(load.where(F.col("a") * F.col("b") > HOT_PAIRS), "key", "left_semi").select(F.col("right").alias("text")).distinct()
     )
-    calm = rights.join(hot.withColumnRenamed("text", "right"), "right", "left_anti")
-    met = lefts.join(calm, key).select("left", "right").distinct()
+    calm = _even_right(right.join(hot, "text", "left_anti"), threshold).select("right", hashed)
+    met = lefts.join(calm, "key").select("left", "right").distinct()
     # a text of either kind is in one of the two, so no pair comes twice
     return met if hot.isEmpty() else met.unionByName(_balanced_candidates(left, hot, threshold))
 
 
+def _without_one(text: Column) -> Column:
+    """The distinct texts that lack one character of ``text``."""
+    return F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(text)), lambda at: F.concat(F.substr(text, F.lit(1), at - 1), F.substr(text, at + 1))
+    ))
+
+
 def _balanced_candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """As ``similar_candidates``, by segments of equal rarity.
 
-    The commonest segments are spared where others must match too: of the segments of a right text,
-    all but ``needed - 1`` are looked up, the rarest. A pair that meets there stays
-    if as many segments as needed stand in the left text near their place.
+    Of the segments of a right text one has at most one edit. The first stands at the
+    beginning of a similar left text, the last at its end, any other near its own place. Two
+    texts of one length that one edit tells apart, or a text and the window of its length at
+    such a place, are equal once each lacks one character, so they meet on these variants. Segments are as long as
+    few edits allow, so names that share a word still differ in most of them.
     """
     cut = cut_lineage(balanced_segments(right, threshold))
-    parts = cut.select("text", "needed", F.size("segments").alias("cuts"), F.inline("segments"))
-    df = parts.groupBy("segment").agg(F.count("*").alias("df"))
-    ranked = (
-        parts.join(df, "segment").groupBy("text", "needed", "cuts").agg(F.sort_array(F.collect_list(F.struct("df", "start", "segment"))).alias("all"))
-        .select("text", F.inline(F.slice("all", F.lit(1), F.col("cuts") - F.col("needed") + 1)))
+    parts = cut.select("text", F.size("segments").alias("cuts"), F.posexplode("segments").alias("number", "s")).select(
+        F.col("text").alias("right"), F.length("text").alias("size"),
+        F.when(F.col("number") == 0, 0).when(F.col("number") == F.col("cuts") - 1, -1).otherwise(F.col("s.start")).alias("place"),
+        F.length("s.segment").alias("span"), F.col("s.segment").alias("segment"),
     )
-    keys = cut_lineage(ranked.select(F.col("text").alias("right"), F.length("text").alias("size"), "start", "segment"))
+    keys = parts.select("right", F.explode(_without_one(F.col("segment"))).alias("variant"), "place", "span")
     # left texts are cut only into what some right text of a possible size has there
-    kinds = keys.select("size", F.length("segment").alias("span"), F.col("start").alias("near")).distinct()
+    kinds = parts.select("size", "place", "span").distinct()
     sized = left.select(F.col("text").alias("left"), F.explode(_sizes(threshold)).alias("size"))
-    edits = _allowed_edits(F.greatest(F.length("left"), F.col("size")), threshold)
-    first, last = F.greatest(F.col("near") - edits, F.lit(0)), F.least(F.col("near") + edits, F.length("left") - F.col("span"))
-    pieces = sized.join(F.broadcast(kinds) if kinds.count() <= FEW_KINDS else kinds, "size").where(last >= first).select(
-        "left", "size", F.col("near").alias("start"),
-        F.explode(F.array_distinct(F.transform(F.sequence(first, last), lambda at: F.substr(F.col("left"), at + 1, F.col("span"))))).alias("segment"),
-    )
-    met = pieces.join(keys, ["size", "start", "segment"]).select("left", "right").distinct()
-    edits = _allowed_edits(F.greatest(F.length("left"), F.length("right")), threshold)
-    standing = F.filter(
-        "segments",
-        lambda s: F.contains(F.substr(F.col("left"), F.greatest(s["start"] - edits, F.lit(0)) + 1, F.length(s["segment"]) + edits + F.least(s["start"], edits)), s["segment"]),
+    length, place, span = F.length("left"), F.col("place"), F.col("span")
+    kinds = cut_lineage(kinds)
+    asked = sized.join(F.broadcast(kinds) if kinds.count() <= FEW_KINDS else kinds, "size").withColumn("edits", _allowed_edits(F.greatest(length, F.col("size")), threshold))
+    asked = asked.groupBy("left", "place", "span").agg(F.max("edits").alias("edits"))
+    starts = (
+        F.when(place == 0, F.array(F.lit(0))).when(place == -1, F.array(F.greatest(length - span, F.lit(0))))
+        .otherwise(F.sequence(F.greatest(place - F.col("edits"), F.lit(0)), place + F.col("edits")))
     )
-    return met.join(cut.withColumnRenamed("text", "right"), "right").where(F.size(standing) >= F.col("needed")).select("left", "right")
+    windows = asked.withColumn("at", F.explode(starts)).select("left", "place", "span", F.substr(F.col("left"), F.col("at") + 1, span).alias("window"))
+    # a window that the end of the text cuts short by one character lacks it already
+    lacking = F.when(F.length("window") == span, _without_one(F.col("window"))).when(F.length("window") == span - 1, F.array("window"))
+    pieces = windows.select("left", F.explode(lacking).alias("variant"), "place", "span")
+    hashed = F.xxhash64("place", "span", "variant").alias("key")
+    return pieces.select("left", hashed).join(keys.select("right", hashed), "key").select("left", "right").distinct()
 
 
 def similar_join(left: DataFrame, left_text: str, right: DataFrame, right_text: str, threshold: float) -> DataFrame:

@@ -422,3 +422,10 @@ def test_network_edges_are_told_apart_where_their_seed_lies(spark):
     totals = {i: [r.cited_by_count for r in hubs if r.case_id == i] for i in {r.case_id for r in hubs}}
     assert {(r.case_id, r.networks, r.cited_by_total) for r in net.hub_totals().collect()} == {(i, len(n), sum(n)) for i, n in totals.items()}
     assert {(r.seed, r.edge_count) for r in net.summary(cases).collect()} == {(i, sum(s == i for s in seeds)) for i in ids}
+
+
+def test_names_that_share_a_word_are_cut_where_each_part_stays_rare(spark):
+    rnd = random.Random(6)
+    names = ["northern " + "".join(rnd.choices("0123456789abcdef", k=9)) for _ in range(200)]
+    cut = M.balanced_segments(spark.createDataFrame([(x,) for x in set(names)], "text STRING"), 0.85).collect()
+    assert all([s.segment for s in r.segments] == [r.text[:13], r.text[13:]] and r.edits == 3 for r in cut) and len(cut) == len(set(names))
