@@ -125,7 +125,8 @@ def _best(units: DataFrame, templates: list[tuple[str, str]], threshold: float)
     weighted = counted.join(F.broadcast(df), "term").select("id", "license", "term", (F.col("tf") * idf).alias("w"))
     norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     weighted = weighted.join(F.broadcast(norms), "id").groupBy("term").agg(F.collect_list(F.struct("id", "license", (F.col("w") / F.col("norm")).alias("w"))).alias("in_templates"))
-    weighted = weighted.join(F.broadcast(df), "term")  # one row per template term
+    # one row per template term, fixed: written out, so that no later plan holds the steps to it
+    weighted = cut_lineage(weighted.join(F.broadcast(df), "term"))
     key = F.xxhash64("unit").alias("key")
     vectors = units.select(key, F.explode(_terms(F.col("unit"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
     vectors = vectors.join(F.broadcast(weighted), "term", "left").withColumn("w", F.col("tf") * idf)
@@ -151,7 +152,7 @@ def scan(files: DataFrame) -> DataFrame:
     tagged = F.col("unit").rlike(TAG) | F.col("declared").isNotNull()
     sentences = lines.drop("declared").withColumn("kind", F.lit(0)).unionByName(whole.withColumn("kind", F.lit(1))).withColumn("key", F.xxhash64("unit"))
     best = names.unionByName(_best(lines.where(~tagged), TEMPLATES, THRESHOLD)).withColumn("kind", F.lit(0))
-    best = best.unionByName(_best(whole, TEXTS, TEXT_THRESHOLD).withColumn("kind", F.lit(1)))
+    best = cut_lineage(best.unionByName(_best(whole, TEXTS, TEXT_THRESHOLD).withColumn("kind", F.lit(1))))
     # one result per file, equal rows counting once; four steps read it, so it is written out
     per_file = cut_lineage(
         sentences.select("path", "text_key", "file_terms", "kind", "key", F.size(_terms(F.col("unit"))).alias("terms")).distinct()

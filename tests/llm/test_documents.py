@@ -376,3 +376,10 @@ def test_license_plan_holds_the_scan_once(spark):
     files = spark.createDataFrame([("a/x.txt", "Released under the MIT License.")], "path string, text string")
     plan = licenses.scan(files)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" in plan and plan.count("regexp_extract_all") == 0
+
+
+def test_plans_of_a_license_scan_do_not_hold_the_templates_steps(spark):
+    units = spark.createDataFrame([("Released under the MIT License.",)], "unit string")
+    best = licenses._best(units, licenses.TEMPLATES, licenses.THRESHOLD)
+    assert [r.license for r in best.collect()] == ["MIT"]
+    assert best._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 4
