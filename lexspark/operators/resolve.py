@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.functions.text import citation_name_part, has_versus, normalize_citation
-from lexspark.operators.substring import ANY, SubstringIndex, containing, read_substring_index, substring_index, write_substring_index
+from lexspark.operators.substring import (
+    ANY,
+    SubstringIndex,
+    containing,
+    least_containing,
+    read_substring_index,
+    substring_index,
+    write_substring_index,
+)
 from lexspark.session import cut_lineage, struct_rows
 
 
@@ -19,11 +27,15 @@ class NameIndex(NamedTuple):
     numbers: SubstringIndex
 
 
-def build_name_index(cases: DataFrame) -> NameIndex:
-    """Index for ranks 4 and 5 of ``resolve_citations``; numbers are looked up whatever the jurisdiction."""
-    lowered = cases.select(
+def _lowered(cases: DataFrame) -> DataFrame:
+    return cases.select(
         "case_id", "jurisdiction", F.lower("case_name").alias("name"), F.lower("case_number").alias("number"), F.lit(None).cast("string").alias("all")
     )
+
+
+def build_name_index(cases: DataFrame) -> NameIndex:
+    """Index for ranks 4 and 5 of ``resolve_citations``; numbers are looked up whatever the jurisdiction."""
+    lowered = _lowered(cases)
     return NameIndex(
         substring_index(lowered, "name", "jurisdiction", "case_id"), substring_index(lowered, "number", "all", "case_id")
     )
@@ -67,8 +79,8 @@ def resolve_citations(
     unresolved): 1 exact string in the index, 2 normalised string, 3 exact case
     name, 4 case name contains the name part, 5 case number contains the
     string. The least case id wins inside a rank. Ranks 1 to 3 are one equi
-    join on pre-aggregated lookups; only what they leave is looked up in
-    ``name_index``, a stored one or by default one built from ``cases``.
+    join on pre-aggregated lookups; only what they leave is looked up in a stored
+    ``name_index``, or by default in one pass over ``cases``.
     """
     refs = references.select("citation_string", "jurisdiction").where(
         F.col("citation_string").isNotNull()
@@ -98,13 +110,13 @@ def resolve_citations(
     # every later step reads the outcome of this one, so it is written out once
     tried = cut_lineage(refs.join(exact, ["citation_string", "scope"], "left"))
     rest = tried.where(F.col("hit").isNull()).drop("hit")
-    name_index = name_index or build_name_index(cases)
+    lowered = _lowered(cases)
     by_name = _least_containing(
-        rest.select("citation_string", "scope", F.lower(name).alias("_key")), name_index.names
+        rest.select("citation_string", "scope", F.lower(name).alias("_key")), lowered, "name", "jurisdiction", name_index and name_index.names
     ).withColumn("match_rank", F.lit(4))
     numbers = rest.select("citation_string", F.lit(ANY).alias("scope"), F.lower("citation_string").alias("_key")).distinct()
     by_number = rest.select("citation_string", "scope").join(
-        _least_containing(numbers, name_index.numbers).drop("scope"), "citation_string"
+        _least_containing(numbers, lowered, "number", "all", name_index and name_index.numbers).drop("scope"), "citation_string"
     ).withColumn("match_rank", F.lit(5))
     contained = (
         by_name.unionByName(by_number)
@@ -116,9 +128,13 @@ def resolve_citations(
     ).select("citation_string", "jurisdiction", "hit.case_id", "hit.match_rank")
 
 
-def _least_containing(wanted: DataFrame, index: SubstringIndex) -> DataFrame:
+def _least_containing(wanted: DataFrame, cases: DataFrame, text: str, scope: str, index: SubstringIndex | None) -> DataFrame:
     """(citation_string, scope, case_id): the least case of the scope one of whose texts contains ``_key``."""
-    found = containing(wanted, index, "_key").groupBy(F.col("key").alias("_key"), "scope").agg(F.min("least").alias("case_id"))
+    if index is None:
+        found = least_containing(wanted, cases, text, scope, "case_id", "_key")
+    else:
+        found = containing(wanted, index, "_key").groupBy("key", "scope").agg(F.min("least").alias("least"))
+    found = found.select(F.col("key").alias("_key"), "scope", F.col("least").alias("case_id"))
     return wanted.join(found, ["_key", "scope"]).select("citation_string", "scope", "case_id")
 
 

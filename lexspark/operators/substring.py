@@ -11,6 +11,10 @@ an unknown gram is nowhere. The two rarest meet on (text, start of the key), and
 texts that have both are fetched, by id, and compared. Texts never enter a gram
 shuffle; a key whose grams are frequent one by one is looked up by the longer ones, so
 candidates grow with keys and matches, not with their product.
+
+An index pays where many calls read it. A single call asks the other way round
+(``occurrences``): the keys' heads, lengths and last characters go to every task, and the
+rows are read once and send only the substrings of such a shape.
 """
 
 from __future__ import annotations
@@ -33,6 +37,10 @@ FEW_GRAMS = 250_000
 ANY = "*"
 # so many probes go to every task that reads postings, more are joined by gram
 FEW_PROBES = 50_000
+# so many heads of keys go to every task; of more, only shorter ones
+FEW_HEADS = 200_000
+# so many keys go to every task, more meet their substrings in a shuffle
+FEW_KEYS = 50_000
 
 
 class SubstringIndex(NamedTuple):
@@ -177,3 +185,63 @@ def containing(keys: DataFrame, index: SubstringIndex, key: str = "key", scope:
     asked = keys.where(F.length(key) > 0).select(F.col(key).alias("key"), F.coalesce(F.col(scope), F.lit(ANY)).alias("scope")).distinct()
     texts = index.texts.withColumnRenamed("scope", "text_scope")
     return candidates(asked, index).join(texts, ["text_id", "text_scope"]).where(F.contains(F.col("text"), F.col("key")))
+
+
+def _asked(keys: DataFrame, key: str, scope: str) -> DataFrame:
+    """The distinct (key, scope) that can be somewhere; a null scope is ANY."""
+    return keys.where(F.length(key) > 0).select(F.col(key).alias("key"), F.coalesce(F.col(scope), F.lit(ANY)).alias("scope")).distinct()
+
+
+def _shapes(asked: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(head, sizes: the lengths of the keys with that head and the last characters they have), and the lengths of the heads."""
+    for gram in range(GRAM, 0, -1):
+        head = F.substring("key", 1, gram)
+        ends = asked.groupBy(head.alias("head"), F.length("key").alias("size")).agg(F.array_join(F.collect_set(F.right("key", F.lit(1))), "").alias("ends"))
+        shapes = cut_lineage(ends.groupBy("head").agg(F.sort_array(F.collect_list(F.struct("size", "ends"))).alias("sizes")))
+        if gram == 1 or shapes.count() <= FEW_HEADS:
+            return shapes, sorted(r[0] for r in shapes.select(F.length("head")).distinct().collect())
+
+
+def _occurrences(asked: DataFrame, rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """(keep..., key): the substrings of ``text`` that are shaped like a key, which all its keys are; some are no key."""
+    shapes, lengths = _shapes(asked)
+    length = F.length("_text")
+    placed = rows.select(*keep, F.col(text).alias("_text")).where(length > 0).select(
+        *keep, "_text", F.explode(F.sequence(F.lit(0), length - 1)).alias("_place")
+    )
+    heads = F.array(*[F.when(F.col("_place") + n <= length, F.substr("_text", F.col("_place") + 1, F.lit(n))) for n in lengths])
+    met = placed.select("*", F.explode(heads).alias("head")).join(F.broadcast(shapes), "head")
+    fits = F.filter("sizes", lambda s: (F.col("_place") + s["size"] <= length) & F.contains(s["ends"], F.substr(F.col("_text"), F.col("_place") + s["size"], F.lit(1))))
+    found = met.select(*keep, "_text", "_place", F.explode(F.transform(fits, lambda s: s["size"])).alias("_size")).select(
+        *keep, F.substr("_text", F.col("_place") + 1, F.col("_size")).alias("key")
+    )
+    known = asked.select("key").distinct()
+    return found.join(F.broadcast(known), "key", "left_semi") if known.count() <= FEW_KEYS else found
+
+
+def occurrences(
+    keys: DataFrame, rows: DataFrame, text: str, text_scope: str, keep: list[str], key: str = "key", scope: str = "scope"
+) -> DataFrame:
+    """(key, scope, keep...), distinct: the rows of its scope whose text contains each key, without an index; scopes as of ``containing``."""
+    asked = cut_lineage(_asked(keys, key, scope))
+    # ``keep`` may hold the scope under any name
+    scoped = rows.withColumn("_scope", F.coalesce(F.col(text_scope), F.lit("")))
+    found = _occurrences(asked, scoped, text, ["_scope", *keep])
+    return _in_scope(asked, found).select("key", "scope", *keep).distinct()
+
+
+def least_containing(
+    keys: DataFrame, rows: DataFrame, text: str, text_scope: str, value: str, key: str = "key", scope: str = "scope"
+) -> DataFrame:
+    """(key, scope, least): the least ``value`` of the rows of its scope whose text contains each key, without an index.
+
+    Scopes are those of ``containing``. Only substrings shaped like a key leave the scan, one for each task.
+    """
+    asked = cut_lineage(_asked(keys, key, scope))
+    scoped = rows.select(F.col(text).alias("_row"), F.coalesce(F.col(text_scope), F.lit("")).alias("_scope"), F.col(value).alias("_value"))
+    found = _occurrences(asked, scoped, "_row", ["_scope", "_value"]).groupBy("key", "_scope").agg(F.min("_value").alias("_value"))
+    return _in_scope(asked, found).groupBy("key", "scope").agg(F.min("_value").alias("least"))
+
+
+def _in_scope(asked: DataFrame, found: DataFrame) -> DataFrame:
+    return asked.join(found, "key").where((F.col("scope") == ANY) | (F.col("scope") == F.col("_scope")))

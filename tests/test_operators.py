@@ -54,6 +54,34 @@ def test_substring_candidates_grow_with_the_keys(spark):
     assert count(2000) <= 2.5 * count(1000)
 
 
+@pytest.mark.parametrize("few", [200_000, 3])
+def test_lookups_without_an_index_are_exact(spark, monkeypatch, few):
+    # with the small limit heads are one character long and keys meet their substrings in a shuffle
+    monkeypatch.setattr(SB, "FEW_HEADS", few)
+    monkeypatch.setattr(SB, "FEW_KEYS", few)
+    rnd = random.Random(4)
+    texts = [(i, "".join(rnd.choice("ab é") for _ in range(rnd.randint(0, 30))), rnd.choice(["US", "GB", None])) for i in range(120)]
+    keys = {("".join(rnd.choice("ab é") for _ in range(rnd.randint(0, 20))), rnd.choice(["US", "GB", None])) for _ in range(90)}
+    keys |= {(t[2:9], None) for _, t, _ in texts} | {(t[1:], "US") for _, t, _ in texts} | {(None, "US")}
+    rows = spark.createDataFrame([*texts, (900, None, "US")], "id INT, txt STRING, j STRING")
+    frame = spark.createDataFrame(sorted(keys, key=str), "key STRING, scope STRING")
+    want = {(k, s or SB.ANY, i) for k, s in keys if k for i, t, j in texts if k in t and s in (None, j)}
+    assert {tuple(r) for r in SB.occurrences(frame, rows, "txt", "j", ["id"]).collect()} == want
+    least = {}
+    for k, s, i in want:
+        least[k, s] = min(i, least.get((k, s), i))
+    assert {(r.key, r.scope): r.least for r in SB.least_containing(frame, rows, "txt", "j", "id").collect()} == least
+
+
+def test_only_substrings_shaped_like_a_key_leave_the_scan(spark):
+    rows = spark.range(500).selectExpr("concat('customer#', id, ' v. supplier#', id % 10) AS txt")
+    asked = spark.range(1000).selectExpr("concat('o-', id) AS key", "'*' AS scope").unionByName(
+        spark.range(300).selectExpr("concat('customer#', id, ' v. supplier#', id % 10) AS key", "'*' AS scope")
+    )
+    # a row has one such substring; its grams would be about ninety
+    assert SB._occurrences(asked, rows, "txt", ["txt"]).count() <= 500
+
+
 @pytest.mark.parametrize("hot_pairs", [20_000, 3])
 def test_similar_join_is_exact(spark, monkeypatch, hot_pairs):
     # with the small limit most texts are cut by rarity
@@ -157,6 +185,15 @@ def test_resolution_ranks(spark, cases):
     }
 
 
+def test_resolution_without_an_index_builds_none(spark, cases, monkeypatch):
+    def built(*_):
+        raise AssertionError("an index of all names was built")
+
+    monkeypatch.setattr("lexspark.operators.resolve.substring_index", built)
+    frame = spark.createDataFrame([("mma v. Del, 9 U.S. 1", None), ("o-7", "US")], "citation_string STRING, jurisdiction STRING")
+    assert {r.match_rank for r in resolve_citations(frame, build_citation_index(cases), cases).collect()} == {4, 5}
+
+
 # ---- graph ----------------------------------------------------------------------------
 
 def test_network_keeps_missing_cases_as_edges_and_stops_at_the_cap(spark):
