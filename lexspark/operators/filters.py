@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexspark.fixed.jurisdictions import KNOWN_JURISDICTIONS
 from lexspark.functions.text import compact_article
 from lexspark.operators.ranking import top_per_group
-from lexspark.operators.substring import SubstringIndex, containing, substring_index
+from lexspark.operators.substring import SubstringIndex, containing, least_containing, substring_index
 from lexspark.session import cut_lineage, first_text
 
 TEXT_LIMIT, CITATION_LIMIT, CITATION_CHARS, SUMMARY_CHARS = 50000, 50, 200, 500
@@ -172,10 +172,12 @@ def find_cases(
     tried = cut_lineage(asked.join(ids, "key", "left"))
     exact = tried.where("_exact").select("key", "key_jurisdiction", F.col("key").alias("case_id"))
     rest = tried.where("_exact IS NULL AND key_jurisdiction IS NOT NULL")
-    inside = containing(rest, index or case_id_index(cases), "key", "key_jurisdiction")
-    return exact.unionByName(
-        inside.groupBy("key", F.col("scope").alias("key_jurisdiction")).agg(F.min("least").alias("case_id"))
-    )
+    if index is None:
+        texts = cases.select("case_id", "jurisdiction")
+        inside = least_containing(rest, texts, "case_id", "jurisdiction", "case_id", "key", "key_jurisdiction")
+    else:
+        inside = containing(rest, index, "key", "key_jurisdiction").groupBy("key", "scope").agg(F.min("least").alias("least"))
+    return exact.unionByName(inside.select("key", F.col("scope").alias("key_jurisdiction"), F.col("least").alias("case_id")))
 
 
 def case_details(cases: DataFrame, citations: DataFrame) -> DataFrame:
