@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexspark.fixed import analytics as A
 from lexspark.operators.matching import similar_join
 from lexspark.operators.ranking import top_per_group
-from lexspark.operators.substring import containing, substring_index
+from lexspark.operators.substring import containing, occurrences, substring_index
 from lexspark.session import struct_rows
 
 
@@ -146,10 +146,9 @@ def entity_activity(terms: DataFrame, entities: DataFrame, stats: DataFrame) ->
     rows = stats.where(F.col("jurisdiction").isNotNull()).select(
         F.col("jurisdiction").alias("scope"), "source", "seq", F.lower("title").alias("text")
     )
-    found = containing(owners, substring_index(rows, "text", "scope", "seq")).select("key", "scope", "text")
+    found = occurrences(owners, rows, "text", "scope", ["source", "seq"])
     return (
-        owners.join(found, ["key", "scope"]).join(rows, ["text", "scope"])
-        .select("canonical_id", "source", "seq").distinct()
+        owners.join(found, ["key", "scope"]).select("canonical_id", "source", "seq").distinct()
         .groupBy("canonical_id", "source").agg(F.count("*").alias("n"))
     )
 
