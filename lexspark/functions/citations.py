@@ -1,4 +1,4 @@
-"""Citation strings in free text: by JVM regexes in one projection, with offsets in one Arrow-batched scan."""
+"""Citation strings in free text, with or without their places, by one Arrow-batched scan."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from lexspark.fixed.citations import CITATION_PATTERNS
 from lexspark.functions.spans import SpanFinder
-from lexspark.functions.text import U
 
 _CANADIAN = ("ON", "BC", "QCC", "AB", "MB", "SK", "NS", "NB", "NLCA", "PECA", "TCC", "CMAC", "CanLII")
 # A literal each pattern cannot match without, same order as the patterns. The
@@ -49,27 +48,8 @@ def _numbered() -> list[tuple[int, str, str, tuple[str, ...]]]:
     return [(i, *entry) for i, entry in enumerate(flat)]
 
 
-def _text(value: str) -> str:
-    """A SQL string literal."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _per_pattern(text: str, body: str) -> Column:
-    """ARRAY with one entry per pattern, ``body`` where the text has the literal the pattern
-    needs, else NULL. ``body`` may name {text}, {pattern}, {number} and {jurisdiction}.
-
-    Written as one SQL text: several hundred column objects would take longer
-    to build than a small job takes to run.
-    """
-    entries = []
-    for number, jurisdiction, pattern, needs in _numbered():
-        test = " OR ".join(f"contains({text}, {_text(n)})" for n in needs) or f"{text} RLIKE {_text(chr(92) + 'p{Nd}')}"
-        filled = (
-            body.replace("{text}", text).replace("{number}", str(number))
-            .replace("{jurisdiction}", _text(jurisdiction)).replace("{pattern}", _text(U + pattern))
-        )
-        entries.append(f"CASE WHEN {test} THEN {filled} END")
-    return F.expr(f"array({', '.join(entries)})")
+# what five patterns share: most texts with a slash lack it
+_PARTS = {r"\s+\d{1,4}/\d{2,4}": r"\s\d{1,4}/\d{2}"}
 
 
 def extract_citations(
@@ -81,25 +61,12 @@ def extract_citations(
     table order; a string belongs to the first pattern that matched it. The
     texts are read once and never shuffled: only the matched strings are.
     """
-    per_pattern = _per_pattern(
-        f"`{text}`",
-        "named_struct('pattern_no', {number}, 'jurisdiction', {jurisdiction}, 'found', regexp_extract_all({text}, {pattern}, 0))",
-    )
-    found = (
-        docs.select(F.col(doc_id), F.upper(F.col(jurisdiction)).alias("_own"), F.explode(per_pattern).alias("p"))
-        .where(F.size("p.found") > 0)
-        .select(
-            doc_id,
-            (F.col("p.jurisdiction") != F.coalesce(F.col("_own"), F.lit(""))).cast("int").alias("_foreign"),
-            F.col("p.pattern_no").alias("_pattern_no"),
-            F.col("p.jurisdiction").alias("jurisdiction"),
-            F.explode("p.found").alias("m"),
-        )
-    )
-    return (
-        found.groupBy(doc_id, F.col("m").alias("citation_string"))
-        .agg(F.min(F.struct("_foreign", "_pattern_no", "jurisdiction")).alias("w"))
-        .select(doc_id, "citation_string", F.col("w.jurisdiction").alias("jurisdiction"))
+    found = _found(docs, doc_id, text, jurisdiction, None)
+    # one number orders as (foreign, pattern_no) does, and needs no sort to find its least
+    many = F.lit(len(_numbered()))
+    first = F.min(F.col("foreign") * many + F.col("pattern_no")).alias("w")
+    return found.groupBy("id", "citation_string").agg(first).select(
+        F.col("id").alias(doc_id), "citation_string", _jurisdiction(F.col("w") % many)
     )
 
 
@@ -158,47 +125,63 @@ def extract_citations_with_context(
     One Arrow-batched scan finds all patterns of a text (``spans``); a string leaves its
     row once, so only strings and contexts are shuffled, and only to join rows of one id.
     """
-    id_type = docs.schema[doc_id].dataType.simpleString()
-    found = docs.select(
-        F.col(doc_id).alias("id"), F.col(text).alias("body"), F.upper(F.col(jurisdiction)).alias("own"),
-    ).where("body IS NOT NULL").mapInArrow(
-        _spans(width),
-        f"id {id_type}, citation_string string, foreign int, pattern_no int, match_no int, start int, stop int, context string",
-    )
+    found = _found(docs, doc_id, text, jurisdiction, width)
     order = F.struct("foreign", "pattern_no", "match_no", "start", "context")
-    by_number = F.array(*[F.lit(code) for _, code, _, _ in _numbered()])
     return (
         found.groupBy("id", "citation_string").agg(F.min(order.alias("o")).alias("w"), F.min_by("stop", order).alias("stop"))
         .select(
-            F.col("id").alias(doc_id), "citation_string", F.get(by_number, F.col("w.pattern_no")).alias("jurisdiction"),
+            F.col("id").alias(doc_id), "citation_string", _jurisdiction(F.col("w.pattern_no")),
             F.col("w.start").alias("start"), "stop", F.col("w.context").alias("context"),
         )
     )
 
 
-def _spans(width: int):
-    """Arrow batches of (id, body, own) to one row per text and matched string."""
+def _jurisdiction(number: Column) -> Column:
+    by_number = F.array(*[F.lit(code) for _, code, _, _ in _numbered()])
+    return F.get(by_number, number).alias("jurisdiction")
+
+
+def _found(docs: DataFrame, doc_id: str, text: str, jurisdiction: str, width: int | None) -> DataFrame:
+    """(id, citation_string, foreign, pattern_no), and (match_no, start, stop, context) with a ``width``: one row per text and matched string."""
+    placed = "" if width is None else ", match_no int, start int, stop int, context string"
+    return docs.select(
+        F.col(doc_id).alias("id"), F.col(text).alias("body"), F.upper(F.col(jurisdiction)).alias("own"),
+    ).where("body IS NOT NULL").mapInArrow(
+        _spans(width), f"id {docs.schema[doc_id].dataType.simpleString()}, citation_string string, foreign int, pattern_no int{placed}"
+    )
+
+
+def _spans(width: int | None):
+    """Arrow batches of (id, body, own) to one row per text and matched string, with places where a ``width`` is given."""
     numbered = [(code, pattern, needs) for _, code, pattern, needs in _numbered()]
+    names = ["id", "citation_string", "foreign", "pattern_no"]
+    types = [pa.string(), pa.int32(), pa.int32()]
+    if width is not None:
+        names, types = [*names, "match_no", "start", "stop", "context"], [*types, *[pa.int32()] * 3, pa.string()]
 
     def rows(batch: pa.RecordBatch, finder: SpanFinder):
-        for doc, body, own in zip(*(batch.column(c) for c in ("id", "body", "own")), strict=True):
-            body, own, first = body.as_py(), own.as_py(), {}
+        # the number of the text in the batch stands for its id
+        for at, (body, own) in enumerate(zip(batch.column("body").to_pylist(), batch.column("own").to_pylist(), strict=True)):
+            first = {}
             for number, n, start, stop in finder.find(body):
                 key = (int(numbered[number][0] != own), number, n, start, stop)
                 string = body[start:stop]
                 if string not in first or key < first[string]:
                     first[string] = key
             for string, (foreign, number, n, start, stop) in first.items():
-                yield doc.as_py(), string, foreign, number, n, start, stop, body[max(0, start - width) : stop + width]
+                if width is None:
+                    yield at, string, foreign, number
+                else:
+                    yield at, string, foreign, number, n, start, stop, body[max(0, start - width) : stop + width]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = SpanFinder([(pattern, needs) for _, pattern, needs in numbered])
-        names = ["id", "citation_string", "foreign", "pattern_no", "match_no", "start", "stop", "context"]
+        finder = SpanFinder([(pattern, needs) for _, pattern, needs in numbered], _PARTS)
         for batch in batches:
-            types = [batch.schema.field("id").type, pa.string(), *[pa.int32()] * 5, pa.string()]
             found = rows(batch, finder)
             while part := list(islice(found, 4096)):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names)
+                at, *columns = zip(*part, strict=True)
+                arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int32())), *arrays], names)
 
     return find
 

@@ -9,7 +9,7 @@ from lexspark.functions import citations as C
 from lexspark.functions import metadata as M
 from lexspark.functions import text as T
 from lexspark.functions import treatment as TR
-from lexspark.functions.spans import SpanFinder, first_literals
+from lexspark.functions.spans import SpanFinder, first_literals, led_literals
 
 TEXTS = [
     ("US", "See Miranda v. Arizona, 384 U.S. 436 (1966); 410 F.2d 12; 384 U.S. 436 again."),
@@ -65,6 +65,21 @@ def test_spans_equal_plain_scans():
     assert first_literals(r"x\.y+\d") == ("x.y",) and first_literals(r"[ab]c") == () and first_literals(r"(ab|c)?d") == ()
 
 
+def test_led_and_shared_patterns_are_tried_where_they_can_match():
+    """Numbers before a reporter, and texts with a slash but no file number, cost no scan of the text."""
+    assert led_literals(r"\b(\d{1,4})\s+(F\.\d?d|U\.S\.)") == ("F.", "U.S.") and led_literals(r"\b\d{4}\s+FCA?\s+\d") == ("FC",)
+    assert led_literals(r"\b\d{4}다\d+\b") == () and led_literals(r"\b\d{4}\s+(?:AB|x?y)") == () and led_literals(r"\d{4}\s+AB") == ()
+    numbered = [(p, needs) for _, _, p, needs in C._numbered()]
+    finder, rng = SpanFinder(numbered, C._PARTS), random.Random(6)
+    scanned = {i for i, (p, _) in enumerate(numbered) if not finder._windowed[i] and finder._parts[i] is None}
+    assert not scanned & {0, 1, 11, 12, 28, 29, 30, 50, 51, 52, 53, 56}
+    parts = "410 U.S. 113|410 U.S.\u00a0113 (1973)|12345 U.S. 6|x12 U.S. 3|\u0663 U.S. 4|7\n\t U.S. 8|12 F.3d 9|2 S. Ct. 5|U.S. 1| U.S. |2020 SCC 5|2001 FCA 3|1999 ONCA 12|IV Ka 12/05|K 1/20|Case C-12/05|ZR 5/05|VI Xy 3/99|sygn. akt II K 5/09|1|9 | |(|/".split("|")
+    for _ in range(400):
+        text = "".join(rng.choice(parts) + rng.choice(["", " ", "; "]) for _ in range(rng.randint(0, 12)))
+        want = [(i, n, m.start(), m.end()) for i, (p, _) in enumerate(numbered) for n, m in enumerate(re.finditer(p, text))]
+        assert list(finder.find(text)) == want
+
+
 def test_contexts_of_null_empty_long_and_repeated_texts(spark):
     long = "[2020] UKSC 5 and " * 30000
     docs = spark.createDataFrame([(1, "GB", None), (2, "GB", ""), (3, "UK", long), (4, None, "BGE 130 III 5"), (4, "CH", "see BGE 130 III 5")], "doc_id INT, jurisdiction STRING, text STRING")
