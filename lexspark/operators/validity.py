@@ -66,11 +66,14 @@ def citation_treatment_counts(citations: DataFrame, cases: DataFrame) -> DataFra
     join, and the join keeps only the rank of the citing court, so the one wide
     shuffle carries no text. Counts are partial aggregates.
     """
-    kind = treatment_type(F.col("citation_context"))
-    edges = citations.where(F.col("cited_case_id").isNotNull()).select(
+    # a step of its own: named twice in one, the words would be looked for twice
+    read = citations.where(F.col("cited_case_id").isNotNull()).select(
+        "cited_case_id", "citing_case_id", treatment_type(F.col("citation_context")).alias("kind")
+    )
+    edges = read.select(
         "cited_case_id", "citing_case_id",
-        F.when(kind == "overruling", 1).otherwise(0).alias("overruling"),
-        F.when(kind == "distinguishing", 1).otherwise(0).alias("distinguishing"),
+        F.when(F.col("kind") == "overruling", 1).otherwise(0).alias("overruling"),
+        F.when(F.col("kind") == "distinguishing", 1).otherwise(0).alias("distinguishing"),
     )
     ranks = cases.select(
         F.col("case_id").alias("citing_case_id"),

@@ -9,6 +9,7 @@ from lexspark.functions import citations as C
 from lexspark.functions import metadata as M
 from lexspark.functions import text as T
 from lexspark.functions import treatment as TR
+from lexspark.functions.text import contains_any
 from lexspark.functions.spans import SpanFinder, first_literals, led_literals
 
 TEXTS = [
@@ -65,6 +66,14 @@ def test_spans_equal_plain_scans():
     assert first_literals(r"x\.y+\d") == ("x.y",) and first_literals(r"[ab]c") == () and first_literals(r"(ab|c)?d") == ()
 
 
+def test_long_word_lists_are_no_regex(spark):
+    words = ["w%d." % i for i in range(60)]
+    texts = ["see w7. here", "see w7 here", "w59.", "", None, "W3."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n INT, x STRING").select("n", contains_any(F.col("x"), words).alias("y"))
+    assert [r.y for r in rows.orderBy("n").collect()] == [True, False, True, False, None, False]
+    assert "RLIKE" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_led_and_shared_patterns_are_tried_where_they_can_match():
     """Numbers before a reporter, and texts with a slash but no file number, cost no scan of the text."""
     assert led_literals(r"\b(\d{1,4})\s+(F\.\d?d|U\.S\.)") == ("F.", "U.S.") and led_literals(r"\b\d{4}\s+FCA?\s+\d") == ("FC",)
