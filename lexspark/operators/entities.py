@@ -9,7 +9,7 @@ from lexspark.fixed import analytics as A
 from lexspark.operators.matching import similar_join
 from lexspark.operators.ranking import top_per_group
 from lexspark.operators.substring import containing, occurrences, substring_index
-from lexspark.session import struct_rows
+from lexspark.session import cut_lineage
 
 
 def normalized_name(col: Column) -> Column:
@@ -35,33 +35,34 @@ def resolve_names(names: DataFrame, entities: DataFrame, column: str = "raw_name
     names keep NULLs.
     """
     asked = names.select(F.col(column).alias("raw_name")).where(F.length(F.trim(column)) > 0).distinct()
-    known = entity_names(entities).withColumn("norm", normalized_name(F.col("name")))
-    tries = struct_rows("level key", (0, F.col("raw_name")), (1, normalized_name(F.col("raw_name"))))
-    keys = asked.select("raw_name", F.inline(tries)).where(F.col("key") != "")
-    targets = (
-        known.select("canonical_id", F.inline(struct_rows("level key", (0, F.col("name")), (1, F.col("norm")))))
-        .groupBy("level", "key").agg(F.min("canonical_id").alias("canonical_id"))
+    # a name is normalised once, after equal ones have met, so that all tasks share the work
+    known = cut_lineage(
+        entity_names(entities).groupBy("name").agg(F.min("canonical_id").alias("canonical_id"))
+        .withColumn("norm", normalized_name(F.col("name")))
     )
-    direct = keys.join(targets, ["level", "key"]).groupBy("raw_name").agg(
-        F.min(F.struct("level", "canonical_id")).alias("m")
-    ).select(
+    registry = cut_lineage(
+        known.where(F.col("norm") != "").groupBy(F.col("norm").alias("_right")).agg(F.min("canonical_id").alias("canonical_id"))
+    )
+    exact = known.select(F.col("name").alias("raw_name"), F.struct(F.lit(0).alias("level"), "canonical_id").alias("exact"))
+    near = registry.select(F.col("_right").alias("_left"), F.struct(F.lit(1).alias("level"), "canonical_id").alias("near"))
+    tried = cut_lineage(
+        asked.withColumn("_left", normalized_name(F.col("raw_name"))).join(exact, "raw_name", "left").join(near, "_left", "left")
+        .select("raw_name", "_left", F.coalesce("exact", "near").alias("m"))
+    )
+    direct = tried.where("m IS NOT NULL").select(
         "raw_name", "m.canonical_id",
         F.when(F.col("m.level") == 0, A.MATCH_CONFIDENCE["exact"]).otherwise(A.MATCH_CONFIDENCE["normalized"]).alias("confidence"),
         F.when(F.col("m.level") == 0, "exact").otherwise("normalized").alias("match_level"),
     )
-    rest = asked.join(direct.select("raw_name"), "raw_name", "left_anti").select(
-        "raw_name", normalized_name(F.col("raw_name")).alias("_left")
-    )
-    registry = known.where(F.col("norm") != "").groupBy(F.col("norm").alias("_right")).agg(
-        F.min("canonical_id").alias("canonical_id")
-    )
+    rest = tried.where("m IS NULL").select("raw_name", "_left")
     fuzzy = similar_join(rest, "_left", registry, "_right", A.RESOLVE_THRESHOLD).groupBy("raw_name").agg(
         F.min(F.struct((-F.col("similarity")).alias("d"), F.col("canonical_id").alias("id"))).alias("m")
     ).select(
         "raw_name", F.col("m.id").alias("canonical_id"), F.round(-F.col("m.d"), 3).alias("confidence"),
         F.lit("fuzzy").alias("match_level"),
     )
-    return asked.join(direct.unionByName(fuzzy), "raw_name", "left")
+    left_over = rest.select("raw_name").join(fuzzy, "raw_name", "left")
+    return direct.unionByName(left_over)
 
 
 def candidate_entities(names: DataFrame, entities: DataFrame, limit: int = 5) -> DataFrame:

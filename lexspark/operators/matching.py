@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.functions import windows as W
 from lexspark.session import cut_lineage
 
 # what every character weighs beside the rarity of its word
@@ -13,6 +14,10 @@ LEAST_WEIGHT = 0.02
 HOT_PAIRS = 20_000
 # so many (size, length, place) of segments go to every task, more are joined
 FEW_KINDS = 50_000
+# so many subsequences are shuffled at a time
+WAVE_KEYS = 300_000_000
+# a word is common where it is in more than one of so many texts
+COMMON_SHARE = 4096
 
 
 def _allowed_edits(longer: Column, threshold: float) -> Column:
@@ -104,10 +109,65 @@ def _even_left(texts: DataFrame, threshold: float) -> DataFrame:
 def similar_candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(left, right) pairs of the distinct texts of both sides (column ``text``) that are worth comparing.
 
-    Texts meet on even segments. A segment that would pair more than ``HOT_PAIRS`` texts
-    takes its right texts out; those are cut by rarity instead (``balanced_segments``).
+    Short right texts with a rare beginning or end meet on subsequences of it
+    (``functions/windows.py``), all others on segments. Pairs are compared where they meet, so
+    only similar ones of the former are shuffled again.
     """
     left, right = cut_lineage(left), cut_lineage(right)
+    placed = _placed(right, threshold)
+    # sizes are as many as the longest text has characters
+    rights = [tuple(r) for r in placed.groupBy("size", "place").agg(F.count("*").alias("n")).collect()]
+    found = _subsequence_pairs(left, placed.where("place IS NOT NULL"), [r for r in rights if r[1] is not None], threshold)
+    if all(place is not None for _, place, _ in rights):
+        return found
+    # a text of either kind is in one of the two, so no pair comes twice
+    return found.unionByName(_segment_candidates(left, placed.where("place IS NULL").select("text"), threshold))
+
+
+def _placed(texts: DataFrame, threshold: float) -> DataFrame:
+    """(text, size, place): the end at which a short text is rare, NULL where neither is, and for long ones."""
+    n = texts.count()
+    # of short texts alone: so the common words are at most some thousands for each word a text may have
+    words = texts.where(F.length("text") <= W.longest_short(threshold)).select(F.explode(F.split("text", " ")).alias("word"))
+    common = words.where("word <> ''").groupBy("word").agg(F.count("*").alias("df")).where(F.col("df") > max(1, n // COMMON_SHARE))
+    shared = {r["word"]: r["df"] for r in common.collect()}
+    return cut_lineage(texts.select("text").mapInArrow(W.placed_texts(shared, n, threshold), "text string, size int, place int"))
+
+
+def _subsequence_pairs(left: DataFrame, right: DataFrame, rights: list[tuple[int, int, int]], threshold: float) -> DataFrame:
+    """(left, right), distinct: the similar pairs of ``right`` (text, size, place), which has ``rights`` (size, place, count).
+
+    Keys are made, shuffled and compared in waves of ``WAVE_KEYS``.
+    """
+    lefts = left.select("text", F.length("text").alias("size"), F.lit(0).alias("place"))
+    near = sorted({n for s, _, _ in rights for n in W.similar_sizes(s, threshold)})
+    lefts = lefts.where(F.col("size").isin(near))
+    sizes = {r["size"]: r["n"] for r in lefts.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    ends = [(s, place) for s, place, _ in rights]
+    of_left = {(n, 0): W.kinds_of_left(n, ends, threshold) for n in sizes}
+    of_right = {(s, place): {(*kind, place) for kind in W.kinds_of_right(s, sizes, threshold)} for s, place in ends}
+    keys = sum(sizes[n] * W.key_count(k[:3], n) for (n, _), kinds in of_left.items() for k in kinds)
+    keys += sum(count * W.key_count(k[:3], s) for s, place, count in rights for k in of_right[s, place])
+    waves = max(1, -(-keys // WAVE_KEYS))
+    found = None
+    for wave in range(waves):
+        a = lefts.mapInArrow(W.keyed_texts(of_left, wave, waves), "key bigint, text string").withColumnRenamed("text", "left")
+        b = right.mapInArrow(W.keyed_texts(of_right, wave, waves), "key bigint, text string").withColumnRenamed("text", "right")
+        edits = F.levenshtein(F.col("left"), F.col("right"), W.MOST_EDITS)
+        longer = F.greatest(F.length("left"), F.length("right"))
+        # what a scan in Python makes is many times as long as Spark takes it for
+        pairs = a.hint("merge").join(b, "key").where((edits >= 0) & (edits <= _allowed_edits(longer, threshold))).select("left", "right").distinct()
+        pairs = cut_lineage(pairs)
+        found = pairs if found is None else found.unionByName(pairs)
+    return found if waves == 1 else found.distinct()
+
+
+def _segment_candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """As ``similar_candidates``: texts meet on even segments.
+
+    A segment that would pair more than ``HOT_PAIRS`` texts takes its right texts out; those
+    are cut by rarity instead (``balanced_segments``).
+    """
     # only the texts are written out: their windows are many times as long
     lefts, rights = _even_left(left, threshold), _even_right(right, threshold)
     hashed = F.xxhash64("size", "number", "segment").alias("key")

@@ -15,6 +15,7 @@ from lexspark.operators import validity as V
 from lexspark.operators import blocks as BL
 from lexspark.operators import substring as SB
 from lexspark.operators import matching as M
+from lexspark.functions import windows as W
 from lexspark.operators.matching import similar_candidates, similar_join
 from lexspark.operators.ranking import best_priority, fill_by_priority, top_per_group
 from lexspark.operators.resolve import build_citation_index, resolve_citations
@@ -333,6 +334,36 @@ def test_interval_matches_binomial_sums(spark):
         assert w in (0, n) or lo < w / n < hi
 
 
+@pytest.mark.parametrize("wave_keys", [300_000_000, 2_000])
+def test_names_that_share_a_word_are_paired_on_what_is_rare(spark, monkeypatch, wave_keys):
+    monkeypatch.setattr(M, "WAVE_KEYS", wave_keys)
+    rnd = random.Random(5)
+    rare = ["".join(rnd.choices("abcd", k=9)) for _ in range(60)]
+    right = sorted({f"{w} {x}" for w in ("atlas", "northern", "blue river") for x in rare[:30]} | {f"{x} group" for x in rare[30:]})
+    left = sorted({"x" + t for t in right} | {t[:4] + t[5:] for t in right} | {f"unlisted {x}" for x in rare} | {"atlas", "a", "e12"})
+    want = {(a, b) for a in left for b in right if _edits(a, b) <= math.floor(max(len(a), len(b)) * (1 - 0.85) + 1e-9)}
+    frames = [spark.createDataFrame([(x,) for x in t], "text STRING") for t in (left, right)]
+    # no pair that is not similar is left to compare
+    assert [*map(tuple, similar_candidates(*frames, 0.85).orderBy("left", "right").collect())] == sorted(want)
+
+
+def test_similar_short_texts_share_a_window_key():
+    rnd = random.Random(6)
+    for _ in range(600):
+        r = "".join(rnd.choices("ab01", k=rnd.randint(1, W.longest_short(0.85))))
+        x = r
+        for _ in range(rnd.randint(0, 3)):
+            i = rnd.randrange(len(x) + 1)
+            x = rnd.choice([x[:i] + rnd.choice("ab01") + x[i:], x[:i] + x[i + 1:], x[:i] + rnd.choice("ab01") + x[i + 1:]])
+        if not x or _edits(x, r) > W.allowed_edits(max(len(x), len(r)), 0.85):
+            continue
+        for place in (W.HEAD, W.TAIL):
+            kinds = {(*k, place) for k in W.kinds_of_right(len(r), [len(x)], 0.85)}
+            a = W.window_keys(W.code_points([r], len(r)), kinds)
+            b = W.window_keys(W.code_points([x], len(x)), W.kinds_of_left(len(x), [(len(r), place)], 0.85))
+            assert set(a[:, 0]) & set(b[:, 0]), (r, x, place)
+
+
 def test_party_report(spark):
     rows = [(f"u{i}", "P v. Acme", ["P", "Acme"], [], "US", 2020 + i % 3, "defendant_win" if i % 3 == 0 else "plaintiff_win") for i in range(9)]
     rows += [("f1", "Q v Acme", ["Q", "Acme"], None, "FR", 2020, "plaintiff_win"), ("z", "Acme v. P", ["Acme", "P"], ["Other"], "US", 2020, "settled")]
