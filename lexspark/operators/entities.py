@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexspark.fixed import analytics as A
 from lexspark.operators.matching import similar_join
 from lexspark.operators.ranking import top_per_group
-from lexspark.operators.substring import containing, occurrences, substring_index
+from lexspark.operators.substring import occurrences
 from lexspark.session import cut_lineage
 
 
@@ -67,12 +67,14 @@ def resolve_names(names: DataFrame, entities: DataFrame, column: str = "raw_name
 
 def candidate_entities(names: DataFrame, entities: DataFrame, limit: int = 5) -> DataFrame:
     """Registry entities that contain each asked name, after the resolved one; at most ``limit``."""
-    resolved = resolve_names(names, entities).where(F.col("canonical_id").isNotNull())
+    # read twice below
+    resolved = cut_lineage(resolve_names(names, entities).where(F.col("canonical_id").isNotNull()))
     asked = names.select("raw_name").where(F.length(F.trim("raw_name")) > 0).distinct()
     texts = entity_names(entities).select("canonical_id", F.lower("name").alias("text"), F.lit(None).cast("string").alias("all"))
     keyed = asked.withColumn("key", F.lower("raw_name")).withColumn("scope", F.lit(None).cast("string"))
-    found = containing(keyed, substring_index(texts, "text", "all", "canonical_id")).select("key", "text")
-    hits = keyed.join(found, "key").join(texts, "text").select("raw_name", "canonical_id").distinct()
+    # one call: the names are read once, an index of all their grams would not pay
+    found = occurrences(keyed, texts, "text", "all", ["canonical_id"]).select("key", "canonical_id")
+    hits = keyed.join(found, "key").select("raw_name", "canonical_id").distinct()
     extra = hits.join(resolved.select("raw_name", "canonical_id"), ["raw_name", "canonical_id"], "left_anti").select(
         "raw_name", "canonical_id", F.lit(None).cast("double").alias("confidence"),
         F.lit(None).cast("string").alias("match_level"),

@@ -364,6 +364,20 @@ def test_similar_short_texts_share_a_window_key():
             assert set(a[:, 0]) & set(b[:, 0]), (r, x, place)
 
 
+def test_candidate_entities_need_no_index(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("an index of all grams for one call")
+
+    monkeypatch.setattr(E, "substring_index", never, raising=False)
+    ents = spark.createDataFrame(
+        [("e1", "Acme Robotics", None, None, None, None, ["ACME Robotics Inc."]), ("e2", "Acme", None, None, None, "e1", None), ("e3", "Zed", None, None, None, None, [])],
+        "canonical_id STRING, canonical_name STRING, country_code STRING, entity_type STRING, industry STRING, parent_id STRING, aliases ARRAY<STRING>",
+    )
+    names = spark.createDataFrame([("acme",), ("Robotics",), ("ze",), (None,), (" ",)], "raw_name STRING")
+    got = {(r.raw_name, r.position): (r.canonical_id, r.confidence) for r in E.candidate_entities(names, ents).collect()}
+    assert got == {("acme", 1): ("e2", 0.95), ("acme", 2): ("e1", None), ("Robotics", 1): ("e1", None), ("ze", 1): ("e3", None)}
+
+
 def test_party_report(spark):
     rows = [(f"u{i}", "P v. Acme", ["P", "Acme"], [], "US", 2020 + i % 3, "defendant_win" if i % 3 == 0 else "plaintiff_win") for i in range(9)]
     rows += [("f1", "Q v Acme", ["Q", "Acme"], None, "FR", 2020, "plaintiff_win"), ("z", "Acme v. P", ["Acme", "P"], ["Other"], "US", 2020, "settled")]
