@@ -534,6 +534,30 @@ def test_network_edges_are_told_apart_where_their_seed_lies(spark):
     assert {(r.seed, r.edge_count) for r in net.summary(cases).collect()} == {(i, sum(s == i for s in seeds)) for i in ids}
 
 
+def test_network_totals_in_waves_keep_nothing_but_totals(spark, monkeypatch):
+    from pathlib import Path
+
+    from lexspark.session import shared_folder
+
+    rnd = random.Random(8)
+    ids = [f"n{i:02}" for i in range(40)]
+    rows = [(a, b, f"to {b}", "") for a in ids for b in rnd.sample([*ids, "ghost"], 3)] + [(a, None, f"lost {a[-1]}", "c") for a in ids[::3]]
+    edges = spark.createDataFrame(rows, "citing_case_id string, cited_case_id string, cited_reference string, citation_context string")
+    cases = spark.createDataFrame([(i, "", "", "", "") for i in ids], "case_id string, case_name string, jurisdiction string, court string, decision_date string")
+    net = G.citation_network(cases.select("case_id"), edges, cases, max_nodes=8)
+    totals = {"summary": lambda: net.summary(cases), "by_depth": net.by_depth, "hub_totals": net.hub_totals}
+    whole = {k: sorted(map(tuple, t().collect())) for k, t in totals.items()}
+    nodes, gone = net.nodes.collect(), net.unresolved.collect()
+    assert {r[0]: (r[1], r[3]) for r in whole["summary"]} == {i: (sum(r.seed == i for r in nodes), sum(r.seed == i for r in gone)) for i in ids}
+    monkeypatch.setattr(G, "WAVE_SEEDS", 9)
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    for name, total in totals.items():
+        before = set(folder.iterdir())
+        assert sorted(map(tuple, total().collect())) == whole[name]
+        # of the five waves the totals are left, the rounds are not
+        assert len(set(folder.iterdir()) - before) == 5
+
+
 def test_names_that_share_a_word_are_cut_where_each_part_stays_rare(spark):
     rnd = random.Random(6)
     names = ["northern " + "".join(rnd.choices("0123456789abcdef", k=9)) for _ in range(200)]
