@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexspark.fixed.citations import CITATION_PATTERNS
 from lexspark.functions.spans import SpanFinder
+from lexspark.session import write_out
 
 _CANADIAN = ("ON", "BC", "QCC", "AB", "MB", "SK", "NS", "NB", "NLCA", "PECA", "TCC", "CMAC", "CanLII")
 # A literal each pattern cannot match without, same order as the patterns. The
@@ -123,17 +124,20 @@ def extract_citations_with_context(
     """As ``extract_citations``, plus position and surrounding text of the first match.
 
     One Arrow-batched scan finds all patterns of a text (``spans``); a string leaves its
-    row once, so only strings and contexts are shuffled, and only to join rows of one id.
+    row once. What the rows give is written out, strings of one text beside each other; only
+    those of ids that several rows share are grouped after that.
     """
-    found = _found(docs, doc_id, text, jurisdiction, width)
-    order = F.struct("foreign", "pattern_no", "match_no", "start", "context")
-    return (
-        found.groupBy("id", "citation_string").agg(F.min(order.alias("o")).alias("w"), F.min_by("stop", order).alias("stop"))
-        .select(
-            F.col("id").alias(doc_id), "citation_string", _jurisdiction(F.col("w.pattern_no")),
-            F.col("w.start").alias("start"), "stop", F.col("w.context").alias("context"),
-        )
-    )
+    found = write_out(_found(docs, doc_id, text, jurisdiction, width, F.monotonically_increasing_id()))
+    shared = found.groupBy("id").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least < most").select(F.col("id").alias("_id"))
+    shared = write_out(shared)
+    parts = "pattern_no", "start", "stop", "context"
+    rows = found.select("id", "citation_string", *parts)
+    if not shared.isEmpty():
+        same = F.col("id").eqNullSafe(F.col("_id"))
+        order = F.struct("foreign", "pattern_no", "match_no", "start", "context")
+        merged = found.join(shared, same, "left_semi").groupBy("id", "citation_string").agg(F.min_by(F.struct(*parts), order).alias("w"))
+        rows = rows.join(shared, same, "left_anti").unionByName(merged.select("id", "citation_string", "w.*"))
+    return rows.select(F.col("id").alias(doc_id), "citation_string", _jurisdiction(F.col("pattern_no")), "start", "stop", "context")
 
 
 def _jurisdiction(number: Column) -> Column:
@@ -141,11 +145,11 @@ def _jurisdiction(number: Column) -> Column:
     return F.get(by_number, number).alias("jurisdiction")
 
 
-def _found(docs: DataFrame, doc_id: str, text: str, jurisdiction: str, width: int | None) -> DataFrame:
-    """(id, citation_string, foreign, pattern_no), and (match_no, start, stop, context) with a ``width``: one row per text and matched string."""
-    placed = "" if width is None else ", match_no int, start int, stop int, context string"
+def _found(docs: DataFrame, doc_id: str, text: str, jurisdiction: str, width: int | None, row: Column | None = None) -> DataFrame:
+    """(id, citation_string, foreign, pattern_no), and (match_no, start, stop, context, row) with a ``width``: one row per text and matched string."""
+    placed = "" if width is None else ", match_no int, start int, stop int, context string, row bigint"
     return docs.select(
-        F.col(doc_id).alias("id"), F.col(text).alias("body"), F.upper(F.col(jurisdiction)).alias("own"),
+        F.col(doc_id).alias("id"), F.col(text).alias("body"), F.upper(F.col(jurisdiction)).alias("own"), *([] if row is None else [row.alias("row")]),
     ).where("body IS NOT NULL").mapInArrow(
         _spans(width), f"id {docs.schema[doc_id].dataType.simpleString()}, citation_string string, foreign int, pattern_no int{placed}"
     )
@@ -180,8 +184,9 @@ def _spans(width: int | None):
             found = rows(batch, finder)
             while part := list(islice(found, 4096)):
                 at, *columns = zip(*part, strict=True)
-                arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int32())), *arrays], names)
+                arrays, at = [pa.array(c, t) for c, t in zip(columns, types, strict=True)], pa.array(at, pa.int32())
+                of_row = [] if width is None else [batch.column("row").take(at)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), *arrays, *of_row], [*names, "row"][: 1 + len(arrays) + len(of_row)])
 
     return find
 

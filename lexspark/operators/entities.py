@@ -9,7 +9,7 @@ from lexspark.fixed import analytics as A
 from lexspark.operators.matching import similar_join
 from lexspark.operators.ranking import top_per_group
 from lexspark.operators.substring import occurrences
-from lexspark.session import cut_lineage
+from lexspark.session import write_out
 
 
 def normalized_name(col: Column) -> Column:
@@ -36,16 +36,16 @@ def resolve_names(names: DataFrame, entities: DataFrame, column: str = "raw_name
     """
     asked = names.select(F.col(column).alias("raw_name")).where(F.length(F.trim(column)) > 0).distinct()
     # a name is normalised once, after equal ones have met, so that all tasks share the work
-    known = cut_lineage(
+    known = write_out(
         entity_names(entities).groupBy("name").agg(F.min("canonical_id").alias("canonical_id"))
         .withColumn("norm", normalized_name(F.col("name")))
     )
-    registry = cut_lineage(
+    registry = write_out(
         known.where(F.col("norm") != "").groupBy(F.col("norm").alias("_right")).agg(F.min("canonical_id").alias("canonical_id"))
     )
     exact = known.select(F.col("name").alias("raw_name"), F.struct(F.lit(0).alias("level"), "canonical_id").alias("exact"))
     near = registry.select(F.col("_right").alias("_left"), F.struct(F.lit(1).alias("level"), "canonical_id").alias("near"))
-    tried = cut_lineage(
+    tried = write_out(
         asked.withColumn("_left", normalized_name(F.col("raw_name"))).join(exact, "raw_name", "left").join(near, "_left", "left")
         .select("raw_name", "_left", F.coalesce("exact", "near").alias("m"))
     )
@@ -68,7 +68,7 @@ def resolve_names(names: DataFrame, entities: DataFrame, column: str = "raw_name
 def candidate_entities(names: DataFrame, entities: DataFrame, limit: int = 5) -> DataFrame:
     """Registry entities that contain each asked name, after the resolved one; at most ``limit``."""
     # read twice below
-    resolved = cut_lineage(resolve_names(names, entities).where(F.col("canonical_id").isNotNull()))
+    resolved = write_out(resolve_names(names, entities).where(F.col("canonical_id").isNotNull()))
     asked = names.select("raw_name").where(F.length(F.trim("raw_name")) > 0).distinct()
     texts = entity_names(entities).select("canonical_id", F.lower("name").alias("text"), F.lit(None).cast("string").alias("all"))
     keyed = asked.withColumn("key", F.lower("raw_name")).withColumn("scope", F.lit(None).cast("string"))

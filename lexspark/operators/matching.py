@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions import windows as W
-from lexspark.session import cut_lineage
+from lexspark.session import write_out
 
 # what every character weighs beside the rarity of its word
 LEAST_WEIGHT = 0.02
@@ -49,7 +49,7 @@ def balanced_segments(texts: DataFrame, threshold: float) -> DataFrame:
     rows = _char_weights(texts).withColumn("edits", edits).withColumn("cuts", (F.floor(F.col("edits") / 2) + 1).cast("int"))
     sums = F.transform(F.sequence(F.lit(1), size), lambda j: F.aggregate(F.slice("weights", F.lit(1), j), F.lit(0.0), lambda a, x: a + x))
     # each step is written out: inside a lambda the next one would work it out again for every element
-    rows = cut_lineage(rows.withColumn("sums", sums).withColumn("whole", F.element_at("sums", -1)))
+    rows = write_out(rows.withColumn("sums", sums).withColumn("whole", F.element_at("sums", -1)))
     # a character counts where its middle is, so that a cut is at the nearest one
     rows = rows.withColumn("sums", F.zip_with("sums", "weights", lambda c, w: c - w / 2)).drop("weights")
     # where the share of each segment is reached, moved on so that no segment is empty
@@ -57,12 +57,12 @@ def balanced_segments(texts: DataFrame, threshold: float) -> DataFrame:
         F.sequence(F.lit(0), F.col("cuts") - 1),
         lambda i: F.when(i == 0, 0).otherwise(F.size(F.filter("sums", lambda c: c < i * F.col("whole") / F.col("cuts"))) - i),
     )
-    rows = cut_lineage(rows.withColumn("ahead", reached).drop("sums"))
+    rows = write_out(rows.withColumn("ahead", reached).drop("sums"))
     starts = F.transform(
         F.sequence(F.lit(0), F.col("cuts") - 1),
         lambda i: F.least(i + F.greatest(F.array_max(F.slice("ahead", F.lit(1), i + 1)), F.lit(0)), size - F.col("cuts") + i),
     )
-    rows = cut_lineage(rows.withColumn("starts", starts))
+    rows = write_out(rows.withColumn("starts", starts))
     segments = F.transform(
         F.sequence(F.lit(0), F.col("cuts") - 1),
         lambda i: F.struct(
@@ -113,7 +113,7 @@ def similar_candidates(left: DataFrame, right: DataFrame, threshold: float) -> D
     (``functions/windows.py``), all others on segments. Pairs are compared where they meet, so
     only similar ones of the former are shuffled again.
     """
-    left, right = cut_lineage(left), cut_lineage(right)
+    left, right = write_out(left), write_out(right)
     placed = _placed(right, threshold)
     # sizes are as many as the longest text has characters
     rights = [tuple(r) for r in placed.groupBy("size", "place").agg(F.count("*").alias("n")).collect()]
@@ -131,7 +131,7 @@ def _placed(texts: DataFrame, threshold: float) -> DataFrame:
     words = texts.where(F.length("text") <= W.longest_short(threshold)).select(F.explode(F.split("text", " ")).alias("word"))
     common = words.where("word <> ''").groupBy("word").agg(F.count("*").alias("df")).where(F.col("df") > max(1, n // COMMON_SHARE))
     shared = {r["word"]: r["df"] for r in common.collect()}
-    return cut_lineage(texts.select("text").mapInArrow(W.placed_texts(shared, n, threshold), "text string, size int, place int"))
+    return write_out(texts.select("text").mapInArrow(W.placed_texts(shared, n, threshold), "text string, size int, place int"))
 
 
 def _subsequence_pairs(left: DataFrame, right: DataFrame, rights: list[tuple[int, int, int]], threshold: float) -> DataFrame:
@@ -157,7 +157,7 @@ def _subsequence_pairs(left: DataFrame, right: DataFrame, rights: list[tuple[int
         longer = F.greatest(F.length("left"), F.length("right"))
         # what a scan in Python makes is many times as long as Spark takes it for
         pairs = a.hint("merge").join(b, "key").where((edits >= 0) & (edits <= _allowed_edits(longer, threshold))).select("left", "right").distinct()
-        pairs = cut_lineage(pairs)
+        pairs = write_out(pairs)
         found = pairs if found is None else found.unionByName(pairs)
     return found if waves == 1 else found.distinct()
 
@@ -173,7 +173,7 @@ def _segment_candidates(left: DataFrame, right: DataFrame, threshold: float) ->
     hashed = F.xxhash64("size", "number", "segment").alias("key")
     lefts, rights = lefts.select("left", hashed), rights.select("right", hashed)
     load = lefts.groupBy("key").agg(F.count("*").alias("a")).join(rights.groupBy("key").agg(F.count("*").alias("b")), "key")
-    hot = cut_lineage(
+    hot = write_out(
         rights.join(load.where(F.col("a") * F.col("b") > HOT_PAIRS), "key", "left_semi").select(F.col("right").alias("text")).distinct()
     )
     calm = _even_right(right.join(hot, "text", "left_anti"), threshold).select("right", hashed)
@@ -198,7 +198,7 @@ def _balanced_candidates(left: DataFrame, right: DataFrame, threshold: float) ->
     such a place, are equal once each lacks one character, so they meet on these variants. Segments are as long as
     few edits allow, so names that share a word still differ in most of them.
     """
-    cut = cut_lineage(balanced_segments(right, threshold))
+    cut = write_out(balanced_segments(right, threshold))
     parts = cut.select("text", F.size("segments").alias("cuts"), F.posexplode("segments").alias("number", "s")).select(
         F.col("text").alias("right"), F.length("text").alias("size"),
         F.when(F.col("number") == 0, 0).when(F.col("number") == F.col("cuts") - 1, -1).otherwise(F.col("s.start")).alias("place"),
@@ -209,7 +209,7 @@ def _balanced_candidates(left: DataFrame, right: DataFrame, threshold: float) ->
     kinds = parts.select("size", "place", "span").distinct()
     sized = left.select(F.col("text").alias("left"), F.explode(_sizes(threshold)).alias("size"))
     length, place, span = F.length("left"), F.col("place"), F.col("span")
-    kinds = cut_lineage(kinds)
+    kinds = write_out(kinds)
     asked = sized.join(F.broadcast(kinds) if kinds.count() <= FEW_KINDS else kinds, "size").withColumn("edits", _allowed_edits(F.greatest(length, F.col("size")), threshold))
     asked = asked.groupBy("left", "place", "span").agg(F.max("edits").alias("edits"))
     starts = (

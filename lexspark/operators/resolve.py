@@ -17,7 +17,7 @@ from lexspark.operators.substring import (
     substring_index,
     write_substring_index,
 )
-from lexspark.session import cut_lineage, struct_rows
+from lexspark.session import struct_rows, write_out
 
 
 class NameIndex(NamedTuple):
@@ -108,7 +108,7 @@ def resolve_citations(
         .agg(F.min(F.struct("match_rank", "case_id")).alias("hit"))
     )
     # every later step reads the outcome of this one, so it is written out once
-    tried = cut_lineage(refs.join(exact, ["citation_string", "scope"], "left"))
+    tried = write_out(refs.join(exact, ["citation_string", "scope"], "left"))
     rest = tried.where(F.col("hit").isNull()).drop("hit")
     lowered = _lowered(cases)
     by_name = _least_containing(

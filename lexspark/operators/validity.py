@@ -58,17 +58,23 @@ def overruling_cases(citations: DataFrame, cases: DataFrame) -> DataFrame:
     )
 
 
+def with_treatment(citations: DataFrame) -> DataFrame:
+    """Edges with their ``treatment``: who grades them need not carry the contexts there."""
+    return citations.withColumn("treatment", treatment_type(F.col("citation_context")))
+
+
 def citation_treatment_counts(citations: DataFrame, cases: DataFrame) -> DataFrame:
     """Per cited case: citing, overruling and distinguishing citations, and the
     highest court among the overruling ones.
 
     The edges are reduced to the pair of ids and a treatment code before the
     join, and the join keeps only the rank of the citing court, so the one wide
-    shuffle carries no text. Counts are partial aggregates.
+    shuffle carries no text. Counts are partial aggregates. A column ``treatment`` is taken as it is.
     """
+    treatment = F.col("treatment") if "treatment" in citations.columns else treatment_type(F.col("citation_context"))
     # a step of its own: named twice in one, the words would be looked for twice
     read = citations.where(F.col("cited_case_id").isNotNull()).select(
-        "cited_case_id", "citing_case_id", treatment_type(F.col("citation_context")).alias("kind")
+        "cited_case_id", "citing_case_id", treatment.alias("kind")
     )
     edges = read.select(
         "cited_case_id", "citing_case_id",

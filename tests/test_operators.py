@@ -534,6 +534,34 @@ def test_network_edges_are_told_apart_where_their_seed_lies(spark):
     assert {(r.seed, r.edge_count) for r in net.summary(cases).collect()} == {(i, sum(s == i for s in seeds)) for i in ids}
 
 
+def test_contexts_are_shuffled_only_for_ids_that_rows_share(spark):
+    from lexspark.functions import citations as C
+
+    schema = "doc_id INT, text STRING, jurisdiction STRING"
+    one = [(i, f"See {i} U.S. {i + 1}. It overruled 12 U.S. 7 and 12 U.S. 7.", "US") for i in range(1, 30)]
+    frame = C.extract_citations_with_context(spark.createDataFrame(one, schema))
+    assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+    alone = {(r.doc_id, r.citation_string): r for r in frame.collect()}
+    assert len(alone) == frame.count() == 2 * len(one)
+    # rows of one id, or of none, still give each string once: the least place, then the least context
+    more = [(1, "12 U.S. 7 first", "US"), (None, "a 3 U.S. 4", "US"), (None, "3 U.S. 4 b", "GB"), (2, None, "US"), (3, one[2][1], "US")]
+    rows = C.extract_citations_with_context(spark.createDataFrame(one + more, schema)).collect()
+    got = {(r.doc_id, r.citation_string): r for r in rows}
+    assert len(got) == len(rows) == len(alone) + 1
+    assert {k: r for k, r in got.items() if k[0] not in (None, 1)} == {k: r for k, r in alone.items() if k[0] != 1}
+    assert got[1, "1 U.S. 2"] == alone[1, "1 U.S. 2"] and got[1, "12 U.S. 7"].start == 0
+    assert got[None, "3 U.S. 4"].context == "a 3 U.S. 4"
+
+
+def test_a_treatment_that_is_known_is_graded_without_its_context(spark):
+    cases = spark.createDataFrame([("a", "Supreme Court", "US"), ("b", "District Court", "US")], "case_id string, court string, jurisdiction string")
+    edges = spark.createDataFrame([("a", "b", "r", "It was overruled.")], "citing_case_id string, cited_case_id string, cited_reference string, citation_context string")
+    graded = V.case_validity(V.with_treatment(edges), cases)
+    assert sorted(map(tuple, graded.collect())) == sorted(map(tuple, V.case_validity(edges, cases).collect()))
+    known = edges.withColumn("citation_context", F.lit(None).cast("string")).withColumn("treatment", F.lit("overruling"))
+    assert {r.case_id: r.overruling_count for r in V.case_validity(known, cases).collect()} == {"a": 0, "b": 1}
+
+
 def test_network_totals_in_waves_keep_nothing_but_totals(spark, monkeypatch):
     from pathlib import Path
 
